@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing
+from . import exact, langid, mixing, packing, simhash
 from .common import documents, fold_remainder
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark, sf_dir):
+    out = packing.pack(documents(spark, sf_dir), tokenizer_path())
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
+
+
+def op3_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_mixing(spark, sf_dir):
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -57,6 +73,8 @@ FROM documents WINDOW w AS (PARTITION BY {_LOWER})
 """
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_exact_dedup": op10_exact_dedup,
