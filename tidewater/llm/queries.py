@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, simhash
+from . import exact, langid, mixing, packing, ppm, simhash
 from .common import documents, fold_remainder
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -26,6 +26,16 @@ def op3_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def score_documents(docs):
+    held_out = fold_remainder("doc_id", 7) == 2
+    out = ppm.score(docs, docs.where(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_lm_scoring(spark, sf_dir):
+    return score_documents(documents(spark, sf_dir))
+
+
 def op8_mixing(spark, sf_dir):
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -75,6 +85,7 @@ FROM documents WINDOW w AS (PARTITION BY {_LOWER})
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_exact_dedup": op10_exact_dedup,
