@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, ppm, simhash
+from . import exact, langid, mixing, packing, ppm, simhash, toxicity
 from .common import documents, fold_remainder
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,6 +36,14 @@ def op6_lm_scoring(spark, sf_dir):
     return score_documents(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs, held_out = documents(spark, sf_dir), fold_remainder("doc_id", 3) == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled_id"), "toxic")
+    learnt = docs.where(~held_out).join(labels, F.col("doc_id") == F.col("labelled_id"))
+    out = toxicity.predict(docs, toxicity.train(learnt))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_mixing(spark, sf_dir):
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -86,6 +94,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_exact_dedup": op10_exact_dedup,
