@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, ppm, simhash, toxicity
+from . import exact, langid, mixing, packing, ppm, secrets, simhash, toxicity
 from .common import documents, fold_remainder
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_secrets(spark, sf_dir):
+    return secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def secret_digest(found):
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind != "format")
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), count("format"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -91,6 +105,7 @@ FROM documents WINDOW w AS (PARTITION BY {_LOWER})
 """
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op6_lm_scoring": op6_lm_scoring,
