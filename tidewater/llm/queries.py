@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, ppm, secrets, simhash, toxicity
+from . import exact, langid, mixing, packing, ppm, secrets, simhash, toxicity, vectors
 from .common import documents, fold_remainder
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,6 +40,11 @@ def op3_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_vector_dedup(spark, sf_dir):
+    out = vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("recall").alias("audit_recall"))
+
+
 def score_documents(docs):
     held_out = fold_remainder("doc_id", 7) == 2
     out = ppm.score(docs, docs.where(~held_out))
@@ -108,6 +113,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
