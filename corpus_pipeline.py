@@ -1,10 +1,74 @@
-"""A corpus pipeline over ``documents``: language ID, exact dedup, SimHash near-dedup, mixing, packing."""
+"""A corpus pipeline over ``documents``: language ID, exact dedup, SimHash near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
+docs. All but the last return the columns of ``docs``. Other columns than those of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewater.llm import exact, langid, mixing, packing, simhash
+from tidewater.llm.common import documents, fold_remainder, materialise
+from tidewater.llm.queries import tokenizer_path
+
+#: A document is rejected if no language is as likely as this, or if it has no letter.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: those without a letter, or with no likely language, go."""
+    languages, matrix = langid.train(docs.where(fold_remainder("doc_id", 5) != 0))
+    out = langid.predict(docs, languages, matrix, carry=tuple(docs.columns), into=("__language", "__likelihood"))
+    return out.where((F.col("__language") != langid.UNKNOWN) & (F.col("__likelihood") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id; rows that repeat both id and text become one."""
+    found = materialise(exact.exact_dedup(docs), "exact")
+    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("digest").alias("__gone")).distinct()
+    rows = exact.with_digest(docs, "__digest")
+    kept = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    if found.where("kept and keep_rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__digest"])
+    return kept.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates. An id goes only if all of its rows do."""
+    found = simhash.near_duplicates(docs)
+    ids = found.groupBy(F.col("id").alias("__id")).agg(F.bool_or(F.col("id").eqNullSafe(F.col("component"))).alias("kept"))
+    gone = ids.where("not kept").select("__id")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, which may be never."""
+    out = mixing.mix(docs).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("times").alias("__times"))
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1]))
+    out = out.withColumn("__number", number("__id", "__source", "__words"))
+    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__of": F.col("source").cast("string"), "__size": mixing.words_in(F.col("text").cast("string"))})
+    rows = rows.withColumn("__place", number("__doc", "__of", "__size"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")) & (F.col("__place") == F.col("__number"))
+    taken = rows.join(out.where("__times > 0"), same)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their sequence and place."""
+    out = packing.pack(docs, tokenizer_path())
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+
+#: Language models, fingerprints and token ids are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

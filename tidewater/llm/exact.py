@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, union_all
 
@@ -113,6 +114,18 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, "id long, digest binary, n_bytes long, second binary")
 
 
+def with_digest(docs: DataFrame, name: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with the SHA-256 of each row's normalised text as column ``name``."""
+    at, names = docs.columns.index(text_column), [*docs.columns, name]
+
+    def run(batches):
+        for batch in batches:
+            found = [hashlib.sha256((t.as_buffer().to_pybytes() if t.is_valid else b"").lower()).digest() for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """A row for each text: its key, number of rows, largest id and the number of rows with that id."""
     return (

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -136,17 +137,18 @@ def score_texts(texts: list[str], languages: list[str], matrix: np.ndarray) -> t
     return [languages[b] if m else UNKNOWN for b, m in zip(best, letters, strict=True)], np.where(letters > 0, posterior, 0.0)
 
 
-def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with ``lang_pred`` and ``score``; a null text, or one without a letter, is ``und`` with score 0."""
+def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``carry`` columns with the language and its probability; a null text, or one without a letter, is ``und`` with 0."""
     model = docs.sparkSession.sparkContext.broadcast((languages, matrix))
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text_column).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*[docs[c] for c in carry], *([] if text_column in carry else [docs[text_column]]))
+    at = rows.columns.index(text_column)
+    schema = T.StructType([*rows.schema.fields[: len(carry)], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     names = [f.name for f in schema]
 
     def run(batches):
         known, logs = model.value
         for batch in batches:
-            said, scores = score_texts(_texts(batch.column(len(carry))), known, logs)
+            said, scores = score_texts(_texts(batch.column(at)), known, logs)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names)
 
     return rows.mapInArrow(run, schema)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, ppm, secrets, simhash, toxicity, vectors
-from .common import documents, fold_remainder
+from . import exact, langid, mixing, packing, ppm, secrets, shards, simhash, toxicity, vectors
+from .common import documents, fold_remainder, scratch_path
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -40,6 +40,23 @@ def op3_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_sharding(spark, sf_dir):
+    """What the last manifest's shards hold after all arrivals have been appended and compacted."""
+    store = shards.shard(documents(spark, sf_dir), scratch_path(spark, "store"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+OP4_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
+def shard_manifest(spark, sf_dir):
+    """The runs of the last manifest, with a small target so that small inputs show several tiers."""
+    store = shards.ShardStore(spark, scratch_path(spark, "store"), target=8 << 20)
+    store.append(documents(spark, sf_dir).repartition(24, "doc_id"))
+    runs = store.compact()["runs"]
+    return spark.createDataFrame([(r["id"], r["tier"], r["rows"], r["bytes"], len(r["files"])) for r in runs], "run string, tier int, n_rows long, n_bytes long, n_files int")
+
+
 def op5_vector_dedup(spark, sf_dir):
     out = vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("recall").alias("audit_recall"))
@@ -113,14 +130,17 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_exact_dedup": op10_exact_dedup,
+    "shard_manifest": shard_manifest,
 }
 SQL = {
+    "op4_sharding": OP4_SQL,
     "op8_mixing": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
