@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import relational  # noqa: F401
+from .operators import joins, relational, stats, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
