@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import graph, joins, relational, retrieval, stats, windows  # noqa: F401
+from .operators import graph, joins, relational, retrieval, stats, text, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
