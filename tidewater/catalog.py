@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .operators import graph, joins, relational, retrieval, stats, text, windows  # noqa: F401
+from .plans import queries as _plans  # noqa: F401
 from .registry import ORACLES, QUERIES
+from .sources import queries as _sources  # noqa: F401
+from .streaming import folds  # noqa: F401
 
 
 def queries():
