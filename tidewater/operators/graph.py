@@ -233,6 +233,8 @@ def topological_layers(edges: DataFrame) -> DataFrame:
         left = _step(left.join(front, "node", "left_anti"), "nodes")
         e = _step(e.join(front.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "edges")
         layer += 1
+    if not out:
+        return left.withColumn("layer", F.lit(0))
     every = out[0]
     for f in out[1:]:
         every = every.unionByName(f)

@@ -401,7 +401,7 @@ def baseline_deltas(spark, sf_dir):
     """
     WITH f AS (SELECT event_id, user_id, regexp_replace(regexp_replace(lower('Error at /srv/' || event_type || '/run.py line ' || user_id || ' code 0x' || printf('%x', event_id)), '0x[0-9a-f]+', '<hex>', 'g'), '[0-9]+', '<n>', 'g') AS raw FROM events WHERE event_type <> 'view'),
     p AS (SELECT *, regexp_replace(raw, '/[a-z0-9_./-]+', '<path>', 'g') AS fingerprint FROM f)
-    SELECT fingerprint, count(*) AS n, count(DISTINCT user_id) AS sessions, round(least(0.95, 0.45 + 0.08 * count(*)), 6) AS confidence FROM p GROUP BY 1 HAVING count(*) >= 2
+    SELECT fingerprint, count(*) AS n, count(DISTINCT user_id) AS sessions, round(least(0.95::DOUBLE, 0.45::DOUBLE + 0.08::DOUBLE * count(*)), 6) AS confidence FROM p GROUP BY 1 HAVING count(*) >= 2
     """,
 )
 def failure_clusters(spark, sf_dir):
@@ -442,7 +442,7 @@ def union_reducer(spark, sf_dir):
     "best_reducer",
     """
     WITH s AS (SELECT s_nationkey AS run, s_suppkey AS child, CASE WHEN s_acctbal > 5000 THEN 100 WHEN s_acctbal > 0 THEN -30 ELSE -60 END + 15 * (s_suppkey % 4) - 25 * (s_suppkey % 3) - 0.2 * least(s_suppkey % 70, 50) AS score, s_suppkey % 4 AS passes, s_suppkey % 70 AS files FROM supplier)
-    SELECT run, CAST(child AS BIGINT) AS winner, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(score, 6) DESC, passes DESC, files, child) AS r FROM s) WHERE r = 1
+    SELECT run, CAST(child AS BIGINT) AS winner, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(score, 6) DESC, passes DESC, files, child) AS r FROM s) WHERE r = 1
     """,
 )
 def best_reducer(spark, sf_dir):
