@@ -205,3 +205,23 @@ def test_retention_and_refold(spark):
     now = spark.createDataFrame([("a", 1, 10), ("b", 2, 10)], "path string, length long, modificationTime long")
     known = spark.createDataFrame([("a", 1, 10), ("b", 1, 10)], "path string, length long, modificationTime long")
     assert [r.path for r in folds.refold_changed(spark, now, known).collect()] == ["b"]
+
+
+def test_columnar_pages_round_trip():
+    from tidewater.operators import ranking
+
+    rows = [{"a": "alpha", "b": 1}, {"a": "alpha", "c": None}, {"b": "x"}, {}]
+    assert ranking.columnar_decode(ranking.columnar_encode(rows)) == rows
+    assert ranking.search_mode("Foo.bar()") == "lexical" and ranking.search_mode("where is it") == "hybrid"
+    assert ranking.exact_knapsack([60, 50, 50], [10, 7, 7], 100) == [1, 2]
+
+
+def test_duplicate_clusters_are_seed_anchored(spark, tmp_path):
+    from tidewater.operators import ranking
+
+    base = [f"w{i}" for i in range(20)]
+    texts = [base, base[:-2] + ["x", "y"], base[:-4] + ["x", "y", "z", "q"], ["other"] * 3]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # 0~1 and 1~2 are alike but 0 and 2 are not: 0 takes 1, and 2 stands alone
+    got = sorted((r.seed, r.member) for r in ranking.duplicate_clusters(spark, str(tmp_path)).collect())
+    assert got == [(0, 0), (0, 1), (2, 2), (3, 3)]
