@@ -33,8 +33,8 @@ LARGE = 0.4
 GROUPS = 256
 END_OF_DOCUMENT = 0
 #: Words, and parts of words, whose ids a worker remembers before it starts anew.
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PARTS = 500_000
+REMEMBERED_WORDS = 900_000
+REMEMBERED_PARTS = 700_000
 #: Characters that are tokenised at once.
 TOGETHER = 1_000_000
 PARTS = 1024
@@ -116,12 +116,22 @@ class WordEncoder:
             self.parts.update(zip(some, found, strict=True))
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which later tasks find with what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
         for batch in batches:
             offsets = text_buffer(batch.column(1))[1]
