@@ -74,7 +74,7 @@ class WordEncoder:
             self.parts = {}
         cut, plain, odd = [], set(), set()
         for text in texts:
-            simple = self.OTHER.search(text) is None
+            simple = "<|" not in text if text.isascii() else self.OTHER.search(text) is None
             words = (text.lower() if simple else text).replace("\n", " ").split(" ")
             cut.append(words)
             (plain if simple else odd).update(words)
