@@ -37,12 +37,12 @@ def supplier_edges(spark, sf_dir) -> DataFrame:
     """The edges used below: suppliers whose parts follow each other in an order, weighted by how often."""
     l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(
         F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("src"), F.min(F.when(F.col("l_linenumber") == 2, F.col("l_suppkey"))).alias("dst"))
-    return l.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst AND src % 7 <> 3").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return l.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 _EDGES = """
     e AS (SELECT src, dst, count(*) AS weight FROM (SELECT l_orderkey, min(CASE WHEN l_linenumber = 1 THEN l_suppkey END) AS src, min(CASE WHEN l_linenumber = 2 THEN l_suppkey END) AS dst FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-      WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst AND src % 7 <> 3 GROUP BY 1, 2)
+      WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2)
 """
 
 
@@ -146,11 +146,12 @@ def coupling_instability(spark, sf_dir):
     return g.select("node", "ca", "ce", F.round(F.col("ce") / (F.col("ca") + F.col("ce")), 4).alias("instability"))
 
 
-@query("dead_nodes", "WITH" + _EDGES + "SELECT s_suppkey AS node, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM e) AND s_acctbal > 0")
+@query("dead_nodes", "SELECT p_partkey AS node, p_name AS name FROM part WHERE p_size > 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09)")
 def dead_nodes(spark, sf_dir):
     """Nodes that nothing refers to and that are no entry points."""
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 0")
-    return s.join(supplier_edges(spark, sf_dir), s.s_suppkey == F.col("dst"), "left_anti").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))
+    p = table(spark, sf_dir, "part").where("p_size > 1")
+    used = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.09")
+    return p.join(used, p.p_partkey == used.l_partkey, "left_anti").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
 
 
 @query("reverse_adjacency", "WITH" + _EDGES + "SELECT dst AS node, count(*) AS importers, CAST(sum(weight) AS BIGINT) AS weight, string_agg(src, ',' ORDER BY src) AS sources FROM e GROUP BY 1")
@@ -218,7 +219,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 @query("import_cycles")
 def import_cycles(spark, sf_dir):
-    e = supplier_edges(spark, sf_dir).where("src < dst OR src % 5 = 0")
+    e = supplier_edges(spark, sf_dir).where("src < dst OR weight >= 4")
     return strong_components(e).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("members"))
 
 

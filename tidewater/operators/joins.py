@@ -97,7 +97,7 @@ def reference_edges(spark, sf_dir):
 @query(
     "range_join_latest_start",
     """
-    WITH p AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(floor(l_quantity * 10) AS BIGINT) AS pos FROM lineitem WHERE l_linenumber <= 3),
+    WITH p AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(floor(l_quantity * 10) AS BIGINT) AS pos FROM lineitem),
     s AS (SELECT s_suppkey, s_suppkey % 40 * 10 AS a, s_suppkey % 40 * 10 + 150 AS b FROM supplier)
     SELECT l_orderkey, l_linenumber, pos, window_start FROM (SELECT l_orderkey, l_linenumber, pos, a AS window_start, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, pos ORDER BY a DESC) AS r
       FROM p JOIN s ON s_suppkey = l_suppkey AND pos BETWEEN a AND b) WHERE r = 1
@@ -105,7 +105,7 @@ def reference_edges(spark, sf_dir):
 )
 def range_join_latest_start(spark, sf_dir):
     """Rows in a window of their supplier; of several windows the one that starts last."""
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_partkey", F.col("l_suppkey").alias("key"), "l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") * 10).alias("pos"))
+    p = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("key"), "l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") * 10).alias("pos"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 40 * 10).alias("a"), (F.col("s_suppkey") % 40 * 10 + 150).alias("b"))
     hit = range_join(p, "pos", s, "a", "b", ["key"], 100)
     return hit.groupBy("l_orderkey", "l_linenumber", "l_partkey", "key", "pos").agg(F.max("a").alias("window_start")).drop("l_partkey", "key")
@@ -156,14 +156,14 @@ def live_union_imported(spark, sf_dir):
 @query(
     "enclosing_symbol",
     """
-    WITH c AS (SELECT l_orderkey AS id, l_suppkey AS file, CAST(l_quantity AS BIGINT) AS line FROM lineitem WHERE l_linenumber = 1),
+    WITH c AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS file, CAST(l_quantity AS BIGINT) AS line FROM lineitem),
     s AS (SELECT p_partkey AS symbol, p_partkey % 100 + 1 AS file, p_size % 30 AS a, p_size % 30 + 5 + p_partkey % 17 AS b FROM part)
     SELECT id, file, line, symbol FROM (SELECT id, c.file, line, symbol, row_number() OVER (PARTITION BY id, c.file, line ORDER BY b - a, a, symbol) AS r FROM c JOIN s ON c.file = s.file AND line BETWEEN a AND b) WHERE r = 1
     """,
 )
 def enclosing_symbol(spark, sf_dir):
     """The innermost symbol whose span holds a line: shortest span, then earliest start."""
-    c = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("file"), F.col("l_quantity").cast("long").alias("line"))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("file"), F.col("l_quantity").cast("long").alias("line"))
     start = F.col("p_size") % 30
     s = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 100 + 1).alias("file"), start.cast("long").alias("a"), (start + 5 + F.col("p_partkey") % 17).alias("b"))
     hit = range_join(c, "line", s, "a", "b", ["file"], 16)

@@ -33,11 +33,11 @@ def capped_records(spark, sf_dir):
 
 @query(
     "upserted_rows",
-    "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, v FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY v DESC, side DESC) AS r FROM (SELECT c_custkey, c_acctbal, 1 AS v, 0 AS side FROM customer UNION ALL SELECT c_custkey, c_acctbal + 1, 1 + c_custkey % 2, 1 FROM customer WHERE c_custkey % 3 = 0)) WHERE r = 1",
+    "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, v FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY v DESC, side DESC) AS r FROM (SELECT c_custkey, c_acctbal, 1 AS v, 0 AS side FROM customer UNION ALL SELECT c_custkey, c_acctbal + 1, 1 + c_custkey % 2, 1 FROM customer WHERE c_acctbal > 5000)) WHERE r = 1",
 )
 def upserted_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.lit(1).cast("long").alias("v"))
-    changes = c.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), (1 + F.col("c_custkey") % 2).alias("v"))
+    changes = c.where("c_acctbal > 5000").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), (1 + F.col("c_custkey") % 2).alias("v"))
     return upsert(c, changes, ["c_custkey"], "v").select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"), "v")
 
 
