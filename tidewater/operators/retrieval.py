@@ -49,9 +49,10 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     Repeated query terms count again; the mean length is at least 1; terms with idf <= 0 add nothing. ``unseen`` is only
     a matter of terms that no document has, which never meet a document here.
     """
-    cut = docs.select(key, tokens(F.col(text)).alias("t"))
-    stats = F.broadcast(cut.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("avgdl")))  # one row
-    index = cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    index = term_table(docs, key, text)
+    # the number of documents needs no text, and the sum of lengths is that of the counts: texts are cut once
+    total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = F.broadcast(docs.agg(F.count("*").alias("n")).join(total).select("n", F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("avgdl")))  # one row
     q = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     wanted = index.join(q.select("term").distinct(), "term", "left_semi")  # other terms never reach the sums below
     df = wanted.groupBy("term").agg(F.count("*").alias("df")).join(stats)
