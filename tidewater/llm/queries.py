@@ -74,9 +74,8 @@ def op6_lm_scoring(spark, sf_dir):
 
 def op7_toxicity(spark, sf_dir):
     docs, held_out = documents(spark, sf_dir), fold_remainder("doc_id", 3) == 1
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled_id"), "toxic")
-    learnt = docs.where(~held_out).join(labels, F.col("doc_id") == F.col("labelled_id"))
-    out = toxicity.predict(docs, toxicity.train(learnt))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    out = toxicity.predict(docs, toxicity.train(docs, labels))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
