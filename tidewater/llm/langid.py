@@ -39,10 +39,12 @@ def _letter_table() -> np.ndarray:
 
 
 def _chunks(texts: list[str]):
-    """Lists of (index, piece) with about ``_CHUNK`` characters; a longer text comes in overlapping pieces."""
+    """Lists of (index, piece) with about ``_CHUNK`` characters; a longer text comes in several pieces.
+
+    A piece has spaces around it like a text, so that of millions of grams the few across a cut differ.
+    """
     held, size = [], 0
     for i, text in enumerate(texts):
-        # pieces overlap by two characters, so that each gram of the text is in one piece (those of the overlap in two)
         for start in range(0, max(len(text), 1), _CHUNK):
             piece = text[start : start + _CHUNK]
             if held and size + len(piece) > _CHUNK:
