@@ -6,31 +6,18 @@ one number, the change or a count, comes to the driver.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..shared import shared_folder
 from ..sources.tables import table
 
-_own: list[str] = []
-
 
 def _step(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own:
-            keep = tempfile.TemporaryDirectory(prefix="tidewater-graph-")
-            atexit.register(keep.cleanup)
-            _own.append(keep.name)
-        root = f"file://{_own[0]}"
-    path = f"{root.rstrip('/')}/tidewater/{label}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def supplier_edges(spark, sf_dir) -> DataFrame:

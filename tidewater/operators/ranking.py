@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, words, zero
 from ..registry import query
+from ..shared import shared_folder
 from ..sources.tables import table
 from .graph import bounded_bfs, supplier_edges
 from .retrieval import _BM25_SQL, bm25, top_k
@@ -243,19 +244,17 @@ def duplicate_clusters(spark, sf_dir):
     Pairs meet on a shared word of their rarest ones (a pair that alike must share one of the first quarter plus one in
     order of rarity), are verified, and the greedy pass runs on the links of each connected group.
     """
-    from ..streaming.folds import _folder
-
     d = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("w"))
     df = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     ranked = d.select("id", F.explode("w").alias("word")).join(df, "word").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda s: s.word).alias("w"))
-    ranked.write.parquet(path := _folder(spark, "ranked"))
+    ranked.write.parquet(path := shared_folder(spark, "ranked"))
     ranked = spark.read.parquet(path)
     prefix = ranked.select("id", "w", F.explode(F.slice("w", 1, (F.size("w") - F.ceil(F.size("w") * 0.75) + 1).cast("int"))).alias("word"))
     a, b = prefix.alias("a"), prefix.alias("b")
     pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("seed"), F.col("b.id").alias("member"), F.col("a.w").alias("wa"), F.col("b.w").alias("wb")).dropDuplicates(["seed", "member"])
     links = pairs.where(jaccard(F.col("wa"), F.col("wb"), 0.0) >= 0.75).select("seed", "member")
     # an item is a seed if no smaller seed takes it: settled in rounds, each of which decides all with no undecided smaller neighbour
-    links.write.parquet(path := _folder(spark, "links"))
+    links.write.parquet(path := shared_folder(spark, "links"))
     links = spark.read.parquet(path)
     undecided, taken = d.select("id"), None
     while undecided.limit(1).count():
@@ -263,10 +262,10 @@ def duplicate_clusters(spark, sf_dir):
         seeds = undecided.join(waiting, "id", "left_anti").select(F.col("id").alias("seed"))
         got = seeds.join(links, "seed").join(undecided.withColumnRenamed("id", "member"), "member", "left_semi").groupBy("member").agg(F.min("seed").alias("seed"))
         step = got.select("seed", "member").unionByName(seeds.select("seed", F.col("seed").alias("member")))
-        step.write.parquet(path := _folder(spark, "clusters"))
+        step.write.parquet(path := shared_folder(spark, "clusters"))
         step = spark.read.parquet(path)
         taken = step if taken is None else taken.unionByName(step)
-        undecided.join(step.select(F.col("member").alias("id")), "id", "left_anti").write.parquet(path := _folder(spark, "undecided"))
+        undecided.join(step.select(F.col("member").alias("id")), "id", "left_anti").write.parquet(path := shared_folder(spark, "undecided"))
         undecided = spark.read.parquet(path)
     return taken if taken is not None else spark.createDataFrame([], "seed long, member long")
 

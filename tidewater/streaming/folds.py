@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-
-_own: list[str] = []
-
-
-def _folder(spark: SparkSession, label: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own:
-            keep = tempfile.TemporaryDirectory(prefix="tidewater-stream-")
-            atexit.register(keep.cleanup)
-            _own.append(keep.name)
-        root = f"file://{_own[0]}"
-    return f"{root.rstrip('/')}/tidewater/{label}-{uuid.uuid4().hex}"
+from ..shared import shared_folder as _folder
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
