@@ -33,7 +33,7 @@ BEAM = 12
 AUDIT = 200
 LEAST_RECALL = 0.9
 MODEL_LIMIT = 256 << 20
-_BLOCK = 512
+_BLOCK = 256
 
 
 # ---------------------------------------------------------------- numpy side
@@ -94,6 +94,14 @@ def prune(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return edges // n, edges % n
 
 
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray, piece: int = 50_000) -> np.ndarray:
+    """Products of rows ``a[i]`` and ``b[i]``, a bounded piece at a time."""
+    out = np.empty(len(a), dtype=x.dtype)
+    for i in range(0, len(a), piece):
+        out[i : i + piece] = np.einsum("ij,ij->i", x[a[i : i + piece]], x[b[i : i + piece]])
+    return out
+
+
 def search(x: np.ndarray, begin: np.ndarray, to: np.ndarray, exact: np.ndarray):
     """Yields arrays (i, j) of pairs i != j with cosine >= ``COSINE``: i the query, j what its search meets.
 
@@ -133,7 +141,7 @@ def search(x: np.ndarray, begin: np.ndarray, to: np.ndarray, exact: np.ndarray):
             met = near[row, col]
             seen[active[row], met] = True
             value = np.full(near.shape, -2.0, dtype=np.float32)
-            value[row, col] = np.einsum("ij,ij->i", x32[query[active[row]]], x32[met])
+            value[row, col] = _dots(x32, query[active[row]], met)
             all_ids = np.concatenate([beam[active], np.where(fresh, near, -1)], axis=1)
             all_scores = np.concatenate([score[active], value], axis=1)
             all_done = np.concatenate([done[active], np.zeros(near.shape, bool)], axis=1)
@@ -150,23 +158,24 @@ def search(x: np.ndarray, begin: np.ndarray, to: np.ndarray, exact: np.ndarray):
         tried = within.copy()
         while len(row):
             grown_row, grown = [], []
-            for i in range(0, len(row), 50_000):
-                near = lists[node[i : i + 50_000]]
-                r = np.repeat(row[i : i + 50_000], degree)[near.ravel() >= 0]
+            step = max(1, 500_000 // degree)  # a hub has many neighbours
+            for i in range(0, len(row), step):
+                near = lists[node[i : i + step]]
+                r = np.repeat(row[i : i + step], degree)[near.ravel() >= 0]
                 c = near.ravel()[near.ravel() >= 0]
                 new = ~tried[r, c]
                 pairs = np.unique(r[new] * n + c[new])
                 r, c = pairs // n, pairs % n
                 tried[r, c] = True
-                good = np.einsum("ij,ij->i", x32[query[r]], x32[c]) >= REACH
+                good = _dots(x32, query[r], c) >= REACH
                 grown_row.append(r[good])
                 grown.append(c[good])
             row, node = np.concatenate(grown_row), np.concatenate(grown)
             within[row, node] = True
         row, node = np.nonzero(within)
-        for i in range(0, len(row), 200_000):
-            a, b = query[row[i : i + 200_000]], node[i : i + 200_000]
-            cosine = np.einsum("ij,ij->i", exact[a], exact[b]) / (lengths[a] * lengths[b])
+        for i in range(0, len(row), 100_000):
+            a, b = query[row[i : i + 100_000]], node[i : i + 100_000]
+            cosine = _dots(exact, a, b) / (lengths[a] * lengths[b])
             good = (cosine >= COSINE) & (a != b)
             yield a[good], b[good]
 
