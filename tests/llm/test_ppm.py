@@ -73,3 +73,18 @@ def test_no_training_rows(spark):
     assert abs(got[1].score - 3 * math.log10(1 / 257)) < 1e-9 and got[1].n_known == 0 and got[1].train_tokens == 0
     assert got[2].n_tokens == 1 and got[1].base_score == 0
     assert ppm.score(df.where("false"), df).collect() == []
+
+
+def test_rare_grams_of_a_large_corpus_count(spark):
+    rng = random.Random(5)
+    # more than 2**21 bytes, with words and letters that occur once or twice in all
+    training = [" ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=6000)) for _ in range(110)]
+    training += [f"zephyr{i} qu{chr(0x4E00 + i)}x " + "".join(rng.choices("bcdfghjklm", k=12)) for i in range(200)]
+    assert sum(len(t.encode()) for t in training) > 1 << 21
+    asked = [*training[-200::20], "the zephyr9 quux", "bcdf cat \u4e07", "\u0416\u0416", ""]
+    train = spark.createDataFrame([(t,) for t in training], "text string").repartition(4)
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id int, text string")
+    score = slow_ppm(training)
+    for settings in ({}, {"most": 40}):
+        got = {r.doc_id: r.score for r in ppm.score(docs, train, **settings).collect()}
+        assert all(abs(got[i] - score(t)) < 1e-6 for i, t in enumerate(asked)) and len(got) == len(asked)

@@ -1,13 +1,15 @@
 """LM scoring by prediction by partial matching, with a word unigram model beside it as the base.
 
 Model: counts of the byte after each context of up to ``ORDER`` bytes, over all training texts (A-Z lower-cased, UTF-8,
-an end mark after each). A trie node is kept if it holds at least one ``NODES``-th of all bytes, so each order has
-``NODES`` nodes at most whatever the input, which bounds what is broadcast; the counts themselves leave nothing out.
+an end mark after each). Every gram counted stays in the model, which is a written table and grows with the input. The
+``GRAMS`` most frequent ones are broadcast with their probabilities; each document keeps its other grams as a list. What
+these are worth is worked out where the trie is: dealt by the last two bytes of the context, all longer contexts and
+their shorter ones come together, and of the orders below there are no more than the bytes and pairs of bytes.
 
 A byte's probability is that of the longest known context in which it was seen. Each context gives as many counts to
 escape as it has distinct bytes (escape method C). After an escape, bytes seen in the longer context are excluded from
 the shorter one. Below the empty context all bytes never seen share what is left. All this is worked out per trie node
-once: a byte seen in its full context, as nearly all are, costs one look-up in a hash table.
+once: a byte that is frequent in its full context, as nearly all are, costs one look-up in a hash table.
 
 Base: word counts over all training texts. Words that make up at least one ``HEAD``-th of all are broadcast (``HEAD`` at
 most); each document keeps the other words as a list, and those are joined with the counts.
@@ -27,7 +29,10 @@ from pyspark.sql import types as T
 from .common import ASCII_LOWER, materialise, segment_sums, slices, text_buffer
 
 ORDER = 4
-NODES = 1 << 21
+#: Grams broadcast at most; the others are joined.
+GRAMS = 1 << 20
+#: Grams that are put into one trie, about.
+TRIE = 100_000
 HEAD = 1 << 17
 END = 0xFF  # does not occur in UTF-8
 ALPHABET = 257
@@ -238,22 +243,49 @@ def count_corpus(training: DataFrame, text_column: str, order: int = ORDER) -> t
     return materialise(total("gram"), "grams"), materialise(total("word"), "words")
 
 
-def collect_model(grams: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The trie of all nodes with at least one ``nodes``-th of the bytes: ``nodes`` rows at most for each order."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // nodes))
-    found = []
-    for k in range(order + 1):
-        short = grams.select(F.col("gram").bitwiseAND(F.lit((1 << (8 * k + 8)) - 1)).alias("gram"), "n")
-        rows = short.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        keys, counts = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-        by_key = np.argsort(keys)
-        found.append((keys[by_key].astype(np.int64), counts[by_key].astype(np.int64)))
-    return Model(found)
+def frequent_grams(grams: DataFrame, most: int = GRAMS) -> tuple[HashTable, int]:
+    """The most frequent grams, ``most`` at most, with the log of their probability; the number of all grams."""
+    levels = grams.groupBy(F.floor(F.log2("n") * 8).alias("level")).agg(F.count("*"), F.min("n")).collect()
+    least, distinct = 1 << 62, 0
+    for _, count, low in sorted(map(tuple, levels), reverse=True):
+        distinct += count
+        least = low if distinct <= most else least
+    # what follows a context is counted over all grams, rare ones too
+    contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg((F.sum("n") + F.count("*")).alias("all"))
+    rows = grams.where(F.col("n") >= least).join(contexts, F.shiftright("gram", 8) == F.col("context")).select("gram", "n", "all").toArrow()
+    keys, n, total = (rows.column(c).to_numpy() for c in ("gram", "n", "all"))
+    return HashTable(keys.astype(np.int64), np.log(n) - np.log(total)), distinct
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of order ``k`` (sorted) and their counts, from longer ones."""
+    short, at = np.unique(keys & ((1 << (8 * k + 8)) - 1), return_inverse=True)
+    return short, np.bincount(at, weights=counts, minlength=len(short)).astype(np.int64)
+
+
+def probabilities(wanted: DataFrame, grams: DataFrame, distinct: int, order: int = ORDER) -> DataFrame:
+    """``gram`` and ``log_p`` of each row of ``wanted`` (distinct grams, in the model or not), from all of ``grams``."""
+    near = min(order, 2)
+    # bytes and pairs of bytes: 2**16 rows at most
+    rows = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * near)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = rows.column("gram").to_numpy().astype(np.int64), rows.column("n").to_numpy()
+    below = grams.sparkSession.sparkContext.broadcast([_summed(keys, counts, k) for k in range(near)])
+    # all grams whose contexts end alike go to one trie
+    trie = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * near)) - 1))), F.lit(-(-distinct // TRIE) or 1)).alias("trie")
+
+    def work_out(_, known, asked):
+        history = asked.column("gram").to_numpy()
+        if not len(history):
+            return pa.table({"gram": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64())})
+        keys, counts = known.column("gram").to_numpy(), known.column("n").to_numpy()
+        model = Model(below.value + [_summed(keys, counts, k) for k in range(near, order + 1)])
+        return pa.table({"gram": pa.array(history), "log_p": pa.array(model.log_probabilities(history))})
+
+    return grams.select(trie, "gram", "n").groupBy("trie").cogroup(wanted.select(trie, "gram").groupBy("trie")).applyInArrow(work_out, "gram long, log_p double")
 
 
 # ---------------------------------------------------------------- scoring
-def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",), order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",), order: int = ORDER, most: int = GRAMS) -> DataFrame:
     """The ``carry`` columns of each row of ``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Null and empty texts have one token, the end, and the probability of an end mark at the start. With no training row
@@ -262,7 +294,8 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
     """
     spark = docs.sparkSession
     grams, words = count_corpus(training, text_column, order)
-    model = spark.sparkContext.broadcast(collect_model(grams, order))
+    table, distinct = frequent_grams(grams, most)
+    frequent = spark.sparkContext.broadcast(table)
     n_docs = training.count()
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, vocabulary = n_words + n_docs, kinds + bool(n_docs)
@@ -275,17 +308,33 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
     rows = docs.select(*[F.col(c) for c in carry], F.monotonically_increasing_id().alias("_row"), F.col(text_column).cast("string").alias("_text"))
     kept = len(carry) + 1
     schema = rows.drop("_text").schema.add("n_tokens", "long").add("n_known", "long").add("known_logs", "double").add("score", "double").add("rare", T.ArrayType(T.BinaryType())).add("rare_n", T.ArrayType(T.LongType()))
+    schema = schema.add("missed", T.ArrayType(T.LongType())).add("missed_n", T.ArrayType(T.LongType()))
     names = [f.name for f in schema]
 
+    def look_up(packed, starts):
+        """Log-probabilities of frequent grams (0 for others), and the others of each text: offsets, grams, times."""
+        if not distinct:
+            return np.full(len(packed), -np.log(ALPHABET)), np.zeros(len(starts), np.int32), packed[:0], packed[:0]
+        likely, bits = np.zeros(len(packed)), 8 * order + 8
+        for i in range(0, len(packed), 500_000):
+            slot = frequent.value.find(packed[i : i + 500_000])
+            likely[i : i + 500_000] = np.where(slot < 0, np.nan, frequent.value.values[slot])
+        at = np.flatnonzero(np.isnan(likely))
+        likely[at] = 0.0
+        owner = np.searchsorted(starts, at, side="right") - 1
+        pairs, times = np.unique((owner << bits) | packed[at], return_counts=True)
+        begin = np.r_[0, np.cumsum(np.bincount(pairs >> bits, minlength=len(starts) - 1))]
+        return likely, begin.astype(np.int32), pairs & ((1 << bits) - 1), times
+
     def run(batches):
-        trie, known = model.value, head.value
+        known = head.value
         for whole in batches:
             _, bounds = text_buffer(whole.column(kept))
             for first, last in slices(bounds):
                 batch = whole.slice(first, last - first)
                 data, offsets = text_buffer(batch.column(kept))
                 packed, starts = packed_history(data, offsets, order)
-                likely = np.concatenate([trie.log_probabilities(packed[i : i + 500_000]) for i in range(0, max(1, len(packed)), 500_000)])
+                likely, begin, missed, missed_n = look_up(packed, starts)
                 low = ASCII_LOWER[data].tobytes()
                 n_tokens, n_known, sums, rare, rare_n = [], [], [], [], []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -298,12 +347,19 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
                     rare.append(list(unknown))
                     rare_n.append(list(unknown.values()))
                 columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(segment_sums(likely, starts) / _LOG10), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))]
+                columns += [pa.ListArray.from_arrays(pa.array(begin), pa.array(x, pa.int64())) for x in (missed, missed_n)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names)
 
     scored = materialise(rows.mapInArrow(run, schema), "scored")
     rare = scored.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("pair")).select("_row", F.col("pair.rare").alias("word"), F.col("pair.rare_n").alias("times"))
-    met = rare.join(words, "word").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs"))
+    met = rare.join(words, "word").select("_row", "times", (F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"), F.lit(0.0).alias("gram_logs"))
+    if distinct:
+        missed = scored.select("_row", F.explode(F.arrays_zip("missed", "missed_n")).alias("pair")).select("_row", F.col("pair.missed").alias("gram"), F.col("pair.missed_n").alias("times"))
+        values = probabilities(missed.select("gram").distinct(), grams, distinct, order)
+        met = met.unionByName(missed.join(values, "gram").select("_row", F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("logs"), (F.col("times") * F.col("log_p")).alias("gram_logs")))
+    met = met.groupBy("_row").agg(F.sum("times").alias("more"), F.sum("logs").alias("more_logs"), F.sum("gram_logs").alias("gram_logs"))
     return scored.join(met, "_row", "left").select(
         *carry, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("known_logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"), "score",
+        (F.col("known_logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
+        (F.col("score") + F.coalesce("gram_logs", F.lit(0.0)) / F.lit(float(_LOG10))).alias("score"),
     )
