@@ -62,3 +62,17 @@ def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.detect(d, none).collect()} == {0.5}
     assert all(r.predicted == 1 for r in toxicity.detect(d, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")).collect())
     assert toxicity.detect(d.where("false"), none).collect() == []
+
+
+def test_toxicity_keeps_rare_grams_of_a_large_sample(spark):
+    rng = random.Random(4)
+    words = ["garden", "morning", "station", "kitchen", "window", "teacher"]
+    # well over 2**21 occurrences of grams, among them an expression that four documents hold once each
+    texts = [" ".join(rng.choices(words, k=3000)) + " blorptastic" * (i % 2) + " zvrqkulf" * (i in (41, 43, 45, 47)) for i in range(160)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    l = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    shared, _ = toxicity.train(d, l)
+    marked = toxicity.START + "zvrqkulf" + toxicity.STOP
+    grams = [marked[a:b] for b in range(1, len(marked) + 1) for a in range(max(0, b - toxicity.ORDER), b)]
+    assert (shared.value.table.find(toxicity.Model._keys_of(grams)) >= 0).all()
+    assert shared.value.evidence(["zvrqkulf"])[0] > toxicity.STRONG

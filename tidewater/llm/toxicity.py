@@ -27,8 +27,6 @@ DISCOUNT = 0.75
 DOCS_PER_CLASS = 6_000
 #: Of these, one in so many fits the logistic function instead.
 CALIBRATE = 3
-#: Grams that make up less than one part in so many are left out, so that so many are broadcast at most.
-GRAMS = 1 << 21
 THRESHOLD = 0.7
 #: Evidence of a word from which it counts as strong.
 STRONG = 3.0
@@ -205,11 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", label_c
 
     words = sample.where(~apart).select("_text", "_label").mapInArrow(count_words, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = words.mapInArrow(count_grams, "gram string, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = grams.withColumn("n", F.col("toxic") + F.col("ordinary")).persist()
-    least = max(1, -(-(grams.agg(F.sum("n")).first()[0] or 0) // GRAMS))
+    grams = grams.persist()
+    # every gram counts, those seen once above all; the sample bounds how many there are
     # letters that can stand before a gram: how many longer grams end in it
     longer = grams.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("continuations"))
-    got = grams.where(F.col("n") >= least).join(longer, "gram", "left").select("gram", "toxic", "ordinary", F.coalesce("continuations", F.lit(0)).alias("continuations")).toArrow()
+    got = grams.join(longer, "gram", "left").select("gram", "toxic", "ordinary", F.coalesce("continuations", F.lit(0)).alias("continuations")).toArrow()
     grams.unpersist()
     columns = [got.column(c).to_numpy() for c in ("toxic", "ordinary", "continuations")]
     model = Model(got.column("gram").to_pylist(), *columns)
