@@ -79,3 +79,13 @@ def test_pack_round_trip(spark):
             at += length
         assert at <= 2048
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_word_encoder_cuts_as_the_tokenizer_does():
+    tok = Tokenizer.from_file(PATH)
+    # one part without an end and one with two, were texts cut at blanks and line feeds only
+    blanks = [[f"a{b}b one two three four", f"five x){b}(y six seven"] for b in "\t\v\f\r"]
+    quotes = ["''s", "it.'s", "x-'ll y", "'''t"]
+    for texts in (*blanks, quotes):
+        got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(PATH).encode(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -47,11 +47,12 @@ class WordEncoder:
 
     The tokenizer never joins across white space, so a text's ids are those of its words, one after the other. It also
     never joins letters with other characters. Words of plain Latin letters and ASCII are therefore cut in such parts,
-    and only parts not seen before are encoded, many in one call. Other words are encoded as they stand.
+    and only parts not seen before are encoded, many in one call: a part holds no white space and is one of the tokenizer's
+    own, so that it ends in one token that says so. Other words are encoded as they stand.
     """
 
     #: The tokenizer's own cut, for words of the characters in ``OTHER``'s complement.
-    PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:(?!'(?:s|t|re|ve|m|ll|d))[\W_])+?(?='(?:s|t|re|ve|m|ll|d)|[^\W_]|$)")
+    PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|[\W_]+")
     #: Characters (and the start of special tokens) for which words are not cut or lower-cased here.
     OTHER = re.compile("[^\\x00-\\x7fÀ-ÖØ-öø-ÿŒœ]|<\\|")
 
@@ -75,7 +76,10 @@ class WordEncoder:
         cut, plain, odd = [], set(), set()
         for text in texts:
             simple = "<|" not in text if text.isascii() else self.OTHER.search(text) is None
-            words = (text.lower() if simple else text).replace("\n", " ").split(" ")
+            words = (text.lower() if simple else text).replace("\n", " ")
+            for blank in "\t\r\v\f":  # what else of ASCII the tokenizer takes for white space
+                words = words.replace(blank, " ")
+            words = words.split(" ")
             cut.append(words)
             (plain if simple else odd).update(words)
         plain.difference_update(self.words)
