@@ -82,8 +82,9 @@ class WordEncoder:
             words = words.split(" ")
             cut.append(words)
             (plain if simple else odd).update(words)
-        plain.difference_update(self.words)
-        odd.difference_update(self.words, plain)
+        # difference() goes through the fresh words, the operators and updates through all that are remembered
+        plain = plain.difference(self.words)
+        odd = odd.difference(self.words, plain)
         if plain:
             # most words are letters alone, or with one mark after them
             known, split, fresh = self.parts, [], set()
@@ -96,7 +97,7 @@ class WordEncoder:
                     parts = self.PARTS.findall(word)
                 split.append(parts)
                 fresh.update(parts)
-            self._learn(fresh - known.keys())
+            self._learn(fresh.difference(known))
             for word, parts in zip(plain, split, strict=True):
                 self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
         if odd:
