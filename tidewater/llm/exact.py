@@ -13,12 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialise, union_all
 
@@ -115,15 +113,12 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def with_digest(docs: DataFrame, name: str, text_column: str = "text") -> DataFrame:
-    """``docs`` with the SHA-256 of each row's normalised text as column ``name``."""
-    at, names = docs.columns.index(text_column), [*docs.columns, name]
+    """``docs`` with the SHA-256 of each row's normalised text as column ``name``; only texts leave the engine."""
 
-    def run(batches):
-        for batch in batches:
-            found = [hashlib.sha256((t.as_buffer().to_pybytes() if t.is_valid else b"").lower()).digest() for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256((t.as_buffer().to_pybytes() if t.is_valid else b"").lower()).digest() for t in texts], pa.binary())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return docs.withColumn(name, F.arrow_udf(run, "binary")(F.col(text_column).cast("string")))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
