@@ -10,53 +10,88 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import exact, langid, mixing, packing, simhash
-from tidewater.llm.common import documents, fold_remainder, materialise
+from tidewater.llm.common import discard, documents, fold_remainder, materialise
 from tidewater.llm.queries import tokenizer_path
 
 #: A document is rejected if no language is as likely as this, or if it has no letter.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that ``docs`` does not have."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those without a letter, or with no likely language, go."""
+    """Documents whose language is known: those without a letter (null and empty texts too), or with no likely language, go.
+
+    Languages are learnt from the rows of four folds out of five that have a label. Repeated rows share one fate. An
+    empty table stays empty. Of all columns only the text leaves the engine.
+    """
+    (found,) = _free(docs, "found")
     languages, matrix = langid.train(docs.where(fold_remainder("doc_id", 5) != 0))
-    out = langid.predict(docs, languages, matrix, carry=tuple(docs.columns), into=("__language", "__likelihood"))
-    return out.where((F.col("__language") != langid.UNKNOWN) & (F.col("__likelihood") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    out = docs.withColumn(found, langid.classifier(spark, languages, matrix)(F.col("text").cast("string")))
+    return out.where((F.col(found)["language"] != langid.UNKNOWN) & (F.col(found)["score"] >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id; rows that repeat both id and text become one."""
+    """Of equal texts the row with the largest id; rows that repeat both id and text become one.
+
+    Null counts as empty, and a null id as smaller than any other.
+    """
+    (digest,) = _free(docs, "digest")
     found = materialise(exact.exact_dedup(docs), "exact")
-    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("digest").alias("__gone")).distinct()
-    rows = exact.with_digest(docs, "__digest")
-    kept = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    gone = found.where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    rows = exact.with_digest(docs, digest)
+    kept = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (rows[digest] == gone["gone_digest"]), "left_anti")
     if found.where("kept and keep_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
+        kept = kept.dropDuplicates(["doc_id", digest])
     return kept.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates. An id goes only if all of its rows do."""
+    """The document with the smallest id of each group of near-duplicates. An id goes only if all of its rows do.
+
+    Texts without a word (null and empty too) are near-duplicates of each other. A null id is larger than any other.
+    """
     found = simhash.near_duplicates(docs)
-    ids = found.groupBy(F.col("id").alias("__id")).agg(F.bool_or(F.col("id").eqNullSafe(F.col("component"))).alias("kept"))
-    gone = ids.where("not kept").select("__id")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    ids = found.groupBy(F.col("id").alias("gone_id")).agg(F.bool_or(F.col("id").eqNullSafe(F.col("component"))).alias("stays"))
+    gone = ids.where("not stays").select("gone_id")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be never."""
-    out = mixing.mix(docs).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("times").alias("__times"))
-    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1]))
-    out = out.withColumn("__number", number("__id", "__source", "__words"))
-    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__of": F.col("source").cast("string"), "__size": mixing.words_in(F.col("text").cast("string"))})
-    rows = rows.withColumn("__place", number("__doc", "__of", "__size"))
-    same = F.col("__doc").eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")) & (F.col("__place") == F.col("__number"))
-    taken = rows.join(out.where("__times > 0"), same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Each document as often as the mix takes it, which may be never.
+
+    Null and empty texts have no words and are taken like others of their source. Rows alike in id, source and size are
+    told apart by their texts, so that reruns agree. An empty table stays empty.
+    """
+    doc, of, size, place, copy = _free(docs, "doc", "of", "size", "place", "copy")
+    same = ("mix_id", "mix_source", "mix_size")
+    out = materialise(mixing.mix(docs), "mix").select(F.col("id").alias(same[0]), F.col("source").alias(same[1]), F.col("size").alias(same[2]), F.col("times").alias("mix_times"))
+    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), of: F.col("source").cast("string"), size: mixing.words_in(F.col("text").cast("string"))})
+    alike = out.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if alike:
+        out = out.withColumn("mix_place", F.row_number().over(Window.partitionBy(*same).orderBy("mix_times")))
+        text = F.col("text").cast("string")
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(doc, of, size).orderBy(F.xxhash64(text), text)))
+    out = out.where("mix_times > 0")
+    match = rows[doc].eqNullSafe(out[same[0]]) & rows[of].eqNullSafe(out[same[1]]) & (rows[size] == out[same[2]])
+    taken = rows.join(out, match & (rows[place] == out["mix_place"]) if alike else match)
+    repeated = taken.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), out["mix_times"])).alias(copy))
+    return repeated.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place."""
+    """Pieces of token ids with their sequence and place.
+
+    Null and empty texts are one piece that holds the end of document alone; each row of a repeated id is packed on its own.
+    """
     out = packing.pack(docs, tokenizer_path())
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
 
@@ -69,6 +104,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialise(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
