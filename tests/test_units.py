@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalars import bucket, cosine, error_fingerprint, jaccard
+from tidewater.functions.scalars import bucket, cosine, error_fingerprint, jaccard, log_signature
 from tidewater.operators import graph, joins, relational, retrieval, stats, text, windows
 from tidewater.plans import guarded_sql
 from tidewater.sources import connectors
@@ -66,7 +66,9 @@ def test_redaction(spark):
 
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(error_fingerprint(F.lit("Fail at /srv/a.py:12 id 0xFF 'x y'"))) == "fail at <path>:<n> id <hex> <quoted>"
+    assert one(error_fingerprint(F.lit("Fail at /srv/a.py:12 id 0xFF 'x y'"))) == "fail at <path>:<n> id 0xff <quoted>"
+    assert one(error_fingerprint(F.lit("  A\n B 12ab34cd 7 x7 550e8400-e29b-41d4-a716-446655440000 \"q\" "))) == "a b <hex> <n> x7 <id> <quoted>"
+    assert one(log_signature(F.lit("2024-01-02T03:04:05Z  done 12:30 in 5 ms, 3MB 7% x9 -4 deadbeef99"))) == "<time> done <time> in <duration>, <size> <percent> x9 <n> <id>"
     assert [one(bucket(F.lit(v), [1, 5])) for v in (0, 1, 5)] == ["lt_1", "1_5", "ge_5"]
     assert one(jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"), 1.0)) == 1.0
     assert one(cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0

@@ -24,33 +24,49 @@ def days_of(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("day", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))))
 
 
+# What varies in an error message (after lower-casing and collapsing white space), in this order.
+ERROR_MARKS = (
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "<id>"),
+    (r"\b[0-9a-f]{8,}\b", "<hex>"),
+    (r"\b\d+\b", "<n>"),
+    (r"'.*?'|\".*?\"", "<quoted>"),
+    (r"/[^\s:]+", "<path>"),
+)
+# What varies in a log line, in this order.
+LOG_MARKS = (
+    (r"\b\d{4}-\d{2}-\d{2}[T ][0-9:.+-]+Z?\b", "<time>"),
+    (r"\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\b", "<time>"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "<id>"),
+    (r"(?i)\b(?:0x)?[0-9a-f]{8,64}\b", "<id>"),
+    (r"(?i)\b\d+(?:\.\d+)?\s*(?:ns|us|µs|ms|s|sec|secs|seconds?|m|min|mins|minutes?|h|hrs?|hours?)\b", "<duration>"),
+    (r"(?i)\b\d+(?:\.\d+)?\s*(?:[kmgtpe]?i?b|bytes?)\b", "<size>"),
+    (r"\b\d+(?:\.\d+)?%", "<percent>"),
+    (r"(?<![A-Za-z_])[-+]?\d+(?:\.\d+)?(?![A-Za-z_])", "<n>"),
+)
+
+
+def marked(text: Column, marks) -> Column:
+    for pattern, mark in marks:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
+def marked_sql(text: str, marks) -> str:
+    """The same for DuckDB, whose patterns cannot look around themselves."""
+    for pattern, mark in marks:
+        pattern = pattern.replace("(?<![A-Za-z_])", "").replace("(?![A-Za-z_])", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{mark}', 'g')"
+    return text
+
+
 def error_fingerprint(message: Column, limit: int = 260) -> Column:
-    """A message without what varies: ids, hex numbers, numbers, quoted text and paths, in this order."""
-    out = F.lower(message)
-    for pattern, mark in (
-        (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
-        (r"0x[0-9a-f]+", "<hex>"),
-        (r"[0-9]+", "<n>"),
-        (r"'[^']*'|\"[^\"]*\"", "<quoted>"),
-        (r"/[a-z0-9_./-]+", "<path>"),
-    ):
-        out = F.regexp_replace(out, pattern, mark)
-    return F.substring(out, 1, limit)
+    """A message without what varies: ids, hex numbers, whole numbers, quoted text and paths, white space collapsed."""
+    return F.substring(marked(F.regexp_replace(F.lower(F.trim(message)), r"\s+", " "), ERROR_MARKS), 1, limit)
 
 
 def log_signature(line: Column) -> Column:
-    """A log line without its volatile parts."""
-    for pattern, mark in (
-        (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?Z?", "<time>"),
-        (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
-        (r"0x[0-9a-f]+", "<hex>"),
-        (r"\d+(\.\d+)?(ms|s|us)\b", "<duration>"),
-        (r"\d+(\.\d+)?(KB|MB|GB|B)\b", "<size>"),
-        (r"\d+(\.\d+)?%", "<percent>"),
-        (r"\d+", "<n>"),
-    ):
-        line = F.regexp_replace(line, pattern, mark)
-    return line
+    """A log line without its volatile parts, white space collapsed."""
+    return F.trim(F.regexp_replace(marked(line, LOG_MARKS), r"\s+", " "))
 
 
 def slugify(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import jaccard, words, zero
 from ..registry import query
 from ..sources.tables import table
+from .ranking import gram_search
 
 
 # ---------------------------------------------------------------- join helpers
@@ -170,23 +171,35 @@ def enclosing_symbol(spark, sf_dir):
     return hit.groupBy("id", "file", "line").agg(F.min_by("symbol", F.struct(F.col("b") - F.col("a"), "a", "symbol")).alias("symbol"))
 
 
-@query(
-    "block_usage_containment",
-    "SELECT item_id, count(doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY 1",
-)
-def block_usage_containment(spark, sf_dir):
-    """In how many texts a block's start occurs: texts and blocks meet on a word of the block, then are verified.
+def containing(docs: DataFrame, blocks: DataFrame, key: str, text: str, block_key: str, block: str) -> DataFrame:
+    """(``block_key``, ``key``) of texts that contain a block.
 
-    The anchor is the block's longest word in its first 40 characters that the cut leaves whole, so that any text that
-    contains the start contains the anchor as a word or a part of one at its ends only.
+    A block of three words and more has words that any text with it holds whole, all but the first and the last: texts
+    and blocks meet on the longest of these, and only for such pairs is the text fetched. Shorter blocks are looked up by
+    their grams. Null and empty blocks are in no text.
     """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("needle"))
-    inner = F.filter(F.slice(F.split("needle", " "), 2, 100), lambda w: F.length(w) > 0)
-    whole = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(1)))
-    b = b.withColumn("word", F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    # only words that some block is anchored at go on; the blocks' side is small if Spark finds it so
-    hit = d.join(b, "word").where(F.contains("text", "needle")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+    cut = F.split(block, " ")
+    inner = F.filter(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    anchored = blocks.select(block_key, block, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    anchors = anchored.where("word IS NOT NULL")
+    d = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).join(anchors.select("word").distinct(), "word", "left_semi")
+    pairs = d.join(anchors, "word").select(block_key, block, key)
+    hit = pairs.join(docs.select(key, text), key).where(F.contains(text, block)).select(block_key, key)
+    short = anchored.where("word IS NULL").select(block_key, block)
+    return hit.unionByName(gram_search(docs, short, key, text, block).join(short, block).select(block_key, key))
+
+
+_BLOCKS_SQL = "SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, split_part(text, ' ', 1) FROM benchmark UNION ALL SELECT item_id + 2000000, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) FROM benchmark"
+
+
+@query("block_usage_containment", f"SELECT item_id, count(doc_id) AS n FROM ({_BLOCKS_SQL}) b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+def block_usage_containment(spark, sf_dir):
+    """In how many texts a block occurs: whole passages, their first words, and pairs of words."""
+    word = lambda i: F.get(F.split("text", " "), F.lit(i))
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    short = b.select(F.col("item_id") + 1_000_000, word(0)).union(b.select(F.col("item_id") + 2_000_000, F.concat(word(1), F.lit(" "), word(2))))
+    b = b.union(short).withColumnRenamed("text", "block")
+    hit = containing(table(spark, sf_dir, "documents"), b, "doc_id", "text", "item_id", "block").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
     return b.select("item_id").join(hit, "item_id", "left").select("item_id", zero("n").alias("n"))
 
 

@@ -102,18 +102,36 @@ def knapsack_exact(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(solve, "conv_id long, turn long")
 
 
-def trigram_search(docs: DataFrame, needles: DataFrame, key: str, text: str) -> DataFrame:
-    """(``needle``, ``key``) of texts that contain a needle: all of its trigrams must be there, then the text is looked at."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    n = needles.select("needle", grams(F.col("needle")).alias("g")).select("needle", F.size("g").alias("all"), F.explode("g").alias("gram"))
-    index = docs.select(key, F.explode(grams(F.col(text))).alias("gram"))
-    hit = index.join(n, "gram").groupBy("needle", key, "all").agg(F.count("*").alias("n")).where("n = all")
-    return hit.select("needle", key).join(docs.select(key, text), key).where(F.contains(text, "needle")).select("needle", key)
+def _grams(word: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a word, in time that grows with its length only."""
+    c = F.split(word, "")
+    run = lambda i: F.concat(*[F.get(c, i + j) for j in range(size)])
+    return F.when(F.length(word) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(word) - size), run))).otherwise(F.array().cast("array<string>"))
 
 
-@query("trigram_index_search", "SELECT n AS needle, doc_id FROM (VALUES ('Apache License'), ('password='), ('idiot')) v(n) JOIN documents ON contains(text, n)")
+def gram_search(docs: DataFrame, needles: DataFrame, key: str, text: str, needle: str = "needle") -> DataFrame:
+    """(``needle``, ``key``) of texts that contain a needle.
+
+    The longest piece of a needle between spaces must be in some word of the text. Pieces meet the vocabulary, each word
+    once however many texts have it, on their trigrams (shorter ones as a gram of their own length): all of a piece's
+    grams must be there, then the word is looked at, then the text. Null needles, and those of spaces alone, match nothing.
+    """
+    longest = F.array_max(F.transform(F.filter(F.split(needle, " "), lambda w: F.length(w) > 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    n = needles.select(needle, longest.alias("piece")).where("piece IS NOT NULL").distinct()
+    c = F.col("piece")
+    of = F.when(F.length(c) == 1, _grams(c, 1)).when(F.length(c) == 2, _grams(c, 2)).otherwise(_grams(c, 3))
+    pieces = n.select("piece").distinct().withColumn("g", of).select("piece", F.size("g").alias("all"), F.explode("g").alias("gram"))
+    words_of = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''")
+    index = words_of.select("word").distinct().select("word", F.explode(F.concat(*[_grams(F.col("word"), size) for size in (1, 2, 3)])).alias("gram"))
+    hit = index.join(pieces, "gram").groupBy("piece", "word", "all").agg(F.count("*").alias("n")).where("n = all").where(F.contains("word", "piece"))
+    found = words_of.join(hit.select("piece", "word"), "word").select("piece", key).distinct().join(n, "piece")
+    return found.select(needle, key).join(docs.select(key, text), key).where(F.contains(text, needle)).select(needle, key).distinct()
+
+
+@query("trigram_index_search", "SELECT n AS needle, doc_id FROM (VALUES ('Apache License'), ('password='), ('idiot'), ('qu'), ('Z')) v(n) JOIN documents ON contains(text, n)")
 def trigram_index_search(spark, sf_dir):
-    return trigram_search(table(spark, sf_dir, "documents"), spark.createDataFrame([("Apache License",), ("password=",), ("idiot",)], "needle string"), "doc_id", "text")
+    needles = spark.createDataFrame([("Apache License",), ("password=",), ("idiot",), ("qu",), ("Z",)], "needle string")
+    return gram_search(table(spark, sf_dir, "documents"), needles, "doc_id", "text")
 
 
 @query(
@@ -134,36 +152,63 @@ def search_verdicts(spark, sf_dir):
     return s.withColumn("streak", streak).select("event_id", verdict.alias("verdict"))
 
 
-# Rules of commit classes, in their order.
-COMMIT_RULES = (("revert", "revert"), ("rename", "rename|move"), ("perf", "perf|speed|faster"), ("bugfix", "fix|bug|error"), ("refactor", "refactor|clean"), ("docs", "doc|readme"), ("test", "test"), ("feature", "add|new|feature"), ("chore", "chore|bump"))
+# Keyword rules of commit classes in their order, and what a conventional prefix stands for.
+COMMIT_RULES = (
+    ("revert", r"\brevert(s|ed|ing)?\b|^revert\b|this reverts commit"),
+    ("rename", r"\bren(ame|aming)\b|\bmov(e|ed|ing)\b"),
+    ("perf", r"\bperf\b|\bperformance\b|\boptimi[sz]e?(s|d|ing)?\b|\bspeed ?up\b|\bfaster\b"),
+    ("bugfix", r"\bfix(es|ed|ing)?\b|\bbug\b|\bhotfix\b|\bpatch\b|\bregression\b|\bcrash\b"),
+    ("refactor", r"\brefactor(s|ed|ing)?\b|\bcleanup\b|\btidy\b|\bsimplif(y|ies|ied)\b"),
+    ("docs", r"\bdocs?\b|\bdocumentation\b|\breadme\b|\bchangelog\b"),
+    ("test", r"\btests?\b|\bunit ?test\b|\bcoverage\b|\bpytest\b|\bspec\b"),
+    ("feature", r"\bfeat\b|\bfeature\b|\badd(s|ed|ing)?\b|\bimplement(s|ed|ing)?\b|\bintroduce(s|d)?\b|\bsupport\b"),
+    ("chore", r"\bchore\b|\bbump\b|\bdeps?\b|\bdependenc(y|ies)\b|\bci\b|\bbuild\b|\brelease\b"),
+)
+COMMIT_PREFIXES = {"feat": "feature", "fix": "bugfix", "perf": "perf", "refactor": "refactor", "docs": "docs", "test": "test", "chore": "chore", "build": "chore", "ci": "chore", "revert": "revert", "style": "refactor"}
+DOC_FILE = r"\.(md|markdown|rst|txt)$|/docs/"
+TEST_FILE = r"(^|/)test_[^/]*$|_test\.py$|\.(test|spec)\.[^/]*$|/tests?/"
 
 
-def commit_class(message: Column) -> Column:
-    """A struct of class and confidence: a conventional prefix, an explicit revert, the first keyword rule, else chore."""
-    m = F.lower(message)
-    both = lambda c, p: F.struct(F.lit(c).alias("class"), F.lit(p).alias("confidence"))
-    prefix = F.regexp_extract(m, r"^(feat|fix|docs|test|refactor|perf|chore)(\([^)]*\))?!?:", 1)
-    out = F.when(prefix != "", F.struct(prefix.alias("class"), F.lit(0.9).alias("confidence"))).when(F.contains(m, F.lit("this reverts commit")), both("revert", 0.85))
+def commit_class(message: Column, files: Column | None = None) -> Column:
+    """A struct of class and confidence.
+
+    In this order: a known conventional prefix of the first line, an explicit revert anywhere, the first keyword rule that
+    the first line meets, what all ``files`` are, else chore. A null or blank message leaves it to the files.
+    """
+    whole = F.lower(F.coalesce(F.trim(message), F.lit("")))
+    subject = F.substring_index(whole, "\n", 1)
+    both = lambda c, p: F.struct((c if isinstance(c, Column) else F.lit(c)).alias("class"), F.lit(p).alias("confidence"))
+    known = F.create_map(*[F.lit(x) for pair in COMMIT_PREFIXES.items() for x in pair])
+    prefix = F.try_element_at(known, F.regexp_extract(subject, r"^([a-z]+)(?:\([^)]*\))?!?:", 1))
+    out = F.when(prefix.isNotNull(), both(prefix, 0.9)).when(F.contains(whole, F.lit("this reverts commit")), both("revert", 0.85))
     for name, pattern in COMMIT_RULES:
-        out = out.when(F.rlike(m, F.lit(rf"\b(?:{pattern})")), both(name, 0.6))
+        out = out.when(F.rlike(subject, F.lit(pattern)), both(name, 0.6))
+    if files is not None:
+        some = F.size(files) > 0
+        every = lambda pattern: some & F.forall(files, lambda f: F.rlike(F.lower(f), F.lit(pattern)))
+        out = out.when(every(DOC_FILE), both("docs", 0.5)).when(every(TEST_FILE), both("test", 0.5))
     return out.otherwise(both("chore", 0.2))
 
 
-_MESSAGE_SQL = "CASE event_type WHEN 'click' THEN 'fix(ui): button ' || event_id WHEN 'view' THEN 'Add page ' || event_id WHEN 'error' THEN 'This reverts commit ' || event_id WHEN 'signup' THEN 'Speed up login' ELSE 'misc ' || event_id END"
+# Messages and files by event type, for the query below.
+_COMMITS = {
+    "click": ("fix(ui): button\nthis reverts commit 1", "src/a.py"), "view": ("Adds a page\nand fixes a bug", "src/b.py"), "error": ("Undo\nThis reverts commit 12", "c.py"),
+    "signup": ("Prefixed: misc", "docs/tests/a.md"), "purchase": ("misc", "pkg/tests/x.py"),
+}
+_PREFIX_SQL = "regexp_extract(s, '^([a-z]+)(?:\\([^)]*\\))?!?:', 1)"
+_COMMIT_SQL = f"""
+    WITH m AS (SELECT event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v[0].lower()}'" for k, v in _COMMITS.items())} END AS m, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in _COMMITS.items())} END AS f FROM events),
+    s AS (SELECT *, split_part(m, '{chr(10)}', 1) AS s FROM m),
+    c AS (SELECT CASE {" ".join(f"WHEN {_PREFIX_SQL} = '{k}' THEN '{v}|0.9'" for k, v in COMMIT_PREFIXES.items())} WHEN contains(m, 'this reverts commit') THEN 'revert|0.85'
+      {" ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}|0.6'" for n, p in COMMIT_RULES)} WHEN regexp_matches(f, '{DOC_FILE}') THEN 'docs|0.5' WHEN regexp_matches(f, '{TEST_FILE}') THEN 'test|0.5' ELSE 'chore|0.2' END AS c FROM s)
+    SELECT split_part(c, '|', 1) AS class, CAST(split_part(c, '|', 2) AS DOUBLE) AS confidence, count(*) AS n FROM c GROUP BY 1, 2
+"""
 
 
-@query(
-    "commit_classes",
-    f"""
-    WITH m AS (SELECT event_id, lower({_MESSAGE_SQL}) AS m FROM events), c AS (SELECT event_id, CASE WHEN regexp_extract(m, '^(feat|fix|docs|test|refactor|perf|chore)(\\([^)]*\\))?!?:', 1) <> '' THEN regexp_extract(m, '^(feat|fix|docs|test|refactor|perf|chore)(\\([^)]*\\))?!?:', 1) || '|0.9'
-      WHEN contains(m, 'this reverts commit') THEN 'revert|0.85' {" ".join(f"WHEN regexp_matches(m, '{chr(92)}b(?:{p})') THEN '{n}|0.6'" for n, p in COMMIT_RULES)} ELSE 'chore|0.2' END AS c FROM m)
-    SELECT split_part(c, '|', 1) AS class, CAST(split_part(c, '|', 2) AS DOUBLE) AS confidence, count(*) AS n FROM c GROUP BY 1, 2
-    """,
-)
+@query("commit_classes", _COMMIT_SQL)
 def commit_classes(spark, sf_dir):
-    e, n = F.col("event_type"), F.col("event_id").cast("string")
-    message = F.when(e == "click", F.concat(F.lit("fix(ui): button "), n)).when(e == "view", F.concat(F.lit("Add page "), n)).when(e == "error", F.concat(F.lit("This reverts commit "), n)).when(e == "signup", "Speed up login").otherwise(F.concat(F.lit("misc "), n))
-    return table(spark, sf_dir, "events").select(commit_class(message).alias("c")).groupBy("c.class", "c.confidence").agg(F.count("*").alias("n"))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in _COMMITS.items() for x in (k, v[i])]), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(commit_class(of(0), F.array(of(1))).alias("c")).groupBy("c.class", "c.confidence").agg(F.count("*").alias("n"))
 
 
 @query(

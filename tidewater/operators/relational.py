@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bucket, days_of, error_fingerprint, zero
+from ..functions.scalars import ERROR_MARKS, bucket, days_of, error_fingerprint, marked_sql, zero
 from ..registry import query
 from ..sources.tables import table
 
@@ -398,14 +398,13 @@ def baseline_deltas(spark, sf_dir):
 
 @query(
     "failure_clusters",
-    """
-    WITH f AS (SELECT event_id, user_id, regexp_replace(regexp_replace(lower('Error at /srv/' || event_type || '/run.py line ' || user_id || ' code 0x' || printf('%x', event_id)), '0x[0-9a-f]+', '<hex>', 'g'), '[0-9]+', '<n>', 'g') AS raw FROM events WHERE event_type <> 'view'),
-    p AS (SELECT *, regexp_replace(raw, '/[a-z0-9_./-]+', '<path>', 'g') AS fingerprint FROM f)
-    SELECT fingerprint, count(*) AS n, count(DISTINCT user_id) AS sessions, round(least(0.95::DOUBLE, 0.45::DOUBLE + 0.08::DOUBLE * count(*)), 6) AS confidence FROM p GROUP BY 1 HAVING count(*) >= 2
+    f"""
+    WITH f AS (SELECT user_id, substr({marked_sql("lower('Error at /srv/' || event_type || '/run.py line ' || user_id || ' key ' || md5(event_type) || ' \"x 1\"')", ERROR_MARKS)}, 1, 260) AS fingerprint FROM events WHERE event_type <> 'view')
+    SELECT fingerprint, count(*) AS n, count(DISTINCT user_id) AS sessions, round(least(0.95::DOUBLE, 0.45::DOUBLE + 0.08::DOUBLE * count(*)), 6) AS confidence FROM f GROUP BY 1 HAVING count(*) >= 2
     """,
 )
 def failure_clusters(spark, sf_dir):
-    message = F.concat(F.lit("Error at /srv/"), "event_type", F.lit("/run.py line "), "user_id", F.lit(" code 0x"), F.lower(F.hex("event_id")))
+    message = F.concat(F.lit("  Error\tat /srv/"), "event_type", F.lit("/run.py line "), "user_id", F.lit(" key "), F.md5("event_type"), F.lit(' "x 1"'))
     f = table(spark, sf_dir, "events").where("event_type <> 'view'").withColumn("fingerprint", error_fingerprint(message))
     return f.groupBy("fingerprint").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("sessions"), F.round(F.least(F.lit(0.95), 0.45 + 0.08 * F.count("*")), 6).alias("confidence")).where("n >= 2")
 

@@ -29,27 +29,34 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
-def tokens(text: Column) -> Column:
-    """Words of letters and digits that start with a letter, camel case cut, without stopwords, stemmed."""
+def kept_words(text: Column) -> Column:
+    """Words of letters and digits that start with a letter, camel case cut, without stopwords."""
     cut = F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"))
     found = F.regexp_extract_all(cut, F.lit("([a-z][a-z0-9]*)"))
-    keep = F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
-    return F.transform(keep, stem)
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
+
+
+def tokens(text: Column) -> Column:
+    """The kept words of a text, stemmed."""
+    return F.transform(kept_words(text), stem)
 
 
 def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``term``, ``tf``, ``dl``: the inverted index, to be written once and read by each search."""
-    cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return cut.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    """``key``, ``term``, ``tf``, ``dl``: the inverted index, to be written once and read by each search.
+
+    Words are stemmed after they are exploded, where the compiled stage does it.
+    """
+    cut = docs.select(key, kept_words(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("word"))
+    return cut.groupBy(key, stem(F.col("word")).alias("term"), "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, unseen: float | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """``query_key``, ``key``, ``score`` of all pairs with a term in common.
 
-    Repeated query terms count again; the mean length is at least 1; terms with idf <= 0 add nothing. ``unseen`` is only
-    a matter of terms that no document has, which never meet a document here.
+    Repeated query terms count again; the mean length is at least 1; terms with idf <= 0 add nothing. With ``index`` (a
+    written ``term_table``) texts are not cut again.
     """
-    index = term_table(docs, key, text)
+    index = term_table(docs, key, text) if index is None else index
     # the number of documents needs no text, and the sum of lengths is that of the counts: texts are cut once
     total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
     stats = F.broadcast(docs.agg(F.count("*").alias("n")).join(total).select("n", F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("avgdl")))  # one row

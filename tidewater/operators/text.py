@@ -45,10 +45,26 @@ SHELL_TOKENS = (";", "|", "&", "`", "$(", ">", "<", "\n", "\r")
 _ANCHOR = r"(?i)key|secret|token|passw|pwd|sk-|shp|ghp_|eyJ|AKIA|ASIA|@|<think|chain|reasoning|thoughts"
 
 
+#: Rules with an opener and a closer, and what their closers look like.
+_CLOSERS = {"<redacted-private-key>": r"-----END [A-Z ]*PRIVATE KEY-----", "(?is)<think>": r"</think(?:ing)?>"}
+
+
+def _replace_spans(text: Column, pattern: str, mark: str, closer: str) -> Column:
+    """Replace spans from an opener to the next closer, in time that grows with the text only.
+
+    After the last closer no span can end: an opener there would be followed to the end of the text for nothing, each
+    time anew. That rest is put aside first.
+    """
+    head = F.regexp_extract(text, f"(?is)^(.*{closer})", 1)
+    rest = F.substr(text, F.length(head) + 1)
+    return F.when(head == "", text).otherwise(F.concat(F.regexp_replace(head, pattern, mark), rest))
+
+
 def redact(text: Column) -> Column:
     out = text
     for pattern, mark in REDACTIONS:
-        out = F.regexp_replace(out, pattern, mark)
+        closer = next((c for start, c in _CLOSERS.items() if start == mark or pattern.startswith(start)), None)
+        out = F.regexp_replace(out, pattern, mark) if closer is None else _replace_spans(out, pattern, mark, closer)
     return F.when(F.rlike(text, F.lit(_ANCHOR)), out).otherwise(text)
 
 

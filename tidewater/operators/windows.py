@@ -168,7 +168,7 @@ def adjacent_batches(spark, sf_dir):
 @query(
     "folded_log_runs",
     """
-    WITH l AS (SELECT user_id, event_id, event_type || ' took ' || event_id || 'ms at ' || CAST(round(value) AS BIGINT) || '%' AS line, event_type || ' took <duration> at <percent>' AS sig FROM events),
+    WITH l AS (SELECT user_id, event_id, event_type || ' took ' || event_id || 'ms at ' || CAST(round(value) AS BIGINT) || '% of 12:30:' || (10 + event_id % 50) AS line, event_type || ' took <duration> at <percent> of <time>' AS sig FROM events),
     c AS (SELECT *, CASE WHEN sig = lag(sig) OVER w THEN 0 ELSE 1 END AS cut FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
     n AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS len, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS pos FROM i)
     SELECT event_id, line, CASE WHEN len >= 4 THEN len - 2 ELSE 0 END AS folded FROM n WHERE len < 4 OR pos = 1 OR pos = len
@@ -176,7 +176,7 @@ def adjacent_batches(spark, sf_dir):
 )
 def folded_log_runs(spark, sf_dir):
     """Adjacent lines with one volatile signature: of four or more only the first and the last stay."""
-    line = F.concat("event_type", F.lit(" took "), "event_id", F.lit("ms at "), F.round("value").cast("long"), F.lit("%"))
+    line = F.concat("event_type", F.lit(" took "), "event_id", F.lit("ms at "), F.round("value").cast("long"), F.lit("% of 12:30:"), 10 + F.col("event_id") % 50)
     l = table(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line")).withColumn("sig", log_signature(F.col("line")))
     cut = F.coalesce(F.col("sig") != F.lag("sig").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(True))
     i = segments(l.withColumn("cut", cut), ["user_id"], ["event_id"], F.col("cut"))
