@@ -51,3 +51,31 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_a_snapshot_is_kept_and_screens_a_later_batch(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact.Snapshot.write(exact.digests(table([(i, f"text {i}") for i in range(3000)])), f"file://{tmp_path}/s")
+    stored = exact.Snapshot(spark, f"file://{tmp_path}/s")
+    batch = exact._grouped(exact.digests(table([(i, f"TEXT {i}") for i in range(2900, 3900)])))
+    found = {r.keep_id: r.maybe for r in exact.screen(batch, stored).collect()}
+    assert all(found[i] for i in range(2900, 3000)) and sum(found.values()) < 130
+
+
+def test_a_batch_far_larger_than_the_snapshot_is_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "BUCKET_KEYS", 40)
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    for share in (0.0, 0.05, 0.6):
+        assert run(spark, rows, snapshot_share=share) == brute(rows)
+
+
+def test_bytes_are_compared(spark, monkeypatch):
+    rows = [(1, "one"), (2, "ONE"), (3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = exact.digests(docs).where("id = 1").select("digest")
+    for limit in (0, 100):
+        monkeypatch.setattr(exact, "BROADCAST_KEYS", limit)
+        exact.check_bytes(docs, digest.selectExpr("digest", "1L AS keep_id", "2L AS old_id"), "doc_id", "text")
+    rows = [(b"a", b"one"), (b"a", b"one"), (b"b", b"one"), (b"b", b"two")]
+    found = exact.differing_bytes(spark.createDataFrame(rows, "digest binary, data binary")).collect()
+    assert [bytes(r.digest) for r in found] == [b"b"]

@@ -5,7 +5,7 @@ The snapshot's distinct digests are dealt to buckets of about ``BUCKET_KEYS`` ke
 three-wise binary-fuse filter of 8-bit fingerprints. The new batch is first grouped by digest on its own, so that a text
 which holds a third of the batch is one row from there on. Digests that the filter of their bucket rejects are new for
 certain; the others join the snapshot's exact bucket, where the whole digest, the byte length and a second, independent
-128-bit digest of the bytes must agree.
+128-bit digest must agree, and the bytes of a text from either side are compared.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, union_all
+from .common import materialise, scratch_path, union_all
 
 #: Snapshot keys in a bucket, on average: one filter is built from that many in one task.
 BUCKET_KEYS = 50_000
+#: Up to so many digests (5 MB of filter) are broadcast to screen texts for the comparison of bytes.
+BROADCAST_KEYS = 1 << 22
 _KEY = ["digest", "n_bytes", "second"]
 
 
@@ -136,35 +138,93 @@ def _key64():
     return F.shiftleft(half(1), 32).bitwiseOR(half(5))
 
 
-def screen(batch: DataFrame, snapshot: DataFrame, n_snapshot: int) -> DataFrame:
-    """The batch's rows with ``maybe``: false where the snapshot certainly lacks the digest."""
-    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, n_snapshot) / BUCKET_KEYS))))
-    dealt = lambda df: df.withColumn("key64", _key64()).withColumn("bucket", F.pmod("key64", F.lit(buckets)))
+class Snapshot:
+    """Texts seen so far, under ``root`` and never changed: a row for each text, and a filter for each bucket of them."""
 
-    def build(key, table):
-        return pa.table({"bucket": [key[0].as_py()], "filter": pa.array([build_fuse_filter(table.column("key64").to_numpy())], pa.binary())})
+    def __init__(self, spark: SparkSession, root: str):
+        self.groups = spark.read.parquet(f"{root}/groups")
+        self.filters = spark.read.schema("bucket long, filter binary, buckets int").parquet(f"{root}/filters")
+        self.buckets = self.filters.agg(F.max("buckets")).first()[0] or 1
 
-    filters = dealt(snapshot).select("bucket", "key64").groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
-    rows = dealt(batch)
+    @classmethod
+    def write(cls, rows: DataFrame, root: str) -> Snapshot:
+        """The snapshot of ``rows`` (of ``digests``)."""
+        _grouped(rows).write.parquet(f"{root}/groups")
+        groups = rows.sparkSession.read.parquet(f"{root}/groups")
+        buckets = 1 << max(0, int(np.ceil(np.log2(max(1, groups.count()) / BUCKET_KEYS))))
+
+        def build(key, table):
+            return pa.table({"bucket": [key[0].as_py()], "filter": pa.array([build_fuse_filter(table.column("key64").to_numpy())], pa.binary()), "buckets": pa.array([buckets], pa.int32())})
+
+        dealt = groups.select(_key64().alias("key64")).withColumn("bucket", F.pmod("key64", F.lit(buckets)))
+        dealt.groupBy("bucket").applyInArrow(build, "bucket long, filter binary, buckets int").write.parquet(f"{root}/filters")
+        return cls(rows.sparkSession, root)
+
+
+def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The batch's groups with ``maybe``: false where the snapshot certainly lacks the digest.
+
+    A filter is handed out several times where the batch has many keys for each bucket of the snapshot.
+    """
+    parts = int(max(1, -(-batch.count() // (snapshot.buckets * BUCKET_KEYS))))
+    rows = batch.withColumn("key64", _key64()).withColumns({"bucket": F.pmod("key64", F.lit(snapshot.buckets)), "part": F.pmod(F.xxhash64("key64"), F.lit(parts))})
+    filters = snapshot.filters.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "filter")
 
     def probe(left, right):
         maybe = np.zeros(left.num_rows, bool)
         if right.num_rows and left.num_rows:
             maybe = probe_fuse_filter(right.column("filter")[0].as_py(), left.column("key64").to_numpy())
-        return left.drop(["key64", "bucket"]).append_column("maybe", pa.array(maybe))
+        return left.drop(["key64", "bucket", "part"]).append_column("maybe", pa.array(maybe))
 
-    schema = rows.drop("key64", "bucket").schema.add("maybe", "boolean")
-    return rows.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, schema)
+    return rows.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInArrow(probe, batch.schema.add("maybe", "boolean"))
 
 
-def exact_groups(rows: DataFrame, in_snapshot) -> DataFrame:
+def differing_bytes(rows: DataFrame) -> DataFrame:
+    """The digests under which rows (``digest``, ``data``) hold different bytes."""
+    return rows.groupBy("digest").agg(F.min("data").alias("least"), F.max("data").alias("most")).where("least <> most").select("digest")
+
+
+def check_bytes(docs: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> None:
+    """Compare the normalised bytes of the two rows that ``pairs`` (``digest``, ``keep_id``, ``old_id``) names for each digest.
+
+    Raises ``ValueError`` should two texts agree in both digests and in length but not in their bytes. Up to
+    ``BROADCAST_KEYS`` digests, a filter over them keeps all other texts from being shuffled; beyond, the join does it alone.
+    """
+    wanted = materialise(pairs.select("digest", F.explode(F.array("keep_id", "old_id")).alias("of")).distinct(), "wanted")
+    screening = None
+    n = wanted.count()
+    if not n:
+        return
+    if n <= BROADCAST_KEYS:
+        one = wanted.select(_key64().alias("key64")).groupBy().applyInArrow(lambda t: pa.table({"filter": pa.array([build_fuse_filter(t.column("key64").to_numpy())], pa.binary())}), "filter binary")
+        screening = docs.sparkSession.sparkContext.broadcast(bytes(one.first()[0]))
+    kind = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
+
+    def run(texts: pa.Array) -> pa.Array:
+        data = [(t.as_buffer().to_pybytes() if t.is_valid else b"").lower() for t in texts]
+        shas = [hashlib.sha256(d).digest() for d in data]
+        if screening is not None and shas:
+            keys = np.frombuffer(b"".join([x[:8] for x in shas]), dtype=">i8").astype(np.int64)
+            kept = probe_fuse_filter(screening.value, keys).tolist()
+            shas, data = [x if k else None for x, k in zip(shas, kept, strict=True)], [x if k else None for x, k in zip(data, kept, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(shas, pa.binary()), pa.array(data, pa.binary())], fields=list(kind))
+
+    found = F.arrow_udf(run, "digest binary, data binary").asNondeterministic()(F.col(text_column).cast("string"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), found.alias("found")).where("found.digest IS NOT NULL").select("id", "found.*")
+    both = rows.join(wanted, (rows["digest"] == wanted["digest"]) & rows["id"].eqNullSafe(wanted["of"]), "left_semi")
+    if differing_bytes(both).limit(1).count():
+        raise ValueError("two texts share their digests and length, but not their bytes")
+
+
+def exact_groups(docs: DataFrame, rows: DataFrame, in_snapshot, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups of equal texts over a snapshot and the batch that follows it; ``in_snapshot`` is a condition on ``rows``."""
-    snapshot = materialise(_grouped(rows.where(in_snapshot)), "snapshot")
-    batch = _grouped(rows.where(~in_snapshot))
-    screened = materialise(screen(batch, snapshot, snapshot.count()), "screened")
+    snapshot = Snapshot.write(rows.where(in_snapshot), scratch_path(docs.sparkSession, "snapshot"))
+    batch = materialise(_grouped(rows.where(~in_snapshot)), "batch")
+    screened = materialise(screen(batch, snapshot), "screened")
     fresh = screened.where("not maybe").drop("maybe")
-    old = snapshot.select(*_KEY, F.col("group_size").alias("old_size"), F.col("keep_id").alias("old_id"), F.col("keep_rows").alias("old_rows"))
-    hit = screened.where("maybe").join(old, _KEY, "left")
+    old = snapshot.groups.select(*_KEY, F.col("group_size").alias("old_size"), F.col("keep_id").alias("old_id"), F.col("keep_rows").alias("old_rows"))
+    hit = materialise(screened.where("maybe").join(old, _KEY, "left"), "hit")
+    check_bytes(docs, hit.where("old_size IS NOT NULL"), id_column, text_column)
     # nulls are smaller than any id here, as they are for max()
     newer = F.col("old_size").isNull() | F.coalesce(F.col("keep_id") > F.col("old_id"), F.col("keep_id").isNotNull() & F.col("old_id").isNull())
     same = F.col("old_size").isNotNull() & F.col("keep_id").eqNullSafe(F.col("old_id"))
@@ -173,7 +233,7 @@ def exact_groups(rows: DataFrame, in_snapshot) -> DataFrame:
         F.when(newer, F.col("keep_id")).otherwise(F.col("old_id")).alias("keep_id"),
         F.when(same, F.col("keep_rows") + F.col("old_rows")).when(newer, F.col("keep_rows")).otherwise(F.col("old_rows")).alias("keep_rows"),
     )
-    rest = snapshot.join(screened.where("maybe").select(*_KEY), _KEY, "left_anti")
+    rest = snapshot.groups.join(hit.select(*_KEY), _KEY, "left_anti")
     return union_all([fresh, met, rest.select(fresh.columns)])
 
 
@@ -188,5 +248,5 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     rows = materialise(digests(docs, id_column, text_column), "digests")
     in_snapshot = F.pmod(F.xxhash64("id"), F.lit(1000)) < int(1000 * snapshot_share)
-    groups = exact_groups(rows, in_snapshot)
+    groups = exact_groups(docs, rows, in_snapshot, id_column, text_column)
     return rows.join(groups, _KEY).select("id", "keep_id", "keep_rows", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
