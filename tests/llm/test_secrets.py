@@ -71,3 +71,25 @@ def test_merging_generalises():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(empty).collect() == []
+
+
+def test_letters_alone_digits_alone_and_short_values_are_scored():
+    rng = random.Random(7)
+    keys = Counter("".join(rng.choices("QXZJKVWY", k=12)) for _ in range(400))
+    pins = Counter("".join(rng.choices("0123456789", k=14)) for _ in range(400))
+    words = Counter("".join(rng.choices(["ther", "and", "ing", "tion", "ou", "en"], k=rng.randrange(2, 6))) for _ in range(600))
+    automata = {"assign": secrets.Automaton(keys), "access": secrets.Automaton(pins), "ordinary": secrets.Automaton(Counter(w for w in words if len(w) >= 8))}
+    text = "therandingou QXZJKVWYQXZJ tionandther 20481357901234 ".replace("  ", " ")
+    _, more = secrets.scan_text(text * 2, automata)
+    assert [text[s % len(text) : (s % len(text)) + e - s] for s, e, _, _ in more] == ["QXZJKVWYQXZJ", "20481357901234"] * 2
+
+
+def test_small_tables_that_all_hold_credentials_learn_ordinary_tokens(spark):
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=24))
+    word = lambda: "".join(rng.choices(["ther", "and", "ing", "tion", "ou", "en"], k=rng.randrange(3, 6)))
+    rows = [(i, f"{word()} {word()} {word()} {word()} token={key()} ") for i in range(40)]
+    rows += [(100, f"see {key()} "), (101, f"see {key()} "), (101, "x" * 3_000_000), (102, "token=" + "xy1" * 400_000)]
+    found = {r.id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("id <> 101 OR size(spans) > 0").collect()}
+    assert [s.kind for s in found[100].spans] == ["format"] and [s.kind for s in found[101].spans] == ["format"]
+    assert [(s.kind, s.end) for s in found[102].spans] == [("assign", 6 + 1_200_000)]

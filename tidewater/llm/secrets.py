@@ -5,7 +5,8 @@ is inferred from a prefix tree with counts: states are merged (with all that fol
 deterministic) if a Hoeffding bound says that their shares of ends and of each symbol could be the same. Symbols are
 classes of characters, and a character has its class's probability over the size of the class.
 
-All candidates, the tokens of some length in a text, are then scored under every automaton. One that no base span
+All candidates, the tokens of a text that have the alphabet and the least length of the labelled kinds, are then scored
+under every automaton; nothing but the likelihood decides. One that no base span
 touches becomes a span of its own, of kind ``format``, if a credential's automaton gives its characters a better
 likelihood than the ordinary one by a margin, and one that is no worse than that of the kind's own credentials.
 """
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
 # The base patterns, in the order in which their kinds are listed, and the least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -29,14 +32,20 @@ KINDS = ("assign", "access", "hex", "format")
 #: A text without any of these (lower case) has no match of the first pattern.
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-CANDIDATE = re.compile(r"(?a)[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 #: About so many credentials of each kind, and ordinary tokens, are learnt from, chosen by a hash of the value.
 SAMPLE = 2_000
-#: Share of documents (one in so many, by a hash of the id) whose ordinary tokens are candidates for the sample.
-ORDINARY_DOCS = 64
+#: Ordinary tokens are drawn from about so many documents (all where there are fewer), chosen by a hash of the id.
+ORDINARY_DOCS = 20_000
+#: Longer values are scored like others, but not learnt from.
+LEARNT_LENGTH = 512
+#: Verdicts on values that a task remembers before it starts anew.
+REMEMBERED = 200_000
 ALPHA = 0.05
 #: Log-likelihood (natural, per character) by which a credential's automaton must lead the ordinary one.
 MARGIN = 0.5
+#: The lead over the whole value must reach this too, or short words that happen to look like one would pass.
+EVIDENCE = 12.0
 #: Slack below the least likelihood (per character) of the kind's own credentials.
 SLACK = 0.15
 END = ""
@@ -167,7 +176,8 @@ class Automaton:
 # ---------------------------------------------------------------- Spark side
 def _labelled(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(``kind``, ``value``) of all base matches, and ordinary tokens of some documents as kind 3."""
-    chosen = F.pmod(F.xxhash64(F.col(id_column)), F.lit(ORDINARY_DOCS)) == 0
+    share = min(1.0, ORDINARY_DOCS / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 20)) < int(share * (1 << 20))
 
     def run(batches):
         for batch in batches:
@@ -181,11 +191,12 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 if some:
                     ends = 0
                     for start, _, stop, _ in [*spans, (len(text), 0, 0, "")]:
-                        ordinary = re.findall(r"(?a)[A-Za-z0-9+/_=-]{6,}", text[ends:start]) if start > ends else []
+                        ordinary = set(CANDIDATE.findall(text[ends:start])) if start > ends else ()
                         kinds += [3] * len(ordinary)
                         values += ordinary
                         ends = max(ends, stop)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
+            kept = [i for i, v in enumerate(values) if len(v) <= LEARNT_LENGTH]
+            yield pa.RecordBatch.from_arrays([pa.array([kinds[i] for i in kept], pa.int32()), pa.array([values[i] for i in kept], pa.string())], ["kind", "value"])
 
     return docs.select(F.col(text_column).cast("string"), chosen).mapInArrow(run, "kind int, value string")
 
@@ -193,38 +204,57 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def infer(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> dict[str, Automaton]:
     """An automaton for each kind of credential found in ``docs`` and one, ``ordinary``, of other tokens.
 
-    Each is inferred from about ``sample`` distinct values (documented bound), chosen by a hash of the value.
+    Each is inferred from about ``sample`` distinct values of up to ``LEARNT_LENGTH`` characters (documented bounds),
+    chosen by a hash of the value.
     """
-    values = _labelled(docs, id_column, text_column).groupBy("kind", "value").agg(F.count("*").alias("n")).persist()
+    values = _labelled(docs, id_column, text_column).groupBy("kind", "value").agg(F.count("*").alias("n"))
+    values = materialise(values, "values")
     sizes = {r[0]: r[1] for r in values.groupBy("kind").count().collect()}
     share = F.coalesce(*[F.when(F.col("kind") == k, min(1.0, sample / n)) for k, n in sizes.items()], F.lit(0.0))
     draw = F.pmod(F.xxhash64("value"), F.lit(1 << 20)) / float(1 << 20)
     got = values.where(draw < share).collect()
-    values.unpersist()
+    discard(values)
     names = ("assign", "access", "hex", "ordinary")
     # every distinct value counts once: copies of a document must not shape a format
     return {names[k]: Automaton(Counter(r.value for r in got if r.kind == k)) for k in sorted(sizes)}
 
 
-def scan_text(text: str, automata: dict[str, Automaton]) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str, float]]]:
-    """Base spans, and spans that only an automaton finds: (start, end, kind whose format it has, lead)."""
+def judge(value: str, automata: dict[str, Automaton]) -> tuple[float, str] | None:
+    """Lead over ordinary tokens and kind of the automaton that takes the value for a credential, if one does."""
+    ordinary, good = automata["ordinary"].score(value), []
+    for kind, automaton in automata.items():
+        if kind != "ordinary":
+            score = automaton.score(value)
+            lead = score - ordinary
+            if score >= automaton.least - SLACK and lead >= MARGIN and lead * (len(value) + 1) >= EVIDENCE:
+                good.append((lead, kind))
+    return max(good, default=None)
+
+
+def scan_text(text: str, automata: dict[str, Automaton], known: dict | None = None) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str, float]]]:
+    """Base spans, and spans that only an automaton finds: (start, end, kind whose format it has, lead).
+
+    ``known`` remembers verdicts on values. Without an automaton of ordinary tokens, or of any credential, there is
+    nothing to compare and only base spans come out.
+    """
     base, more, upto = base_spans(text), [], 0
     if "ordinary" not in automata or len(automata) < 2:
         return base, more
+    known = {} if known is None else known
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if value.isalpha() or value.isdigit() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-            continue  # words and numbers are no credentials in any of the formats
+        if value in known:
+            verdict = known[value]
+        else:
+            verdict = judge(value, automata)
+            if len(value) <= LEARNT_LENGTH:
+                known[value] = verdict
+        if verdict is None:
+            continue
         while upto < len(base) and base[upto][2] <= m.start():
             upto += 1
-        if any(s < m.end() and m.start() < e for s, _, e, _ in base[upto:]):
-            continue
-        ordinary = automata["ordinary"].score(value)
-        leads = [(a.score(value), a, k) for k, a in automata.items() if k != "ordinary"]
-        good = [(score - ordinary, k) for score, a, k in leads if score >= a.least - SLACK and score - ordinary >= MARGIN]
-        if good:
-            lead, kind = max(good)
-            more.append((m.start(), m.end(), kind, lead))
+        if not any(s < m.end() and m.start() < e for s, _, e, _ in base[upto:]):
+            more.append((m.start(), m.end(), verdict[1], verdict[0]))
     return base, more
 
 
@@ -234,10 +264,13 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], id_column: str = "doc_
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("format", pa.string()), ("score", pa.float64())])
 
     def run(batches):
+        known: dict = {}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                base, more = scan_text(text or "", shared.value)
+            for text in batch.column(1):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                base, more = scan_text(text.as_py() or "", shared.value, known)
                 spans = [(s, k, e, KINDS[k], None, None) for s, k, e, _ in base] + [(s, 3, e, "format", kind, lead) for s, e, kind, lead in more]
                 out.append([{"start": s, "end": e, "kind": kind, "format": form, "score": lead} for s, _, e, kind, form, lead in sorted(spans, key=lambda x: x[:2])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["id", "spans"])
