@@ -61,3 +61,14 @@ def test_hot_size_and_empty_table(spark):
     out = mixing.mix(frame(spark, rows)).collect()
     assert sum(r.times for r in out) == 3000
     assert mixing.mix(frame(spark, [])).collect() == []
+
+
+def test_hot_sizes_keep_the_order_of_ids(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(-9000, 9000) if i % 100 else None, " ".join(["w"] * rng.choice([2, 2, 2, 3])), rng.choice(["b", "a", None]), "x") for i in range(3000)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source", "size"]).astype({"doc_id": "Int64"})  # noqa: F841
+    expected = duckdb.sql(OP8_SQL).fetchall()
+    got = [(r.id, r.size, r.source_size, r.target, r.size * r.times) for r in mixing.mix(frame(spark, rows)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    # rows of one id, source and size stand next to each other in either order
+    assert sorted(got, key=order) == sorted(expected, key=order)

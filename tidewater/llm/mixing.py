@@ -7,7 +7,7 @@ error is at most about the size of the largest document.
 
 Expected copies are equal, so a prefix sum is a rank. Ranks come from counts: rows of a (source, size) group are ranked
 in that group and the group's start is the count of all before it. Groups of over ``1/HOT`` of all rows (there are
-``HOT`` at most, so they can be broadcast) are split by a hash of the id first.
+``HOT`` at most, so they can be broadcast) are split by ranges of ids first, which leaves the order (size, id) as it is.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ WEIGHTS = (5, 2, 1)
 #: A document is taken so many times at most.
 MOST_COPIES = 3
 HOT = 1024
+_STEP = 32
 
 
 def words_in(text: Column) -> Column:
@@ -60,21 +61,38 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -
     )
 
 
+def _id_ranges(sizes: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """For each group of over ``limit`` rows the ids that cut it in parts of about ``limit``: ``bounds``, and every ``_STEP``-th of them.
+
+    Bounds are approximate quantiles. Wherever they lie, the parts follow each other in the order of ids.
+    """
+    hot = counts.where(F.col("n") > limit).select("key", "size", F.floor(HOT / F.ceil(F.col("n") / limit)).cast("int").alias("every"))
+    cuts = F.percentile_approx("id", [i / HOT for i in range(1, HOT)], 10 * HOT)
+    found = sizes.join(F.broadcast(hot), ["key", "size"]).groupBy("key", "size").agg(cuts.alias("cuts"), F.first("every").alias("every"))
+    found = found.withColumn("bounds", F.array_distinct(F.filter("cuts", lambda _, i: (i + 1) % F.greatest("every", F.lit(1)) == 0)))
+    return found.select("key", "size", "bounds", F.filter("bounds", lambda _, i: i % _STEP == _STEP - 1).alias("coarse"))
+
+
+def _range_of(column: str) -> Column:
+    """How many of ``bounds`` are smaller than the id; 0 for a null id and outside hot groups."""
+    smaller = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col(column)))
+    coarse = smaller("coarse") * _STEP
+    return F.when(F.col("bounds").isNotNull() & F.col(column).isNotNull(), coarse + smaller(F.slice("bounds", coarse + 1, F.lit(_STEP)))).otherwise(0)
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``times``.
 
     Null and empty texts have size 0; they stand first in their source and are taken like any other, which adds no
-    words. Null is a source of its own, the last. Rows that repeat an id are ranked one after the other, in any order,
+    words. Null is a source of its own, the last, and a null id stands before all others of its size. Rows that repeat an id are ranked one after the other, in any order,
     and may be taken a different number of times. A source without words has target 0 and nothing of it is taken.
     """
     sizes = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), words_in(F.col(text_column).cast("string")).alias("size"))
     sizes = materialise(sizes.withColumn("key", _source_key(F.col("source"))), "sizes")
     counts = materialise(sizes.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
     rows = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(rows // HOT, 100)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select("key", "size", F.ceil(F.col("n") / limit).alias("parts")))
-    # sizes keep their order; parts of a hot one follow each other
-    dealt = sizes.join(hot, ["key", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)))
+    hot = materialise(_id_ranges(sizes, counts, max(rows // HOT, 100)), "hot")
+    dealt = sizes.join(F.broadcast(hot), ["key", "size"], "left").withColumn("part", _range_of("id")).drop("bounds", "coarse")
     groups = dealt.groupBy("key", "size", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("key").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("key", "size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -101,7 +101,7 @@ WITH sizes AS (
     (CAST(('0x' || substr(md5('mix-' || key), 1, 5)) AS BIGINT) + 0.5::DOUBLE) / 1048576 AS off FROM held
 ), ranked AS (
   SELECT doc_id, size, source_size, target, off, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies,
-    row_number() OVER (PARTITION BY key ORDER BY size, doc_id) AS r
+    row_number() OVER (PARTITION BY key ORDER BY size, doc_id NULLS FIRST) AS r
   FROM sizes JOIN targets USING (key)
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(r * copies + off) - floor((r - 1) * copies + off)) AS BIGINT) AS taken FROM ranked
