@@ -40,9 +40,17 @@ def op3_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Batches in which the table arrives at the store, by a hash of the id.
+ARRIVALS = 6
+
+
+def arrivals(docs):
+    return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i) for i in range(ARRIVALS)]
+
+
 def op4_sharding(spark, sf_dir):
-    """What the last manifest's shards hold after all arrivals have been appended and compacted."""
-    store = shards.shard(documents(spark, sf_dir), scratch_path(spark, "store"))
+    """What the last manifest's shards hold after all batches have been appended and compacted, one after the other."""
+    store = shards.shard(arrivals(documents(spark, sf_dir)), scratch_path(spark, "store"))
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 

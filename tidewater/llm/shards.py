@@ -3,12 +3,13 @@
 An append writes what has arrived as small files that are never changed (each a run of its own) and commits a manifest
 that lists them after all earlier ones. A compaction looks for tiers, runs within a factor of ``FANOUT`` of each other in
 size, that have at least ``FANOUT`` runs, merges these into files of about the target size without a shuffle, and commits
-a manifest in which the merged run stands for its sources. Runs of target size or more are left alone, so that a byte is
-written at most once for each tier below the target.
+a manifest in which the merged runs stand for their sources. Runs of half the target size or more are left alone. A merge
+leaves at most half as many runs as it took, so that a compaction ends.
 
 A manifest is a file ``v<number>.json``. It is written aside and then renamed to the next number, which fails if another
 writer has taken that number: the commit is then tried again on top of the other's version. Readers take the highest
-version and see all of it or nothing; files that no kept version lists are removed by ``vacuum``. Rename must not replace
+version and see all of it or nothing. Files that no kept version lists are removed by ``vacuum``, also those of writes
+that failed before their commit, once these are old enough to be nobody's work in progress. Rename must not replace
 an existing file (``FileContext`` guarantees that on HDFS and local disks; an object store needs a committer that does).
 """
 
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ FANOUT = 4
 SMALLEST = 64 << 10
 #: Files that one job merges at most; more are merged by more jobs of the same compaction.
 FILES_PER_JOB = 20_000
+#: Merges that run side by side.
+MERGES = 4
+#: Files of no version are removed when they are so old.
+ORPHAN_SECONDS = 86_400
 
 
 class ManifestConflict(Exception):
@@ -98,11 +105,14 @@ class ShardStore:
         counted = read.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
         return [{"file": f"{name}/{r.file}", "rows": r.rows, "bytes": r.bytes} for r in counted.collect()]  # as many as the manifest lists
 
+    def _runs(self, files: list[dict]) -> list[dict]:
+        """Each file as a run of its own, with its real size."""
+        return [{"id": f["file"], "rows": f["rows"], "bytes": f["bytes"], "tier": self.tier(f["bytes"]), "files": [f["file"]]} for f in sorted(files, key=lambda f: f["file"])]
+
     def append(self, df: DataFrame) -> dict:
         """Each file of the arrival becomes a run; the manifest that has them is returned."""
         name = f"arrival-{uuid.uuid4().hex}"
-        files = self._write(df, name)
-        runs = [{"id": f["file"], "rows": f["rows"], "bytes": f["bytes"], "tier": self.tier(f["bytes"]), "files": [f["file"]]} for f in sorted(files, key=lambda f: f["file"])]
+        runs = self._runs(self._write(df, name))
 
         def edit(manifest):
             known = T.StructType.fromJson(manifest["schema"]) if manifest["schema"] else df.schema
@@ -113,10 +123,10 @@ class ShardStore:
         return self._change(edit)
 
     def candidates(self, runs: list[dict]) -> list[list[dict]]:
-        """Groups of runs to merge: of one tier and below the target, ``fanout`` of them at least."""
+        """Groups of runs to merge: of one tier and below half the target, ``fanout`` of them at least."""
         tiers: dict[int, list[dict]] = {}
         for run in runs:
-            if run["bytes"] < self.target:
+            if run["bytes"] < self.target / 2:
                 tiers.setdefault(run["tier"], []).append(run)
         groups = []
         for _, found in sorted(tiers.items()):
@@ -133,8 +143,8 @@ class ShardStore:
             groups = self.candidates(manifest["runs"])
             if not groups:
                 return manifest
-            for group in groups:
-                self._merge(manifest, group)
+            with ThreadPoolExecutor(MERGES) as pool:
+                list(pool.map(lambda group: self._merge(manifest, group), groups))
 
     def _merge(self, manifest: dict, group: list[dict]) -> None:
         size = sum(r["bytes"] for r in group)
@@ -142,17 +152,10 @@ class ShardStore:
         source = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(*paths)
         name = f"merged-{uuid.uuid4().hex}"
         # runs are of about one size: whole input splits go together, and no row is shuffled
-        files = self._write(source.coalesce(max(1, round(size / self.target))), name)
+        files = self._write(source.coalesce(max(1, int(size / self.target))), name)
         if sum(f["rows"] for f in files) != sum(r["rows"] for r in group):
             raise RuntimeError("a merge has lost or doubled rows; nothing was committed")
-        gone = {r["id"] for r in group}
-        whole = sum(f["bytes"] for f in files)
-        if whole >= self.target:
-            new = [{"id": f["file"], "rows": f["rows"], "bytes": max(f["bytes"], self.target), "tier": self.tier(max(f["bytes"], self.target)), "files": [f["file"]]} for f in files]
-        else:
-            # one tier up at least, so that a merge always makes progress
-            tier = max(self.tier(whole), 1 + max(r["tier"] for r in group))
-            new = [{"id": name, "rows": sum(f["rows"] for f in files), "bytes": whole, "tier": tier, "files": [f["file"] for f in files]}]
+        gone, new = {r["id"] for r in group}, self._runs(files)
 
         def edit(now):
             if not gone <= {r["id"] for r in now["runs"]}:
@@ -171,8 +174,12 @@ class ShardStore:
         paths = [f"{self.root}/shards/{f}" for r in manifest["runs"] for f in r["files"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove the files and manifests that none of the last ``keep`` versions needs; how many files went."""
+    def vacuum(self, keep: int = 1, orphan_seconds: float = ORPHAN_SECONDS) -> int:
+        """Remove the files and manifests that none of the last ``keep`` versions needs; how many files went.
+
+        Each write has a folder of its own. Folders that no version lists are left from writes that failed or lost their
+        race; they go when they are older than ``orphan_seconds``.
+        """
         known = self.versions()
         needed = {f for v in known[-keep:] for r in self.manifest(v)["runs"] for f in r["files"]}
         every = {f for v in known[:-keep] for r in self.manifest(v)["runs"] for f in r["files"]}
@@ -180,17 +187,23 @@ class ShardStore:
             self._fs.delete(self._path(f"{self.root}/shards/{f}"), False)
         for v in known[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}.json"), False)
+        folders, holds, left = self._path(f"{self.root}/shards"), {f.split("/")[0] for f in needed}, {f.split("/")[0] for f in every}
+        for status in self._fs.listStatus(folders) if self._fs.exists(folders) else []:
+            name, old = status.getPath().getName(), time.time() - status.getModificationTime() / 1000 >= orphan_seconds
+            if name not in holds and (name in left or old):
+                self._fs.delete(status.getPath(), True)
         return len(every - needed)
 
 
-def shard(docs: DataFrame, root: str, target: int = TARGET, fanout: int = FANOUT) -> ShardStore:
-    """Append ``docs`` to the store at ``root``, compact it and remove what the last version does not need.
+def shard(batches: list[DataFrame], root: str, target: int = TARGET, fanout: int = FANOUT) -> ShardStore:
+    """Append each batch to the store at ``root``; after each, compact and remove what the last version does not need.
 
-    Columns of any names and types, nulls, repeated rows and texts of any length are kept as they are. An empty table
-    commits a version without runs, which reads as an empty table with the same columns.
+    Columns of any names and types, nulls, repeated rows and texts of any length are kept as they are. An empty batch
+    commits a version without runs of its own; a store of empty batches reads as an empty table with their columns.
     """
-    store = ShardStore(docs.sparkSession, root, target, fanout)
-    store.append(docs)
-    store.compact()
-    store.vacuum()
+    store = ShardStore(batches[0].sparkSession, root, target, fanout)
+    for batch in batches:
+        store.append(batch)
+        store.compact()
+        store.vacuum()
     return store
