@@ -14,7 +14,6 @@ there, not all pairs; components then come from rounds of joins.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +32,6 @@ SEED = 42
 BUCKET = 2048
 #: Node pairs that are walked at once.
 FRONTIER = 1_000_000
-_SPACE = re.compile(rb"[ \t-\r]+")
 
 
 # ---------------------------------------------------------------- fingerprints
