@@ -76,3 +76,95 @@ def test_toxicity_keeps_rare_grams_of_a_large_sample(spark):
     grams = [marked[a:b] for b in range(1, len(marked) + 1) for a in range(max(0, b - toxicity.ORDER), b)]
     assert (shared.value.table.find(toxicity.Model._keys_of(grams)) >= 0).all()
     assert shared.value.evidence(["zvrqkulf"])[0] > toxicity.STRONG
+
+
+def test_language_id_against_a_dictionary(spark):
+    import math
+    from collections import Counter
+
+    from tidewater.llm import langid
+
+    factors = [int(x) for x in langid._FACTORS]
+
+    def buckets(text):
+        points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+        hashes = [0] * len(points)
+        for n in langid.ORDERS:
+            hashes = [(hashes[i] + points[i + n - 1]) * factors[n - 1] % 2**32 for i in range(len(points) - n + 1)]
+            yield from (h >> 17 for i, h in enumerate(hashes) if points[i] + points[i + n - 1] != 64)
+            hashes = [h ^ (h >> 15) for h in hashes]
+
+    texts = {"xx": ["ab cd ef ab", "cd ab Ef, 12 ab"], "yy": ["gh ij kl", "ij gh kl kl ab", "GH ij"]}
+    rows = [(10 * i + j, t, lang) for i, (lang, some) in enumerate(texts.items()) for j, t in enumerate(some)] + [(0, texts["xx"][0], "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, matrix = langid.train(docs)
+    prior = Counter(lang for *_, lang in rows)
+    counts = {lang: Counter(b for _, t, of in rows if of == lang for b in buckets(t)) for lang in languages}
+    for text in ["ab cd", "gh", "kl ab ab", "zz", "ab " * 400, "ij, kl? gh!"]:
+        score = []
+        for lang in languages:
+            total = sum(counts[lang].values()) + 0.5 * langid.BUCKETS
+            score.append(math.log(prior[lang] / len(rows)) + sum(math.log((counts[lang][b] + 0.5) / total) for b in buckets(text)))
+        n = len(list(buckets(text)))
+        said, got = langid.score_texts([text.lower()], languages, matrix)
+        best = score.index(max(score))
+        assert said == [languages[best]]
+        scale = min(n, langid.EVIDENCE) / n
+        assert abs(got[0] - 1 / sum(math.exp((s - score[best]) * scale) for s in score)) < 1e-4
+
+
+def test_long_texts_lose_no_gram_between_pieces(monkeypatch):
+    import numpy as np
+
+    from tidewater.llm import langid
+
+    text = "wörter und Andere dinge, 12 x " * 40
+    whole = np.bincount(langid._grams(next(iter(langid._chunks([text]))))[0], minlength=langid.BUCKETS)
+    monkeypatch.setattr(langid, "_CHUNK", 7)
+    pieces = sum(np.bincount(langid._grams(held)[0], minlength=langid.BUCKETS) for held in langid._chunks([text]))
+    assert (whole == pieces).all()
+
+
+def test_kneser_ney_against_dictionaries():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from tidewater.llm import toxicity as tox
+
+    words = {0: Counter({"idiot": 3, "idiots": 1, "fool": 2}), 1: Counter({"order": 4, "ordinary": 2, "id": 1, "fools": 1, "é": 1})}
+    seen = [Counter(), Counter()]
+    for c, some in words.items():
+        for word, n in some.items():
+            marked = tox.START + word + tox.STOP
+            for stop in range(1, len(marked) + 1):
+                for start in range(max(0, stop - tox.ORDER), stop):
+                    seen[c][marked[start:stop]] += n
+    grams = sorted(seen[0].keys() | seen[1].keys())
+    before = Counter(g[1:] for g in grams if len(g) > 1)
+    counts = [seen[0], seen[1], before]
+    model = tox.Model(grams, *(np.array([x[g] for g in grams]) for x in counts))
+    letters = sum(len(g) == 1 for g in grams)
+
+    def step(c, context, letter, lower):
+        after = {g: counts[c][g] for g in grams if g[:-1] == context and counts[c][g] > 0}
+        total = sum(after.values())
+        if not total:
+            return lower
+        return (max(after.get(context + letter, 0) - tox.DISCOUNT, 0) + tox.DISCOUNT * len(after) * lower) / total
+
+    def slow(word):
+        marked, gain = tox.START + word + tox.STOP, 0.0
+        for t in range(1, len(marked)):
+            shared = 1 / (letters + 1)
+            for k in range(1, min(tox.ORDER, t + 1) + 1):
+                context = marked[t - k + 1 : t]
+                if k in (tox.ORDER, t + 1):
+                    gain += math.log(step(0, context, marked[t], shared)) - math.log(step(1, context, marked[t], shared))
+                else:
+                    shared = step(2, context, marked[t], shared)
+        return gain
+
+    asked = ["idiot", "idiotic", "fool", "fools", "order", "zz", "é", "ordinaryidiots", "i"]
+    assert np.allclose(model.evidence(asked), [slow(w) for w in asked])

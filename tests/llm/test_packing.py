@@ -89,3 +89,14 @@ def test_word_encoder_cuts_as_the_tokenizer_does():
     for texts in (*blanks, quotes):
         got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(PATH).encode(texts)]
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_encoder_on_quotes_code_and_control_characters():
+    rng, tok, encoder = random.Random(5), Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    pieces = [*"abdstmrevlABS '\"()[]{};=.,:-_/\\\n\t\r0123<>|éÀßœ\x1c\x00$#@!\x0b\x0c~`^", "'s", "'re", "<|endoftext|>", "print(", "');", "'ll", "́", "中", "‍", "\xa0", "\x85", "İ"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(1000)]
+        expected = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == expected
+    texts = ["f('data')", "x='select'; y='drop'", "print('test')", "['section']", "the dogs (John)'s bowl", "\"'tis true"]
+    assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

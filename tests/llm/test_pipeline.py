@@ -54,3 +54,21 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark, tmp_path):
     make(spark).drop("score").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables_long_texts_repeated_rows_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, found string, size int, copy int, mix_times int, gone_id int, id int"
+    text = "the and of ing er on " * 20
+    own = ("d", "f", 1, 2, 3, 4, 5)
+    rows = [(i, f"{text} the{'er' * i}", "en", "s1", 0, *own) for i in range(8)] + [(9, "the and ing " * 60_000, "en", "s2", 0, *own)]
+    rows += [(3, "on of " * 30, "en", "s1", 0, *own), (3, "of on on " * 20, "en", "s1", 0, *own), (None, None, None, None, None, *own)]
+    for k, some in enumerate((rows, [])):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "pack_sequences" or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert (docs.count() > 0) == bool(some)
+        if some:
+            assert docs.where("doc_id = 9").count() > 0 and docs.where("doc_id IS NULL").count() == 0
