@@ -278,14 +278,14 @@ def valid_at_instant(spark, sf_dir):
 @query(
     "content_search_with_context",
     r"""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE lang = 'en')
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)
     SELECT doc_id, CAST(no AS BIGINT) AS line_no, prev_line, line AS hit, next_line FROM (SELECT *, lag(substr(line, 1, 200)) OVER w AS prev_line, lead(substr(line, 1, 200)) OVER w AS next_line FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY no))
     WHERE regexp_matches(line, '(?i)licen[cs]ed? under|token = ')
     """,
 )
 def content_search_with_context(spark, sf_dir):
     """Lines that match, numbered from 1, with a line of context on each side. Neighbours come from the array of lines, without a shuffle."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
     hit = d.select("doc_id", "lines", F.posexplode("lines").alias("at", "hit")).where(F.rlike("hit", F.lit("(?i)licen[cs]ed? under|token = ")))
     near = lambda k: F.substring(F.get("lines", F.col("at") + k), 1, 200)
     return hit.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), near(-1).alias("prev_line"), "hit", near(1).alias("next_line"))

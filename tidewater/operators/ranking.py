@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import jaccard, words, zero
+from ..functions.scalars import cosine, jaccard, words, zero
 from ..registry import query
 from ..shared import shared_folder
 from ..sources.tables import table
@@ -19,17 +19,22 @@ from .windows import greedy_pack
 @query(
     "passage_hybrid",
     _BM25_SQL + """
-    , h AS (SELECT r.item_id, r.doc_id, 0.6::DOUBLE * least(greatest(((r.doc_id * 37) % 200 - 100) / 100.0::DOUBLE, 0), 1) + 0.4::DOUBLE * score / max(score) OVER (PARTITION BY item_id) AS s, score FROM r JOIN documents USING (doc_id) WHERE lang = 'en')
+    , v AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS many FROM embeddings),
+    h AS (SELECT r.item_id, r.doc_id, 0.6::DOUBLE * least(greatest(list_cosine_similarity(p.e, q.e), 0), 1) + 0.4::DOUBLE * score / max(score) OVER (PARTITION BY item_id) AS s
+      FROM r JOIN v p ON p.vec_id = r.doc_id % p.many JOIN v q ON q.vec_id = r.item_id % q.many)
     SELECT item_id, doc_id, round(s, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS place FROM h) WHERE place <= 5
     """,
 )
 def passage_hybrid(spark, sf_dir):
-    """Filters first, then 0.6 of the clamped similarity and 0.4 of BM25 over its largest."""
-    d = table(spark, sf_dir, "documents")
-    scored = bm25(d, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text").join(d.where("lang = 'en'").select("doc_id"), "doc_id")
-    similarity = ((F.col("doc_id") * 37) % 200 - 100) / 100.0
+    """0.6 of the clamped cosine of passage and query and 0.4 of BM25 over its largest; vectors are dealt to both by their ids."""
+    scored = bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    vectors = table(spark, sf_dir, "embeddings")
+    many = vectors.count()
+    of = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
+    pairs = scored.withColumns({"p": F.col("doc_id") % many, "q": F.col("item_id") % many}).join(of("p", "pe"), "p").join(of("q", "qe"), "q")
+    similarity = cosine(F.col("pe"), F.col("qe"))
     best = F.max("score").over(Window.partitionBy("item_id"))
-    blended = scored.select("item_id", "doc_id", (0.6 * F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)) + 0.4 * F.col("score") / best).alias("score"))
+    blended = pairs.select("item_id", "doc_id", (0.6 * F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)) + 0.4 * F.col("score") / best).alias("score"))
     return top_k(blended, "item_id", "score", "doc_id", 5).withColumn("score", F.round("score", 6))
 
 

@@ -273,14 +273,14 @@ def retrieval_metrics(spark, sf_dir):
 @query(
     "line_window_search",
     r"""
-    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, lower(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE lang = 'en'),
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, lower(unnest(string_split(text, chr(10)))) AS line FROM documents),
     s AS (SELECT doc_id, no, 2 * (contains(line, 'apache')::INT + contains(line, 'license')::INT) + regexp_matches(line, '\bapache\b')::INT + regexp_matches(line, '\blicense\b')::INT AS score FROM l)
     SELECT doc_id, CAST(no AS BIGINT) AS line_no, greatest(no - 2, 1) AS first_line, CAST(score AS BIGINT) AS score FROM s WHERE score > 0
     """,
 )
 def line_window_search(spark, sf_dir):
     """Two points for each term in a line, one more for a whole word; the window starts two lines before."""
-    l = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line", F.lower("raw"))
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line", F.lower("raw"))
     score = sum((2 * F.contains("line", F.lit(t)).cast("int") + F.rlike("line", F.lit(rf"\b{t}\b")).cast("int") for t in ("apache", "license")), F.lit(0))
     return l.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.greatest(F.col("at") - 1, F.lit(1)).cast("long").alias("first_line"), score.cast("long").alias("score")).where("score > 0")
 

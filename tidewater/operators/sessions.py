@@ -115,7 +115,7 @@ def relevance_expansion(spark, sf_dir):
 @query(
     "chunk_selection",
     r"""
-    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en'),
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
     s AS (SELECT doc_id, no, length(line) AS cost, 10 * (contains(lower(line), 'the')::INT + contains(lower(line), 'and')::INT) + len(regexp_extract_all(lower(line), 'the|and')) AS score FROM l WHERE line <> ''),
     r AS (SELECT doc_id, list(CAST(cost AS BIGINT) ORDER BY -score, no) AS costs FROM s GROUP BY 1), p AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, costs), lambda a, c: CASE WHEN a % 1000000 + c <= 600 THEN a + c + 1000000 ELSE a END) AS acc FROM r)
     SELECT doc_id, acc % 1000000 AS chars, acc // 1000000 AS chunks FROM p
@@ -123,7 +123,7 @@ def relevance_expansion(spark, sf_dir):
 )
 def chunk_selection(spark, sf_dir):
     """Lines by terms covered (ten points each) and occurrences, as many as fit in 600 characters."""
-    l = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where("line <> ''")
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where("line <> ''")
     low = F.lower("line")
     score = 10 * (F.contains(low, F.lit("the")).cast("int") + F.contains(low, F.lit("and")).cast("int")) + F.regexp_count(low, F.lit("the|and"))
     item = F.struct((-score).alias("rank"), F.col("no"), F.length("line").cast("long").alias("cost"))

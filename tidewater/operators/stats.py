@@ -97,19 +97,19 @@ def task_complexity(spark, sf_dir):
 @query(
     "matched_incident",
     """
-    WITH c AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations WHERE turn = 1), i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, item_id % 12 AS n FROM benchmark),
-    s AS (SELECT conv_id, item_id, len(list_intersect(c.w, i.w)) / len(list_distinct(list_concat(c.w, i.w))) + least(0.4, n / 20.0) AS score FROM c, i WHERE len(list_intersect(c.w, i.w)) > 0)
-    SELECT conv_id, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, item_id) AS r FROM s) WHERE r = 1
+    WITH c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, item_id % 12 AS n FROM benchmark),
+    s AS (SELECT conv_id, turn, item_id, len(list_intersect(c.w, i.w)) / len(list_distinct(list_concat(c.w, i.w))) + least(0.4, n / 20.0) AS score FROM c, i WHERE len(list_intersect(c.w, i.w)) > 0)
+    SELECT conv_id, turn, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, item_id) AS r FROM s) WHERE r = 1
     """,
 )
 def matched_incident(spark, sf_dir):
     """The known incident with most words in common, more often seen ones first. Pairs meet on a shared word."""
     own = lambda t, key: table(spark, sf_dir, t).select(*key, F.array_distinct(words(F.col("text"))).alias("w"))
-    c = own("conversations", ["conv_id", "turn"]).where("turn = 1").select("conv_id", F.size("w").alias("nc"), F.explode("w").alias("word"))
+    c = own("conversations", ["conv_id", "turn"]).select("conv_id", "turn", F.size("w").alias("nc"), F.explode("w").alias("word"))
     i = own("benchmark", ["item_id"]).select("item_id", F.size("w").alias("ni"), F.explode("w").alias("word"))
-    shared = c.join(i, "word").groupBy("conv_id", "item_id", "nc", "ni").agg(F.count("*").alias("both"))
+    shared = c.join(i, "word").groupBy("conv_id", "turn", "item_id", "nc", "ni").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("nc") + F.col("ni") - F.col("both")) + F.least(F.lit(0.4), F.col("item_id") % 12 / 20.0)
-    best = shared.withColumn("score", score).groupBy("conv_id").agg(F.max_by(F.struct("item_id", "score"), F.struct(F.round("score", 9), -F.col("item_id"))).alias("b"))
-    return best.select("conv_id", F.col("b.item_id").alias("item_id"), F.round("b.score", 6).alias("score"))
+    best = shared.withColumn("score", score).groupBy("conv_id", "turn").agg(F.max_by(F.struct("item_id", "score"), F.struct(F.round("score", 9), -F.col("item_id"))).alias("b"))
+    return best.select("conv_id", "turn", F.col("b.item_id").alias("item_id"), F.round("b.score", 6).alias("score"))
 
 
