@@ -6,10 +6,12 @@ from tidewater.llm import vectors
 
 
 def brute(rows):
-    ok = [i for i, (_, v) in enumerate(rows) if v and None not in v and len(v) == 16 and np.isfinite(v).all() and any(v)]
-    x = np.array([rows[i][1] for i in ok], dtype=np.float32).astype(np.float64)
+    ok = [i for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)]
+    size = np.array([len(rows[i][1]) for i in ok])
+    # zeros behind a short vector change no product of two short ones
+    x = np.array([rows[i][1] + [0.0] * (16 - len(rows[i][1])) for i in ok], dtype=np.float32).astype(np.float64)
     n = np.sqrt((x * x).sum(axis=1))
-    link = (x @ x.T) / np.outer(n, n) >= 0.95
+    link = ((x @ x.T) / np.outer(n, n) >= 0.95) & (size[:, None] == size[None, :])
     np.fill_diagonal(link, False)
     ids = [r[0] for r in rows]
     root = list(range(len(ok)))
@@ -44,7 +46,7 @@ def make(n, seed):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 150)
     rows = make(900, 1)
-    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] + [1.0] * 15), (2005, [1.0] * 4), (5, rows[7][1]), (None, rows[7][1]), (3000, [2 * x for x in rows[7][1]])]
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] + [1.0] * 15), (2005, [1.0] * 4), (2006, [1.0, 1.0, 1.0, 0.9]), (2007, [1.0, -1.0, 1.0, 1.0]), (5, rows[7][1]), (None, rows[7][1]), (3000, [2 * x for x in rows[7][1]])]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, links int, data string")
     got = vectors.near_duplicates(df).collect()
@@ -53,6 +55,47 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(str((r.id, r.links, r.component)) for r in got) == brute(rows)
 
 
+def test_two_levels_keep_the_copies_few(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "BRANCHES", 8)
+    monkeypatch.setattr(vectors, "PIECE", 400)
+    rows = make(3000, 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nodes = vectors._nodes(vectors._valid(df, "vec_id", "embedding"))
+    n = nodes.count()
+    assert vectors._widths(n, 4) == [2, 2]
+    dealt = vectors._deal(nodes, n, 4)
+    most, least = dealt.selectExpr("max(size(shards))", "min(size(shards))").first()
+    assert most <= 4 and least >= 1 and dealt.select("node").distinct().count() == n
+    assert dealt.groupBy("shard").count().where("count > 120").count() == 0
+    got = vectors.near_duplicates(df).collect()
+    want = brute(rows)
+    same = len(set(want) & {str((r.id, r.links, r.component)) for r in got})
+    assert len(got) == len(want) and same >= 0.9 * len(want)
+
+
+def test_blocks_are_exact_and_the_audit_sees_what_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SCAN_BYTES", 4096)
+    rows = make(600, 5) + [(9000, [1.0, 0.0]), (9001, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nodes = vectors._nodes(vectors._valid(df, "vec_id", "embedding"))
+    nothing = spark.createDataFrame([], "node long, links long, root long")
+    assert vectors._audit(nodes, nodes.count(), nothing) == 0.0
+    assert vectors._audit(nodes, nodes.count(), vectors._all_blocks(nodes, nodes.count())) == 1.0
+    monkeypatch.setattr(vectors, "_audit", lambda *_: 0.0)
+    monkeypatch.setattr(vectors, "OVERLAP", 1)
+    assert sorted(str((r.id, r.links, r.component)) for r in vectors.near_duplicates(df).collect()) == brute(rows)
+
+
+def test_audit_finds_rare_links(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(4000)]
+    rows += [(5000 + i, [x + 0.01 for x in rows[i][1]]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nodes = vectors._nodes(vectors._valid(df, "vec_id", "embedding"))
+    assert vectors._together(nodes, nodes.count()).count() >= 4
+
+
 def test_pruned_graph_and_search():
     x = vectors.units(np.random.default_rng(3).normal(size=(400, 16)))
     a, b = vectors.prune(x, 1)

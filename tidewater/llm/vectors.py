@@ -1,24 +1,30 @@
 """Embedding near-dedup on a flat graph with robust pruning.
 
-1. Equal vectors become one node. Nodes are dealt to overlapping shards: each goes to the ``OVERLAP`` nearest of the
-   centres of a small k-means, and shards that are too large are dealt again by centres of their own.
+1. Equal vectors become one node. Nodes of one length are dealt to overlapping shards: each goes to the nearest centres
+   of a small k-means, and shards that are too large are dealt again by centres of their own. A node gets ``OVERLAP``
+   copies in all, however many levels there are. Centres travel as rows ahead of the rows they deal.
 2. In each shard a node's nearest nodes and some random ones are pruned: a candidate goes if a kept neighbour is nearer
    to it, by the factor ``ALPHA``, than the node itself. Edges are made mutual.
 3. A node's lists from all its shards are united, and each shard is searched with them: from the shard's medoid greedily
    towards each node until something within the range is met, then outwards through all that is within the range.
 4. Every pair that comes out is verified in double precision. A pair that shares several shards counts in the first of
    them. A shard gives a sum for each node and one edge for each node, never all pairs.
-5. The recall is audited against a full scan for a bounded set of nodes; below ``LEAST_RECALL`` the overlap grows.
+5. The recall is audited against a full scan for a bounded set of nodes, half of them nodes known to have links because
+   signs of random projections brought them together with another; below ``LEAST_RECALL`` the overlap grows, and if that
+   does not help all vectors are compared, block by block.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, discard, materialise, scratch_path
 
 COSINE = 0.95
 #: Range within which the search goes on, so that a pair below the limit can still lead to one above.
@@ -32,7 +38,9 @@ ALPHA = 1.2
 BEAM = 12
 AUDIT = 200
 LEAST_RECALL = 0.9
-MODEL_LIMIT = 256 << 20
+#: Rows that one set of centres deals at a time, and bytes of a block in the comparison of all vectors.
+PIECE = 100_000
+SCAN_BYTES = 16 << 20
 _BLOCK = 256
 
 
@@ -43,6 +51,14 @@ def unpack(column) -> np.ndarray:
     return np.frombuffer(data, "<f4").reshape(len(column), -1).astype(np.float64)
 
 
+def by_length(column):
+    """Rows of a binary column by their length: arrays of places, and unit vectors."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    for length in np.unique(size):
+        at = np.flatnonzero(size == length)
+        yield int(length), at, units(unpack(column.take(pa.array(at))))
+
+
 def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -192,70 +208,102 @@ def _valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                data = None
-                if v and None not in v:
-                    x = np.array(v, dtype="<f4")
-                    if np.isfinite(x).all() and x.any():
-                        data = x.tobytes()
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "data"])
+            column = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+            at = np.r_[0, np.cumsum(size)]
+            flat = pc.fill_null(column.flatten(), math.nan).to_numpy(zero_copy_only=False).astype("<f4")
+            bad = np.r_[0, np.cumsum(~np.isfinite(flat))]
+            some = np.r_[0, np.cumsum(flat != 0)]
+            good = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pa.array(good), data, None)], ["id", "data"])
 
     rows = vectors.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<float>")).mapInArrow(run, "id long, data binary")
     return materialise(rows, "vectors")
 
 
+def _widths(n: int, overlap: int) -> list[int]:
+    """Copies made at each level; their product is ``overlap``, levels after these make one copy."""
+    levels = math.log(max(1, n * overlap / (2 * SHARD)), BRANCHES)
+    return [overlap] if levels <= 1 else [max(1, overlap // 2), 2]
+
+
+def _centres(sample: DataFrame) -> DataFrame:
+    """``shard`` and the bytes of its ``centres``, from the sampled rows of each shard with their ``k``."""
+
+    def fit(key, table):
+        x = units(unpack(table.column("data").combine_chunks()))
+        c = centres_of(x, min(table.column("k")[0].as_py(), len(x))).astype("<f4")
+        return pa.table({"shard": [key[0].as_py()], "centres": pa.array([c.tobytes()], pa.binary())})
+
+    return sample.select("shard", "data", "k").groupBy("shard").applyInArrow(fit, "shard string, centres binary")
+
+
 def _deal(nodes: DataFrame, n: int, overlap: int) -> DataFrame:
-    """``nodes`` once for each shard: with ``shard`` (a text) and, in the end, ``shards`` (all of the node's)."""
-    spark = nodes.sparkSession
-    dealt = nodes.withColumn("shard", F.lit("0"))
-    sizes = {"0": n}
-    for _ in range(4):
-        large = {s: m for s, m in sizes.items() if m > 2 * SHARD}
-        if not large:
+    """``nodes`` once for each shard: with ``shard`` (a text) and, in the end, ``shards`` (all of the node's).
+
+    A name starts with the length of the vectors in bytes. ``parent`` is the size of the shard that was dealt: a shard
+    that keeps over nine tenths of it is one dense bunch and is searched as it is.
+    """
+    dealt = nodes.select("node", "copies", "data", F.length("data").cast("string").alias("shard"), F.lit(1 << 62).alias("parent"))
+    widths, level = _widths(n, overlap), 0
+    while True:
+        width = widths[level] if level < len(widths) else 1
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("m"), F.min("parent").alias("of"))
+        large = sizes.where((F.col("m") > 2 * SHARD) & (F.col("m") <= 0.9 * F.col("of"))).select(
+            "shard",
+            "m",
+            F.least(F.lit(BRANCHES), F.greatest(F.lit(2), F.ceil(F.col("m") * width / SHARD))).cast("int").alias("k"),
+            F.ceil(F.col("m") / PIECE).cast("int").alias("pieces"),
+        )
+        large = materialise(large, "large")
+        if large.isEmpty():
             break
-        k_of = {s: int(min(BRANCHES, -(-m * overlap // SHARD))) for s, m in large.items()}
-        if sum(k_of.values()) * 256 > MODEL_LIMIT:
-            raise ValueError("too many centres to broadcast: split the table first")
-        share = F.coalesce(*[F.when(F.col("shard") == s, k_of[s] * SAMPLE_PER_CENTRE / m) for s, m in large.items()], F.lit(0.0))
-        sample = dealt.where(F.pmod(F.xxhash64("data"), F.lit(1 << 20)) / float(1 << 20) < share).select("shard", "data")
-
-        def centres(key, table):
-            x = units(unpack(table.column("data").combine_chunks()))
-            c = centres_of(x, min(k_of[key[0].as_py()], len(x))).astype("<f4")
-            return pa.table({"shard": [key[0].as_py()], "centres": pa.array([c.tobytes()], pa.binary()), "k": pa.array([len(c)], pa.int32())})
-
-        found = {r.shard: np.frombuffer(bytes(r.centres), "<f4").reshape(r.k, -1) for r in sample.groupBy("shard").applyInArrow(centres, "shard string, centres binary, k int").collect()}
-        shared = spark.sparkContext.broadcast(found)
-        names = [*dealt.columns]
-
-        def assign(batches):
+        joined = dealt.join(large, "shard", "left")
+        drawn = F.pmod(F.xxhash64("data"), F.lit(1 << 20)) / float(1 << 20) < F.col("k") * SAMPLE_PER_CENTRE / F.col("m")
+        heads = materialise(_centres(joined.where(F.col("k").isNotNull() & drawn)), "centres").join(large, "shard")
+        heads = heads.select(F.lit(-1).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), F.col("centres").alias("data"), "shard", F.col("m").alias("parent"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        rows = joined.where("k IS NOT NULL").select("node", "copies", "data", "shard", F.col("m").alias("parent"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"))
+        ordered = rows.unionByName(heads).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "node").drop("piece")
+
+        def assign(batches, width=width):
+            own, centre = None, None
             for batch in batches:
-                shards = batch.column("shard").to_pylist()
-                x = units(unpack(batch.column("data"))) if len(shards) else np.zeros((0, 1))
+                if not batch.num_rows:
+                    continue
+                shards = np.array(batch.column("shard").to_pylist(), dtype=object)
+                head = batch.column("node").to_numpy() == -1
+                starts = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | head[1:]])
                 rows, to = [], []
-                for s in sorted(set(shards)):
-                    mine = np.flatnonzero([t == s for t in shards])
-                    c = shared.value.get(s)
-                    if c is None:
-                        rows += mine.tolist()
-                        to += [s] * len(mine)
+                for first, last in zip(starts, np.r_[starts[1:], len(shards)]):
+                    if head[first]:
+                        own = shards[first]
+                        centre = np.frombuffer(batch.column("data")[int(first)].as_py(), "<f4").reshape(-1, int(own.split(".")[0]) // 4)
+                        first += 1
+                    if first == last:
+                        continue
+                    mine = np.arange(first, last)
+                    if shards[first] != own:
+                        rows.append(mine)
+                        to += shards[mine].tolist()
                         continue
-                    m = min(overlap, len(c))
-                    near = np.argpartition(-(x[mine] @ c.T), m - 1, axis=1)[:, :m]
-                    rows += np.repeat(mine, m).tolist()
-                    to += [f"{s}.{j}" for j in near.ravel()]
-                out = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names[:-1]), pa.array(to, pa.string())], names)
-
-        dealt = materialise(dealt.mapInArrow(assign, dealt.schema), "dealt")
-        before = max(sizes.values())
-        sizes = {r[0]: r[1] for r in dealt.groupBy("shard").count().collect()}
-        if max(sizes.values()) > 0.9 * before:
-            break  # one dense bunch: it is searched as it is
+                    x = units(unpack(batch.column("data").slice(int(first), int(last - first))))
+                    m = min(width, len(centre))
+                    near = np.argpartition(-(x @ centre.T), m - 1, axis=1)[:, :m]
+                    rows.append(np.repeat(mine, m))
+                    to += [f"{own}.{j}" for j in near.ravel()]
+                if rows:
+                    out = batch.take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("node", "copies", "data")), pa.array(to, pa.string()), out.column("parent")], ["node", "copies", "data", "shard", "parent"])
+
+        made = ordered.mapInArrow(assign, dealt.schema)
+        rest = joined.where("k IS NULL").select(*dealt.columns)
+        after = materialise(rest.unionByName(made), "dealt")
+        if level:
+            discard(dealt)
+        dealt, level = after, level + 1
     all_shards = dealt.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    return materialise(dealt.join(all_shards, "node"), "shards")
+    return materialise(dealt.drop("parent").join(all_shards, "node"), "shards")
 
 
 def _graph(dealt: DataFrame) -> DataFrame:
@@ -314,56 +362,143 @@ def _search_shards(dealt: DataFrame, graph: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("shard").applyInArrow(run, "node long, links long, root long"), "found")
 
 
+def _together(nodes: DataFrame, n: int) -> DataFrame:
+    """``node``, ``data`` of nodes that have a link: vectors next to each other in order of signs of random projections.
+
+    It shares nothing with the graph, so what it meets is a fair draw for the audit; what it misses does not matter.
+    """
+    bits = int(min(30, max(1, math.log2(max(2, n / 8)))))
+
+    def sign(batches):
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            for length, at, x in by_length(batch.column("data")):
+                planes = np.random.default_rng(length).normal(size=(length // 4, bits))
+                out[at] = (x @ planes > 0) @ (1 << np.arange(bits))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("data"), pa.array(out)], ["node", "data", "signs"])
+
+    def compare(batches):
+        for batch in batches:
+            signs, hit = batch.column("signs").to_numpy(), np.zeros(batch.num_rows, bool)
+            for _, at, x in by_length(batch.column("data")):
+                for step in range(1, min(9, len(at))):
+                    good = (np.einsum("ij,ij->i", x[:-step], x[step:]) >= COSINE) & (signs[at[:-step]] == signs[at[step:]])
+                    hit[at[:-step][good]] = hit[at[step:][good]] = True
+            yield batch.select(["node", "data"]).filter(pa.array(hit))
+
+    signed = nodes.select("node", "data").mapInArrow(sign, "node long, data binary, signs long")
+    size = F.length("data")
+    return signed.repartitionByRange(size, "signs", "node").sortWithinPartitions(size, "signs", "node").mapInArrow(compare, "node long, data binary")
+
+
 def _audit(nodes: DataFrame, n: int, found: DataFrame) -> float:
-    """Share of the links of at most about ``AUDIT`` nodes, by a scan over all nodes, that the search has found."""
-    share = min(1.0, AUDIT / max(1, n))
-    chosen = nodes.where(F.pmod(F.xxhash64("data", F.lit(1)), F.lit(1 << 20)) / float(1 << 20) < share).select("node", "data").limit(4 * AUDIT).collect()
+    """Share of the links of at most ``2 * AUDIT`` nodes, by a scan over all nodes, that the search has found.
+
+    Half of the nodes are drawn from those ``_together`` meets, the others from all; where none has a link it is 1.
+    """
+    draw = F.xxhash64("data", F.lit(1))
+    chosen = {}
+    for some in (_together(nodes, n), nodes.select("node", "data")):
+        for r in some.orderBy(draw, "node").limit(AUDIT).collect():
+            chosen[r.node] = np.frombuffer(bytes(r.data), "<f4").astype(np.float64)
     if not chosen:
         return 1.0
-    ids = [r.node for r in chosen]
-    queries = nodes.sparkSession.sparkContext.broadcast((np.array(ids), units(np.stack([np.frombuffer(bytes(r.data), "<f4").astype(np.float64) for r in chosen]))))
+    queries = {}
+    for length in {len(v) for v in chosen.values()}:
+        ids = [i for i, v in chosen.items() if len(v) == length]
+        queries[4 * length] = (np.array(ids), units(np.stack([chosen[i] for i in ids])))
+    shared = nodes.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches):
-        own, q = queries.value
-        total = np.zeros(len(own), np.int64)
+        total = {length: np.zeros(len(own), np.int64) for length, (own, _) in shared.value.items()}
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                hit = units(unpack(part.column("data"))) @ q.T >= COSINE
-                hit &= part.column("node").to_numpy()[:, None] != own[None, :]
-                total += (hit * part.column("copies").to_numpy()[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["node", "links"])
+            node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+            for length, at, x in by_length(batch.column("data")):
+                if length not in total:
+                    continue
+                own, q = shared.value[length]
+                for start in range(0, len(at), 4096):
+                    part = at[start : start + 4096]
+                    hit = (x[start : start + 4096] @ q.T >= COSINE) & (node[part][:, None] != own[None, :])
+                    total[length] += (hit * copies[part][:, None]).sum(axis=0)
+        for length, (own, _) in shared.value.items():
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[length])], ["node", "links"])
 
     true = nodes.mapInArrow(scan, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    got = true.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").agg(F.sum("true"), F.sum(F.least("links", "true"))).first()
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    got = true.join(sums, "node", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("links", F.lit(0)), "true"))).first()
     return got[1] / got[0] if got[0] else 1.0
 
 
+def _all_blocks(nodes: DataFrame, n: int) -> DataFrame:
+    """What ``_search_shards`` gives, by comparing all nodes with one bounded block after another."""
+    spark = nodes.sparkSession
+    longest = nodes.agg(F.max(F.length("data"))).first()[0]
+    blocks = -(-n * longest // SCAN_BYTES)
+    tagged = materialise(nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))), "blocks")
+    folder = scratch_path(spark, "scan")
+    for b in range(blocks):
+        held = {}
+        for r in tagged.where(F.col("block") == b).collect():
+            held.setdefault(len(r.data), []).append((r.node, r.copies, bytes(r.data)))
+        block = {}
+        for length, rows in held.items():
+            x = np.frombuffer(b"".join(r[2] for r in rows), "<f4").reshape(len(rows), -1).astype(np.float64)
+            block[length] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), units(x))
+        shared = spark.sparkContext.broadcast(block)
+
+        def scan(batches, shared=shared):
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                for length, at, x in by_length(batch.column("data")):
+                    if length not in shared.value:
+                        continue
+                    own, copies, y = shared.value[length]
+                    for start in range(0, len(at), 512):
+                        mine = node[at[start : start + 512]]
+                        hit = (x[start : start + 512] @ y.T >= COSINE) & (mine[:, None] != own[None, :])
+                        a, c = np.nonzero(hit)
+                        names = np.r_[mine, own]
+                        root, left, right = names.copy(), a, c + len(mine)
+                        while (root[left] != root[right]).any():
+                            low = np.minimum(root[left], root[right])
+                            np.minimum.at(root, left, low)
+                            np.minimum.at(root, right, low)
+                        links = np.r_[(hit * copies[None, :]).sum(axis=1), np.zeros(len(own), np.int64)]
+                        told = np.unique(np.r_[left, right])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[told]), pa.array(links[told]), pa.array(root[told])], ["node", "links", "root"])
+
+        tagged.mapInArrow(scan, "node long, links long, root long").write.mode("append").parquet(folder)
+        shared.destroy()
+    discard(tagged)
+    return spark.read.schema("node long, links long, root long").parquet(folder)
+
+
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: ``id``, ``links``, ``component`` (smallest id reachable), ``recall`` (of the audit).
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do those of
-    another length than most. Equal vectors link with each other. Rows that repeat an id count each. Null ids are larger
-    than any other; a row that links with nothing has its own id as its component. An empty table gives an empty result.
-    Other columns are not read.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors link with those
+    of their own length. Equal vectors link with each other. Rows that repeat an id count each. Null ids are larger than
+    any other; a row that links with nothing has its own id as its component. An empty table gives an empty result. Other
+    columns are not read.
     """
     rows = _valid(vectors, id_column, vector_column)
-    most = rows.where("data IS NOT NULL").groupBy(F.length("data").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if most:
-        rows = rows.withColumn("data", F.when(F.length("data") == most[0].size, F.col("data")))
     nodes = _nodes(rows)
     n, overlap = nodes.count(), OVERLAP
     while True:
         dealt = _deal(nodes, n, overlap)
         found = _search_shards(dealt, _graph(dealt))
         recall = _audit(nodes, n, found)
-        if recall >= LEAST_RECALL or overlap >= 4 * OVERLAP:
+        if recall >= LEAST_RECALL:
+            break
+        if overlap >= 4 * OVERLAP:
+            found, recall = _all_blocks(nodes, n), 1.0
             break
         overlap *= 2
     linked = connected_components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "of")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.join(sums, "node").join(linked, F.col("node") == F.col("of"), "left")
-    known = known.select("data", (F.col("links") + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("class"))
+    known = nodes.join(sums, "node", "left").join(linked, F.col("node") == F.col("of"), "left")
+    known = known.select("data", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("class"))
     joined = materialise(rows.join(known, "data", "left"), "joined")
     smallest = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("component"))
     return joined.join(smallest, "class", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), F.lit(float(recall)).alias("recall"))
