@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import graph, joins, ranking, recall, relational, retrieval, rules, sessions, stats, text, windows  # noqa: F401
+from .operators import fusion, graph, joins, ranking, recall, relational, retrieval, rules, sessions, stats, text, windows  # noqa: F401
 from .plans import queries as _plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .sources import queries as _sources  # noqa: F401
