@@ -6,7 +6,7 @@ one number, the change or a count, comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -22,13 +22,13 @@ def _step(df: DataFrame, label: str) -> DataFrame:
 
 def supplier_edges(spark, sf_dir) -> DataFrame:
     """The edges used below: suppliers whose parts follow each other in an order, weighted by how often."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(
-        F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("src"), F.min(F.when(F.col("l_linenumber") == 2, F.col("l_suppkey"))).alias("dst"))
+    follows = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), follows.alias("dst"))
     return l.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 _EDGES = """
-    e AS (SELECT src, dst, count(*) AS weight FROM (SELECT l_orderkey, min(CASE WHEN l_linenumber = 1 THEN l_suppkey END) AS src, min(CASE WHEN l_linenumber = 2 THEN l_suppkey END) AS dst FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+    e AS (SELECT src, dst, count(*) AS weight FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS dst FROM lineitem)
       WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2)
 """
 

@@ -83,15 +83,15 @@ def host_filter_semi_join(spark, sf_dir):
 @query(
     "reference_edges",
     """
-    WITH d AS (SELECT DISTINCT l_partkey AS name, l_suppkey AS file FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_partkey AS name, l_suppkey AS file FROM lineitem WHERE l_linenumber = 2)
+    WITH d AS (SELECT DISTINCT l_partkey AS name, l_suppkey AS file FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_partkey AS name, l_suppkey AS file FROM lineitem WHERE l_linenumber <> 1)
     SELECT r.file AS src, d.file AS dst, count(*) AS weight FROM r JOIN d ON r.name = d.name AND r.file <> d.file GROUP BY 1, 2
     """,
 )
 def reference_edges(spark, sf_dir):
-    """References to definitions of the same name in other files; references are counted before the join."""
+    """References to definitions (first lines) of the same name in other files; references are counted before the join."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("file"), "l_linenumber")
     d = l.where("l_linenumber = 1").select("name", F.col("file").alias("dst")).distinct()
-    r = l.where("l_linenumber = 2").groupBy("name", F.col("file").alias("src")).agg(F.count("*").alias("n"))
+    r = l.where("l_linenumber <> 1").groupBy("name", F.col("file").alias("src")).agg(F.count("*").alias("n"))
     return r.join(d, "name").where("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
