@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, ppm, secrets, shards, simhash, toxicity, vectors
-from .common import documents, fold_remainder, scratch_path
+from . import centroids, exact, langid, mixing, packing, periods, ppm, secrets, shards, simhash, topk, toxicity, vectors
+from .common import WORD_REGEX, documents, fold_remainder, scratch_path
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,6 +133,76 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY {_LOWER})
 """
 
+
+def op11_centroids(spark, sf_dir):
+    out = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op11_sql() -> str:
+    """The rounds one after the other, on a row for each vector and place."""
+    centres, parts = "s0", []
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"""d{i} AS (SELECT v.r, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN {centres} c USING (place) GROUP BY ALL),
+        a{i} AS MATERIALIZED (SELECT r, min(distance) AS distance, arg_min(cluster, (distance, cluster)) AS cluster FROM d{i} GROUP BY r)""")
+        if i < centroids.ROUNDS:
+            parts.append(f"""m{i} AS (SELECT cluster, place, sum(x) AS total, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY ALL),
+            s{i + 1} AS MATERIALIZED (SELECT c.cluster, c.place, CASE WHEN n IS NULL THEN c.x ELSE CAST((total - (total % n + n) % n) // n AS BIGINT) END AS x FROM {centres} c LEFT JOIN m{i} USING (cluster, place))""")
+            centres = f"s{i + 1}"
+    return f"""WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS r, vec_id, e FROM (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)
+    ), v AS MATERIALIZED (SELECT r, unnest(range(64)) AS place, unnest(e) AS x FROM kept),
+    s0 AS MATERIALIZED (SELECT r AS cluster, place, x FROM v WHERE r < 40),
+    {", ".join(parts)},
+    told AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256 FROM {centres} GROUP BY cluster)
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM kept JOIN a{centroids.ROUNDS} USING (r) JOIN told USING (cluster)"""
+
+
+def with_periods(docs):
+    """Documents whose crc32 of the id ends in 0 become periodic from some word on; the others are left as they are."""
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD_REGEX})"), F.lit(1)))
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    unit = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return run_digest(periods.periodic_runs(with_periods(documents(spark, sf_dir))))
+
+
+def run_digest(found):
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period")))), F.lit(0))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    found = found.select("*", longest.alias("l"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "l.start", (-F.col("l.shorter")).alias("length"), "l.period",
+        F.floor(F.expr("(-1000 * l.shorter) div l.period")).alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -144,10 +214,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_topk": op13_topk,
     "shard_manifest": shard_manifest,
 }
 SQL = {
     "op4_sharding": OP4_SQL,
     "op8_mixing": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_centroids": op11_sql(),
+    "op13_topk": OP13_SQL,
 }
