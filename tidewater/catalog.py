@@ -5,7 +5,7 @@ from __future__ import annotations
 from .operators import compaction, fusion, graph, joins, ranking, recall, relational, retrieval, rules, sessions, stats, text, windows  # noqa: F401
 from .plans import queries as _plans  # noqa: F401
 from .registry import ORACLES, QUERIES
-from .sources import hosts as _hosts  # noqa: F401
+from .sources import hosts as _hosts, importers as _importers  # noqa: F401
 from .sources import queries as _sources  # noqa: F401
 from .streaming import folds  # noqa: F401
 
