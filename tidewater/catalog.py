@@ -7,7 +7,7 @@ from .plans import queries as _plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .sources import hosts as _hosts, importers as _importers  # noqa: F401
 from .sources import queries as _sources  # noqa: F401
-from .streaming import folds  # noqa: F401
+from .streaming import folds, tail  # noqa: F401
 
 
 def queries():

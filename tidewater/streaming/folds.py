@@ -22,15 +22,19 @@ def land(spark: SparkSession, sf_dir: str, files: int = 3) -> str:
     return folder
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its sink's table. Update mode keeps the last version of each key's row."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, "sink")
+def run_to_end(stream: DataFrame, mode: str, state: str | None = None, out: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return its sink's table. Update mode keeps the last version of each key's row.
+
+    With ``state`` and ``out`` of an earlier run the stream goes on where that one ended.
+    """
+    spark = stream.sparkSession
+    out = out or _folder(spark, "sink")
 
     def put(batch: DataFrame, epoch: int) -> None:
         # a batch that is run again after a failure replaces itself
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state or _folder(spark, "state")).trigger(availableNow=True)
     writer.foreachBatch(put).start().awaitTermination()
     return spark.read.schema(stream.schema.add("epoch", "long")).option("recursiveFileLookup", "true").parquet(out)
 
