@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import compaction, fusion, graph, joins, log_tiers, ranking, recall, relational, retrieval, rules, sessions, shapes, stats, text, windows  # noqa: F401
+from .operators import compaction, fusion, graph, joins, log_tiers, minhash, ranking, recall, relational, retrieval, rules, sessions, shapes, stats, text, windows  # noqa: F401
 from .plans import queries as _plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .sources import hosts as _hosts, importers as _importers  # noqa: F401

@@ -154,46 +154,6 @@ def output_deltas(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.md5("props") == F.lag(F.md5("props")).over(w), F.lit(False)).alias("unchanged"))
 
 
-# ---------------------------------------------------------------- MinHash near-dup, greedy in rank order
-_PRIME, _MASK, _PERMUTATIONS = (1 << 61) - 1, (1 << 32) - 1, 128
-
-
-def minhash_signature(tokens: set[str], permutations: int = _PERMUTATIONS, seed: int = 1) -> list[int]:
-    """Least value of each permutation over the tokens' hashes (the first four bytes of SHA-1, little-endian)."""
-    import random
-
-    rng = random.Random(seed)
-    a = [rng.randint(1, _PRIME) for _ in range(permutations)]
-    b = [rng.randint(0, _PRIME) for _ in range(permutations)]
-    hashes = [int.from_bytes(hashlib.sha1(t.encode()).digest()[:4], "little") for t in tokens]
-    return [min(((x * h + y) % _PRIME & _MASK for h in hashes), default=_MASK) for x, y in zip(a, b, strict=True)]
-
-
-def _signatures(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: minhash_signature(set(re.findall(r"[a-z0-9]+", (t or "").lower()))))
-
-
-@query("minhash_keep_first")
-def minhash_keep_first(spark, sf_dir):
-    """Of each group of rows in rank order those that resemble none kept before; candidates are taken group by group."""
-    signature = F.pandas_udf(_signatures, "array<long>")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", signature("text").alias("signature"))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, out = pdf.sort_values("turn"), [], []
-        for turn, text, s in zip(pdf.turn, pdf.text, pdf.signature, strict=True):
-            s = np.asarray(s)
-            few = len(set(re.findall(r"[a-z0-9]+", (text or "").lower()))) < 5
-            if few or not any((s == k).mean() >= 0.75 for k in kept):
-                out.append(turn)
-                if not few:
-                    kept.append(s)
-        return pd.DataFrame({"conv_id": pdf.conv_id.iloc[0], "turn": out})
-
-    # a conversation is one session: its turns are compared in order
-    return rows.groupBy("conv_id").applyInPandas(keep, "conv_id long, turn long")
-
-
 # ---------------------------------------------------------------- LexRank summary
 def sentences(text: str) -> list[str]:
     return [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text or "") if s.strip()]
