@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,47 +130,52 @@ def exact_knn(spark, sf_dir):
     return knn(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), 10)
 
 
-QUERY_BLOCK = 4096
+#: Vectors of a block and queries of a wave, about; a task has one of each.
+VECTOR_BLOCK, QUERY_BLOCK = 65_536, 4096
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """``query_id``, ``vec_id``, ``score``, ``place``: the ``k`` best positive cosines, other ids only.
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, *within: str, positive: bool = True) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: for each query the ``k`` best cosines of its own ``within`` and a few more, other ids only.
 
-    Queries are sent out in blocks of ``QUERY_BLOCK``; each batch of vectors is multiplied with a block and keeps its
-    ``k`` best for each query, which are then ranked together.
+    ``vectors``: ``within``, ``vec_id`` (long), ``vector``; ``queries``: ``within``, ``query_id`` (long), ``vector``; lengths are equal within. Both sides are
+    dealt to blocks and waves by hashes, every block meets every wave in one task, and only the best of each leave it.
+    ``positive`` leaves out cosines of 0 and less. The vector of length zero has cosine 0 with all.
     """
-    spark = vectors.sparkSession
-    found, block = None, []
-
-    def run_block(rows):
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def scan(batches):
-            ids, q = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf[vector_column].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                own = pdf[id_column].to_numpy()
-                s = np.where(ids[:, None] == own[None, :], -2.0, q @ x.T)
+    blocks, waves = (max(1, math.ceil(df.count() / size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    numbers = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    fresh = lambda *names: [F.col(c).alias(c) for c in names]  # both sides may come from one frame
+    left = vectors.where("vector IS NOT NULL").select(*fresh(*within, "vec_id", "vector"), part(blocks, "vec_id", "vector").alias("block"), numbers(waves, "wave"))
+    right = queries.where("vector IS NOT NULL").select(*fresh(*within, "query_id", "vector"), part(waves, "query_id", "vector").alias("wave"), numbers(blocks, "block"))
+
+    def units(t: pa.Table) -> np.ndarray:
+        x = t.column("vector").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def scan(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            own, ids, x, q = a.column("vec_id").to_numpy(), b.column("query_id").to_numpy(), units(a), units(b)
+            for first in range(0, len(ids), 128):
+                s = q[first : first + 128] @ x.T
+                s[ids[first : first + 128, None] == own[None, :]] = -2.0
                 m = min(k + 8, s.shape[1])
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 score = np.take_along_axis(s, top, 1)
-                at = np.nonzero(score > 0)
-                yield pd.DataFrame({"query_id": ids[at[0]], "vec_id": own[top[at]], "score": score[at]})
+                at = np.nonzero(score > (0 if positive else -2.0))
+                found.append((ids[first + at[0]], own[top[at]], score[at]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    keys = (*within, "block", "wave")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
 
-        return vectors.select(id_column, vector_column).mapInPandas(scan, "query_id long, vec_id long, score double")
 
-    for row in queries.select(F.col(id_column).cast("long"), vector_column).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = run_block(block) if found is None else found.unionByName(run_block(block)), []
-    if block or found is None:
-        found = run_block(block) if found is None else found.unionByName(run_block(block))
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``, ``place``: the ``k`` best positive cosines, other ids only."""
+    named = lambda df, name: df.select(F.col(id_column).cast("long").alias(name), F.col(vector_column).alias("vector"))
+    found = cosine_top(named(vectors, "vec_id"), named(queries, "query_id"), k)
     return top_k(found, "query_id", "score", "vec_id", k).withColumn("score", F.round("score", 6))
 
 
