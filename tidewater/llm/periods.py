@@ -24,7 +24,9 @@ from .common import slices, text_buffer
 #: A run has this many words at least, and twice its period.
 LEAST = 12
 #: Places that are looked at in one step.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+#: Bytes of text that are searched together (one longer text stands alone).
+_SLICE = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _OUT = "runs array<struct<start: long, length: long, period: long>>, n_words long, collapsed string"
 
@@ -148,7 +150,7 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for b in batches:
             data, at = text_buffer(b.column("text"))
             raw = data.tobytes()
-            for first, last in slices(at):
+            for first, last in slices(at, _SLICE):
                 intern: dict[bytes, int] = {}
                 words = [raw[at[i] : at[i + 1]].split() for i in range(first, last)]  # bytes are split at ASCII white space only
                 offsets = np.cumsum([0, *map(len, words)])
