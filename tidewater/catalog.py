@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import compaction, deltas, doc_recall, fusion, graph, joins, log_tiers, minhash, pages, ranking, recall, relational, retrieval, rules, sessions, shapes, stats, text, windows  # noqa: F401
-from .plans import queries as _plans  # noqa: F401
+from .plans import queries as _plans, versions as _versions  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .sources import hosts as _hosts, importers as _importers  # noqa: F401
 from .sources import queries as _sources  # noqa: F401

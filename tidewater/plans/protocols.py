@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
+from .versions import VersionedTable
 
 
 @runtime_checkable
@@ -89,30 +90,22 @@ class Retriever(Protocol):
 
 
 class Store:
-    """Tables in a folder by name, as Parquet; a row put again under its key replaces the one before."""
+    """Tables in a folder by name, each with versions; a row put again under its key replaces the one before."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(p.getName() for p in done)
+    def table(self, name: str, keys: list[str]) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.folder}/{name}", keys)
 
     def read(self, name: str) -> DataFrame | None:
-        """The last whole version, None if there is none: a version whose writing failed is not seen."""
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{versions[-1]}") if versions else None
+        """The last version, None if there is none: a version whose writing failed, or that lost a race, is not seen."""
+        rows = self.table(name, []).read()
+        return rows if rows is None else rows.drop("version", "actor")
 
     def put(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        versions = self._versions(name)
-        before = self.read(name)
-        whole = rows if before is None else before.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
-        whole.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{int(versions[-1][1:]) + 1 if versions else 1:09d}")
+        """Insert and replace by key. Two writers come one after the other, so that no row of either is lost."""
+        self.table(name, keys).put(rows)
 
 
 class ResultCache:
