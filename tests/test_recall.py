@@ -1,4 +1,7 @@
 import hashlib
+import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -6,7 +9,8 @@ from tidewater.operators.joins import containing
 from tidewater.operators.ranking import commit_class, gram_search
 from tidewater.operators.recall import best_window, blake_digests, fit_to_budget, minified, widened
 from tidewater.operators.rules import claim, price_rows, reap
-from tidewater.operators.text import redact
+from tidewater.operators.sessions import redact_json
+from tidewater.operators.text import REDACTIONS, redact
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,9 +21,9 @@ def one(spark, column):
 
 def test_short_needles_and_blocks_are_found(spark):
     docs = spark.createDataFrame([(1, "alpha betagamma"), (2, "zz"), (3, None), (4, "the unmistakable end")], "k long, t string")
-    needles = spark.createDataFrame([("al",), ("a",), ("alp",), ("a b",), ("zz",), ("",), (None,), ("none",)], "needle string")
-    got = {(r.needle, r.k) for r in gram_search(docs, needles, "k", "t").collect()}
-    assert got == {("al", 1), ("a", 1), ("a", 4), ("alp", 1), ("a b", 1), ("zz", 2)}
+    needles = spark.createDataFrame([("al",), ("a",), ("alp",), ("a b",), ("zz",), ("",), (None,), ("none",), (" ",), (" ",), ("  ",)], "needle string")
+    found = [(r.needle, r.k) for r in gram_search(docs, needles, "k", "t").collect()]
+    assert set(found) == {("al", 1), ("a", 1), ("a", 4), ("alp", 1), ("a b", 1), ("zz", 2), (" ", 1), (" ", 4)} and len(found) == 8
     blocks = spark.createDataFrame([(1, "unmistakable"), (2, "alpha beta"), (3, "he unmistakable en"), (4, ""), (5, "not there at all")], "b long, block string")
     assert {(r.b, r.k) for r in containing(docs, blocks, "k", "t", "b", "block").collect()} == {(1, 4), (2, 1), (3, 4)}
 
@@ -32,6 +36,38 @@ def test_redaction_is_linear_and_whole(spark):
     assert many.select(F.length(redact(F.col("t")))).first()[0] == 40_000 * len(key)
 
 
+def plain(text):
+    import re
+
+    for pattern, mark in REDACTIONS:
+        text = re.sub(pattern, mark, text)
+    return text
+
+
+def test_redaction_of_mixed_spans(spark):
+    rng = random.Random(6)
+    parts = ["<think>", "</think>", "<THINKING>", "</thinking>", "<thinking>", "-----BEGIN PRIVATE KEY-----", "-----END EC PRIVATE KEY-----", "x", "a@b.org ", "\n", "</think"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", redact(F.col("t")).alias("r")).collect()
+    assert {r.i: r.r for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+    for t in texts:
+        assert json.loads(redact_json(json.dumps({"<think>k</think>": [t, 1]}))) == {"<think>k</think>": [plain(t), 1]} and redact_json("{" + t) == plain("{" + t)
+
+
+def test_redaction_of_mixed_spans_is_linear(spark):
+    began = time.monotonic()
+    hard = ["<think>" * 200_000 + "</thinking>", "<thinking>" * 200_000 + "</think>", "-----BEGIN PRIVATE KEY-----" * 40_000, "<think>a</thinking>" * 60_000]
+    assert [len(redact_json(json.dumps([t]))) for t in hard] == [len(t) + 4 for t in hard]
+    assert sorted(r[0] for r in spark.createDataFrame([(t,) for t in hard], "t string").select(F.length(redact(F.col("t")))).collect()) == sorted(map(len, hard))
+    assert time.monotonic() - began < 20
+
+
+def test_minified_keeps_order_and_numbers(spark):
+    cases = {'{"b": 1.0, "a": [1, 2.50]}': '{"b":1.0,"a":[1,2.50]}', ' [ "a  b\\" c" ,\n\t1e5 ] ': '["a  b\\" c",1e5]', "{ broken": "{ broken", "[1 ] }": "[1 ] }", "1 , 2": "1 , 2", "1 ], [2": "1 ], [2", "[1 ,]": "[1 ,]", " 7 ": "7", "": "", '"x y"': '"x y"', "[" + '"y z", ' * 20_000 + "1]": "[" + '"y z",' * 20_000 + "1]"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", minified(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m for r in got} == cases
+
+
 def test_commit_class_uses_the_subject_and_the_files(spark):
     of = lambda m, *files: tuple(one(spark, commit_class(F.lit(m), F.array(*map(F.lit, files)).cast("array<string>"))))
     assert of("fix(ui)!: x") == ("bugfix", 0.9) and of("style: x") == ("refactor", 0.9)

@@ -12,7 +12,7 @@ def test_kinds(spark):
 def test_json_reports(spark):
     texts = {
         1: '{"b": 1.0, "a": [1, {"x": "]}"}], "e": {}}', 2: "[]", 3: "[[], 2]", 4: '"s"', 5: "{broken", 6: "{" + ", ".join(f'"k{i:02}": {i}' for i in range(15)) + "}", 7: "123456789012345678901234567890", 8: None, 9: "", 10: "[1e5, true]",
-        11: '{"text": "' + "y" * 300 + '"}',
+        12: "[1] [2]", 11: '{"text": "' + "y" * 300 + '"}',
     }
     got = {r.k: r for r in shapes.json_reports(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t").collect()}
     assert got[1].shape == "object, 3 top-level key(s) [b: float, a: array, e: object], max depth 3" and len(got[1].samples) == 3

@@ -59,6 +59,12 @@ def marked_sql(text: str, marks) -> str:
     return text
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser stops behind the first value; in an array and in an object of its own only an end may follow there."""
+    alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def error_fingerprint(message: Column, limit: int = 260) -> Column:
     """A message without what varies: ids, hex numbers, whole numbers, quoted text and paths, white space collapsed."""
     return F.substring(marked(F.regexp_replace(F.lower(F.trim(message)), r"\s+", " "), ERROR_MARKS), 1, limit)

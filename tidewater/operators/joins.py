@@ -63,9 +63,10 @@ def files_left_join_symbols(spark, sf_dir):
     return n.join(s, n.n_nationkey == s.s_nationkey, "left").join(c, n.n_nationkey == c.c_nationkey, "left").select(F.col("n_name").alias("language"), zero("files").alias("files"), zero("symbols").alias("symbols"))
 
 
-@query("unsynced_rows", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("unsynced_rows", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%' AND o_totalprice > 200000 WHERE o_orderkey IS NULL")
 def unsynced_rows(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Customers without a large urgent order."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%' AND o_totalprice > 200000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_json
 from ..registry import query
 from ..sources.tables import table
 from .compaction import DIAGNOSTICS
@@ -141,7 +142,7 @@ def sample_records(lines: DataFrame, key: str, position: str, line: str, budget:
     w = Window.partitionBy(key).orderBy("n")
     full = full.withColumns({"i": F.row_number().over(w), "records": F.count("*").over(Window.partitionBy(key))})
     shown = (F.col("i") <= 3) | (F.col("i") > F.col("records") - 2) | diagnostic(F.col("line"))
-    is_record = F.rlike("line", F.lit(r"^\s*[{\[]")) & F.expr("try_parse_json(line) IS NOT NULL")
+    is_record = F.rlike("line", F.lit(r"^\s*[{\[]")) & is_json(F.col("line"))
     size = rows.groupBy(key).agg(F.sum(F.length("line") + 1).alias("chars"))
     fit = full.groupBy(key).agg(F.count("*").alias("all"), F.count_if(is_record).alias("ok"), F.count_if(shown).alias("shown")).join(size, key)
     fit = fit.where((F.col("chars") - 1 > budget) & (F.col("all") >= LEAST_RECORDS) & (F.col("ok") == F.col("all")) & (F.col("shown") <= MOST_SHOWN)).select(key, "all", "shown")

@@ -119,7 +119,8 @@ def gram_search(docs: DataFrame, needles: DataFrame, key: str, text: str, needle
 
     The longest piece of a needle between spaces must be in some word of the text. Pieces meet the vocabulary, each word
     once however many texts have it, on their trigrams (shorter ones as a gram of their own length): all of a piece's
-    grams must be there, then the word is looked at, then the text. Null needles, and those of spaces alone, match nothing.
+    grams must be there, then the word is looked at, then the text. A needle of spaces alone is in the texts with as long a
+    row of spaces. Null and empty needles match nothing.
     """
     longest = F.array_max(F.transform(F.filter(F.split(needle, " "), lambda w: F.length(w) > 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     n = needles.select(needle, longest.alias("piece")).where("piece IS NOT NULL").distinct()
@@ -130,7 +131,12 @@ def gram_search(docs: DataFrame, needles: DataFrame, key: str, text: str, needle
     index = words_of.select("word").distinct().select("word", F.explode(F.concat(*[_grams(F.col("word"), size) for size in (1, 2, 3)])).alias("gram"))
     hit = index.join(pieces, "gram").groupBy("piece", "word", "all").agg(F.count("*").alias("n")).where("n = all").where(F.contains("word", "piece"))
     found = words_of.join(hit.select("piece", "word"), "word").select("piece", key).distinct().join(n, "piece")
-    return found.select(needle, key).join(docs.select(key, text), key).where(F.contains(text, needle)).select(needle, key).distinct()
+    met = found.select(needle, key).join(docs.select(key, text), key).where(F.contains(text, needle)).select(needle, key).distinct()
+    blank = needles.where(F.rlike(needle, F.lit("^ +$"))).select(needle, F.length(needle).alias("n")).distinct()
+    sizes = F.broadcast(blank.agg(F.collect_set("n").alias("sizes")))  # one row, a number for each length
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("( +)")), F.length))
+    spaced = docs.select(key, longest.alias("row")).where("row > 0").join(sizes).select(key, F.explode(F.filter("sizes", lambda n: n <= F.col("row"))).alias("n"))
+    return met.unionByName(spaced.join(blank, "n").select(needle, key))
 
 
 @query("trigram_index_search", "SELECT n AS needle, doc_id FROM (VALUES ('Apache License'), ('password='), ('idiot'), ('qu'), ('Z')) v(n) JOIN documents ON contains(text, n)")

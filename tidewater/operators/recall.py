@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_json
 from ..registry import query
 from ..sources.tables import table
 from .retrieval import _tokens_sql, term_table, tokens
@@ -169,13 +170,21 @@ def bounded_edit_distance(spark, sf_dir):
 
 
 def minified(text: Column) -> Column:
-    """JSON without white space; what is no JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+    """JSON without the white space between its parts: keys keep their order and numbers their form. What is no JSON stays as it is."""
+    return F.when(is_json(text), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")).otherwise(text)
 
 
-@query("minified_json", "SELECT event_id, CASE WHEN json_valid(props) THEN CAST(json(props) AS VARCHAR) ELSE props END AS small, length(props) AS n FROM events")
+_SPACED = """CASE WHEN event_id % 5 = 4 THEN props || ' }' ELSE '{ "z y": ' || props || ' , "a" : [ 1.0,2.50 , "x \\" : " ],' || chr(10) || ' "e": ' || event_id || ' }' END"""
+
+
+@query(
+    "minified_json",
+    rf"""SELECT event_id, CASE WHEN json_valid(x) THEN regexp_replace(x, '("(?:[^"\\]|\\.)*")|\s+', '\1', 'g') ELSE x END AS small, length(x) AS n FROM (SELECT event_id, {_SPACED} AS x FROM events)""",
+)
 def minified_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", minified(F.col("props")).alias("small"), F.length("props").cast("long").alias("n"))
+    """The properties of events inside larger objects with white space in and between strings, and some that are no JSON."""
+    spaced = F.expr(_SPACED.replace('\\"', '\\\\"'))
+    return table(spark, sf_dir, "events").select("event_id", minified(spaced).alias("small"), F.length(spaced).cast("long").alias("n"))
 
 
 def _blake(texts: pd.Series) -> pd.Series:

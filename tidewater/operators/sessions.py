@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import words, zero
 from ..registry import query
 from ..sources.tables import table
-from .text import REDACTIONS
+from .text import REDACTIONS, spans_of
 from .windows import greedy_pack
 
 
@@ -151,7 +151,24 @@ def weak_success_probability(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- JSON redaction and event dedup (sequential in a session)
-_RULES = [(re.compile(p), m) for p, m in REDACTIONS]
+_RULES = [(re.compile(p), m, spans_of(p, m)) for p, m in REDACTIONS]
+
+
+def _without_spans(value: str, mark: str, first: str, kinds) -> str:
+    """Each span from an opener to the next closer of its kind as the mark; a kind whose closer was not found once is not looked for again."""
+    kinds, out, at = [(re.compile(first + rest), re.compile(closer)) for rest, closer in kinds], [], 0
+    found = [opener.search(value) for opener, _ in kinds]
+    while any(found):
+        i = min((m.start(), i) for i, m in enumerate(found) if m)[1]
+        opener, closer = kinds[i]
+        end = closer.search(value, found[i].end())
+        if end is None:
+            found[i] = None
+            continue
+        out += [value[at : found[i].start()], mark]
+        at = end.end()
+        found = [m if m is None or m.start() >= at else o.search(value, at) for m, (o, _) in zip(found, kinds, strict=True)]
+    return "".join([*out, value[at:]])
 
 
 def redact_json(line: str | None) -> str | None:
@@ -159,8 +176,8 @@ def redact_json(line: str | None) -> str | None:
 
     def clean(value):
         if isinstance(value, str):
-            for pattern, mark in _RULES:
-                value = pattern.sub(mark, value)
+            for pattern, mark, spans in _RULES:
+                value = pattern.sub(mark, value) if spans is None else _without_spans(value, mark, *spans)
             return value
         if isinstance(value, list):
             return [clean(v) for v in value]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_json
 from ..registry import query
 from ..sources.tables import table
 from .compaction import DIAGNOSTICS
@@ -63,7 +64,7 @@ def json_reports(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     A text with a key twice in one object is not taken for JSON here.
     """
-    rows = texts.select(key, F.col(text).alias("t"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    rows = texts.select(key, F.col(text).alias("t"), F.when(is_json(F.col(text)), F.try_parse_json(text)).alias("v")).where("v IS NOT NULL")
     rows = rows.select(key, "t", "v", type_of(F.col("v")).alias("type"), depth_of(F.col("t")).alias("depth"), F.when(F.rlike("t", F.lit(r"^\s*\{")), F.json_object_keys("t")).alias("keys"), _object(F.col("v")).alias("o"), _array(F.col("v")).alias("a"))
     shown = F.array_join(F.transform(F.slice("keys", 1, SHOWN_KEYS), lambda k: F.concat(k, F.lit(": "), F.coalesce(type_of(F.element_at("o", k)), F.lit("null")))), ", ")
     more = F.when(F.size("keys") > SHOWN_KEYS, F.concat(F.lit(", …(+"), F.size("keys") - SHOWN_KEYS, F.lit(" more)"))).otherwise("")
@@ -78,7 +79,7 @@ def json_reports(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def json_sketch(texts: DataFrame, text: str, example: int = 80) -> DataFrame:
     """``path``, ``type``, ``n``, ``example`` (the smallest, cut) over all texts that are JSON; array items are ``[]``."""
-    rows = texts.select(F.col(text).alias("t"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    rows = texts.select(F.col(text).alias("t"), F.when(is_json(F.col(text)), F.try_parse_json(text)).alias("v")).where("v IS NOT NULL")
     deepest = rows.agg(F.max(depth_of(F.col("t")))).head()[0] or 0
     node = lambda path, v: F.struct(path.alias("path"), type_of(v).alias("type"), F.left(F.to_json(v), F.lit(example)).alias("example"), v.alias("v"))
     nothing = F.lit(None).cast("variant")

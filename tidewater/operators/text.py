@@ -45,26 +45,39 @@ SHELL_TOKENS = (";", "|", "&", "`", "$(", ">", "<", "\n", "\r")
 _ANCHOR = r"(?i)key|secret|token|passw|pwd|sk-|shp|ghp_|eyJ|AKIA|ASIA|@|<think|chain|reasoning|thoughts"
 
 
-#: Rules with an opener and a closer, and what their closers look like.
-_CLOSERS = {"<redacted-private-key>": r"-----END [A-Z ]*PRIVATE KEY-----", "(?is)<think>": r"</think(?:ing)?>"}
+#: Rules with openers and closers: the first character of all their openers, and for each kind a pattern of the rest and of its closer.
+SPANS = {
+    "<redacted-private-key>": ("-", (("----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"),)),
+    "<redacted-hidden-reasoning>": ("<", (("(?i:think>)", "(?i:</think>)"), ("(?i:thinking>)", "(?i:</thinking>)"))),
+}
+#: Stands for the first character of an opener that nothing closes; no character of any text.
+_DEAD = "\uffff"
 
 
-def _replace_spans(text: Column, pattern: str, mark: str, closer: str) -> Column:
-    """Replace spans from an opener to the next closer, in time that grows with the text only.
+def spans_of(pattern: str, mark: str):
+    """Openers and closers of a rule; None for a rule that ends with its line or word."""
+    return SPANS.get(mark) if pattern.startswith("(?s)") or pattern.startswith("(?is)") else None
 
-    After the last closer no span can end: an opener there would be followed to the end of the text for nothing, each
-    time anew. That rest is put aside first.
+
+def _replace_spans(text: Column, pattern: str, mark: str, first: str, kinds) -> Column:
+    """Replace spans from an opener to its next closer, in time that grows with the text only.
+
+    An opener behind the last closer of its own kind would be followed to the end of the text for nothing, each time anew.
+    Such openers are blotted out first, kind by kind, and come back at the end.
     """
-    head = F.regexp_extract(text, f"(?is)^(.*{closer})", 1)
-    rest = F.substr(text, F.length(head) + 1)
-    return F.when(head == "", text).otherwise(F.concat(F.regexp_replace(head, pattern, mark), rest))
+    out, some = text, F.lit(False)
+    for rest, closer in kinds:
+        upto = F.length(F.regexp_extract(out, f"(?s)^(.*{closer})", 1))
+        out = F.concat(F.substr(out, F.lit(1), upto), F.regexp_replace(F.substr(out, upto + 1), f"{first}(?={rest})", _DEAD))
+        some |= F.rlike(text, F.lit(first + rest))
+    return F.when(some, F.translate(F.regexp_replace(out, pattern, mark), _DEAD, first)).otherwise(text)
 
 
 def redact(text: Column) -> Column:
     out = text
     for pattern, mark in REDACTIONS:
-        closer = next((c for start, c in _CLOSERS.items() if start == mark or pattern.startswith(start)), None)
-        out = F.regexp_replace(out, pattern, mark) if closer is None else _replace_spans(out, pattern, mark, closer)
+        spans = spans_of(pattern, mark)
+        out = F.regexp_replace(out, pattern, mark) if spans is None else _replace_spans(out, pattern, mark, *spans)
     return F.when(F.rlike(text, F.lit(_ANCHOR)), out).otherwise(text)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterable, Sequence
 from typing import Protocol, runtime_checkable
 
@@ -109,19 +110,32 @@ class Store:
 
 
 class ResultCache:
-    """Results written once to the shared folder, by the digest of arguments and versions; other versions miss."""
+    """Results written once, by the digest of arguments and versions; other versions miss.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.schemas = spark, shared_folder(spark, "results"), {}
+    With a folder that sessions share, what one has written is a hit for the others. A result whose writing failed is a miss.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or shared_folder(spark, "results")).rstrip("/")
 
     @staticmethod
     def key(tool: str, arguments: dict, **versions: str) -> str:
         return hashlib.sha256(json.dumps([tool, arguments, versions], sort_keys=True, default=str).encode()).hexdigest()
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-        path = f"{self.folder}/{key}"
-        if key not in self.schemas:
-            df = make()
-            df.write.mode("overwrite").parquet(path)
-            self.schemas[key] = df.schema
-        return self.spark.read.schema(self.schemas[key]).parquet(path)
+        fs, done = self._path(f"{key}/_SUCCESS")
+        if not fs.exists(done):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{key}")
+        return self.spark.read.parquet(f"{self.folder}/{key}")
+
+    def prune(self, older_than: float) -> int:
+        """Remove results that were written more than so many seconds ago; how many went."""
+        fs, root = self._path()
+        old = [s.getPath() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getModificationTime() / 1000 < time.time() - older_than]
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
