@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..registry import query
-from ..shared import shared_folder
+from ..shared import written
 from ..sources.tables import table
 
 #: Cosine from which two failures are alike, failures of a candidate, failures kept as its evidence, rows of a round.
@@ -59,12 +59,6 @@ def _unit(v) -> np.ndarray | None:
     return x / n
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def leader_clusters(failures: DataFrame, near: float = NEAR) -> DataFrame:
     """``id``, ``domain``, ``at``, ``leader``: the id of the row's leader, its own if it leads.
 
@@ -73,7 +67,7 @@ def leader_clusters(failures: DataFrame, near: float = NEAR) -> DataFrame:
     """
     spark = failures.sparkSession
     fine = failures.select("id", F.col("domain").cast("string").alias("domain"), "at", "fingerprint", F.col("vector").cast("array<double>").alias("vector"))
-    left, done = _written(fine, "open"), None
+    left, done = written(fine, "open"), None
     while True:
         head = left.orderBy("at", "id").limit(ROUND).collect()  # ROUND rows
         if not head:
@@ -90,10 +84,10 @@ def leader_clusters(failures: DataFrame, near: float = NEAR) -> DataFrame:
                 at = [leaders.first(d, f, _unit(v)) for d, f, v in zip(b.column("domain").to_pylist(), b.column("fingerprint").to_pylist(), b.column("vector").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[i] if i >= 0 else None for i in at], pa.int64())], names=[*b.schema.names, "leader"])
 
-        met = _written(left.mapInArrow(join, StructType([*left.schema.fields, StructField("leader", LongType())])), "met")
+        met = written(left.mapInArrow(join, StructType([*left.schema.fields, StructField("leader", LongType())])), "met")
         now = met.where("leader IS NOT NULL").select("id", "domain", "at", "leader")
         done = now if done is None else done.unionByName(now)
-        left = _written(met.where("leader IS NULL").drop("leader"), "open")
+        left = written(met.where("leader IS NULL").drop("leader"), "open")
 
 
 def candidates(clusters: DataFrame, least: int = LEAST, evidence: int = EVIDENCE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..shared import shared_folder
+from ..shared import written
 from ..sources.tables import table
 
 # The prime and mask of the permutations, their number, the share of equal values, and tokens below which a row is exempt.
@@ -80,12 +80,6 @@ def alike(a: Column, b: Column) -> Column:
     return equal >= int(np.ceil(ALIKE * PERMUTATIONS))
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _bands(rows: DataFrame) -> DataFrame:
     """``id``, ``band``: the rarest items of each row that some other row has too."""
     share = int(np.ceil(ALIKE * PERMUTATIONS))
@@ -103,31 +97,31 @@ def keep_first(rows: DataFrame, rank: str, text: str, by: list[str] | None = Non
     spark, by = rows.sparkSession, by or []
     signed = rows.select(*by, rank, F.pandas_udf(_signed, "signature array<long>, tokens long")(text).alias("_x")).select(*by, rank, "_x.*")
     key = F.struct(*by, rank)
-    signed = _written(signed.select(key.alias("id"), F.struct(*by).alias("scope") if by else F.lit(0).alias("scope"), "signature", "tokens"), "signatures")
+    signed = written(signed.select(key.alias("id"), F.struct(*by).alias("scope") if by else F.lit(0).alias("scope"), "signature", "tokens"), "signatures")
     exempt = signed.where(F.col("tokens") < LEAST_TOKENS).select("id")
-    firsts = _written(signed.where(F.col("tokens") >= LEAST_TOKENS).groupBy("scope", "signature").agg(F.min("id").alias("id")), "firsts")
-    bands = _written(_bands(firsts), "bands")
+    firsts = written(signed.where(F.col("tokens") >= LEAST_TOKENS).groupBy("scope", "signature").agg(F.min("id").alias("id")), "firsts")
+    bands = written(_bands(firsts), "bands")
     sig = firsts.select("id", "signature")
     removed = firsts.select("id").limit(0)
     for _ in range(FIRST_ROUNDS):
         head = bands.withColumn("head", F.min("id").over(Window.partitionBy("band")))
         sure = head.groupBy("id").agg(F.max(F.col("head") < F.col("id")).alias("late")).where("NOT late").select("id")
-        sure = _written(sure, "sure")
+        sure = written(sure, "sure")
         mine = bands.join(sure, "id").withColumnRenamed("id", "a")
         met = mine.join(bands, "band").where(F.col("a") < F.col("id")).select("a", "id").distinct()
-        gone = _written(_conflicts(met, sig).select("id").distinct(), "gone")
-        bands = _written(bands.join(sure.unionByName(gone), "id", "left_anti"), "bands")
+        gone = written(_conflicts(met, sig).select("id").distinct(), "gone")
+        bands = written(bands.join(sure.unionByName(gone), "id", "left_anti"), "bands")
         removed = removed.unionByName(gone)
     left = bands.withColumnRenamed("id", "a").join(bands, "band").where(F.col("a") < F.col("id")).select("a", "id").distinct()
-    edges = _written(_conflicts(left, sig), "conflicts")
+    edges = written(_conflicts(left, sig), "conflicts")
     while edges.limit(1).count():
         later = edges.select("id").distinct()
         stay = edges.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
         lost = edges.join(stay.withColumnRenamed("id", "a"), "a", "left_semi").select("id").distinct()
-        lost = _written(lost, "gone")
+        lost = written(lost, "gone")
         removed = removed.unionByName(lost)
         settled = lost.unionByName(stay)
-        edges = _written(edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(settled, "id", "left_anti"), "conflicts")
+        edges = written(edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(settled, "id", "left_anti"), "conflicts")
     out = firsts.select("id").join(removed, "id", "left_anti").unionByName(exempt)
     return out.select("id.*")
 

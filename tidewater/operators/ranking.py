@@ -12,7 +12,7 @@ from ..registry import query
 from ..shared import shared_folder
 from ..sources.tables import table
 from .graph import bounded_bfs, supplier_edges
-from .retrieval import _BM25_SQL, bm25, top_k
+from .retrieval import _BM25_SQL, search_documents, top_k
 from .windows import greedy_pack
 
 
@@ -27,7 +27,7 @@ from .windows import greedy_pack
 )
 def passage_hybrid(spark, sf_dir):
     """0.6 of the clamped cosine of passage and query and 0.4 of BM25 over its largest; vectors are dealt to both by their ids."""
-    scored = bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    scored = search_documents(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
     many = vectors.count()
     of = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
 from ..registry import query
+from ..shared import kept
 from ..sources.tables import table
 
 # Stopwords and suffixes (the first that matches goes) of the tokenizer.
@@ -45,14 +46,23 @@ def tokens(text: Column) -> Column:
 def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``term``, ``tf``, ``dl``: the inverted index, to be written once and read by each search.
 
-    Words are stemmed after they are exploded, where the compiled stage does it.
+    Texts are dealt by their key first, so that their words are counted and their lengths summed where they are cut;
+    stopwords go and stems are made after words are exploded, where the compiled stage does it. ``key`` must differ for all rows.
     """
-    cut = docs.select(key, kept_words(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("word"))
-    return cut.groupBy(key, stem(F.col("word")).alias("term"), "dl").agg(F.count("*").alias("tf"))
+    cut = F.lower(F.regexp_replace(F.col(text), "([a-z])([A-Z])", "$1 $2"))
+    word = docs.select(key, text).repartition(key).select(key, F.explode(F.regexp_extract_all(cut, F.lit("([a-z][a-z0-9]*)"))).alias("_w"))
+    word = word.where((F.length("_w") >= 2) & ~F.col("_w").isin(STOPWORDS)).select(key, stem(F.col("_w")).alias("term"))
+    tf = word.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+
+
+def kept_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The ``term_table`` of a table as it was read, written once for all searches until its files change."""
+    return kept(lambda: term_table(docs, key, text), docs.select(key, text), f"terms-{key}-{text}")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
-    """``query_key``, ``key``, ``score`` of all pairs with a term in common.
+    """``query_key``, ``key``, ``score`` of all pairs with a term in common, ``met`` (different terms in common) and ``asked`` (different terms of the query that some text has).
 
     Repeated query terms count again; the mean length is at least 1; terms with idf <= 0 add nothing. With ``index`` (a
     written ``term_table``) texts are not cut again.
@@ -65,9 +75,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     wanted = index.join(q.select("term").distinct(), "term", "left_semi")  # other terms never reach the sums below
     df = wanted.groupBy("term").agg(F.count("*").alias("df")).join(stats)
     idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).where("idf > 0")
-    hit = wanted.join(idf, "term").join(q, "term")
+    # a term's queries and weights go out together: few rows, for terms that are asked for
+    weighed = q.join(idf, "term").withColumn("asked", F.count("*").over(Window.partitionBy(query_key)))
+    hit = wanted.join(weighed, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    return hit.groupBy(query_key, key).agg(F.sum(part).alias("score"), F.count("*").alias("met"), F.max("asked").alias("asked"))
+
+
+def search_documents(spark, sf_dir) -> DataFrame:
+    """BM25 of all items over all documents, on the kept index."""
+    d = table(spark, sf_dir, "documents")
+    return bm25(d, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", index=kept_terms(d, "doc_id", "text"))
 
 
 def top_k(scored: DataFrame, by: str, score: str, key: str, k: int) -> DataFrame:
@@ -95,14 +113,14 @@ _BM25_SQL = f"""
 
 @query("bm25_top10", _BM25_SQL + "SELECT item_id, doc_id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM r) WHERE place <= 10")
 def bm25_top10(spark, sf_dir):
-    scored = bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    scored = search_documents(spark, sf_dir)
     return top_k(scored, "item_id", "score", "doc_id", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
 @query("bm25_normalised_by_max", _BM25_SQL + "SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 6) AS share FROM r QUALIFY share >= 0.8")
 def bm25_normalised_by_max(spark, sf_dir):
     """The passage variant: scores over the best one of the query."""
-    scored = bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    scored = search_documents(spark, sf_dir)
     best = F.max("score").over(Window.partitionBy("item_id"))
     return scored.select("item_id", "doc_id", F.round(F.col("score") / best, 6).alias("share")).where("share >= 0.8")
 
@@ -265,11 +283,12 @@ def token_window_chunks(spark, sf_dir):
 def retrieval_metrics(spark, sf_dir):
     """Recall, precision, MRR and nDCG of BM25, the gold being the documents that contain the query text."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    scored = bm25(d, b, "doc_id", "text", "item_id", "text")
-    # a document that contains the passage has all of its terms, so gold pairs are among the scored ones
+    scored = search_documents(spark, sf_dir)
+    # a document that holds the passage has its words, but for those cut at both ends: texts of few pairs are looked at
+    able = scored.where(F.col("met") >= F.col("asked") - 2).select("item_id", "doc_id")
+    gold = able.join(b.withColumnRenamed("text", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
     w = Window.partitionBy("item_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    places = scored.withColumn("place", F.row_number().over(w))
-    own = places.join(b.withColumnRenamed("text", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    own = scored.select("item_id", "doc_id", F.row_number().over(w).alias("place")).join(gold, ["item_id", "doc_id"])
     m = own.groupBy("item_id").agg(F.count("*").alias("gold"), F.count_if(F.col("place") <= 5).alias("hits"), F.min("place").alias("first"), F.sum(F.when(F.col("place") <= 5, 1 / F.log2(F.col("place") + 1)).otherwise(0.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("gold"), F.lit(5)).cast("int")), F.lit(0.0), lambda s, x: s + 1 / F.log2(x + 1))
     return m.withColumn("idcg", ideal).agg(
@@ -309,7 +328,7 @@ def mmr(scores: list[float], sets: list[set], k: int, trade: float = 0.7) -> lis
 def mmr_diversified(spark, sf_dir):
     """Five of the 30 best documents for each query, by relevance less overlap with those already chosen."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    page = top_k(bm25(d, b, "doc_id", "text", "item_id", "text"), "item_id", "score", "doc_id", 30)
+    page = top_k(search_documents(spark, sf_dir), "item_id", "score", "doc_id", 30)
     page = page.join(d.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("terms")), "doc_id")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; where that is unset, on one machine, in a temporary folder of this process."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, on one machine, a temporary folder of this process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = spark.sparkContext.master
@@ -23,4 +25,42 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             atexit.register(keep.cleanup)
             _own.append(keep.name)
         root = f"file://{_own[0]}"
-    return f"{root.rstrip('/')}/tidewater/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tidewater"
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: worked out once, without the lineage before."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def kept(make: Callable[[], DataFrame], source: DataFrame, label: str) -> DataFrame:
+    """What ``make`` gives, written once for each state of ``source``'s files: their names, sizes and times are the key.
+
+    ``source`` must be files as they were read, and ``make`` depend on them alone. Half-written results are not seen.
+    """
+    spark = source.sparkSession
+    fs_of = lambda path: path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = []
+    for name in sorted(source.inputFiles()):
+        status = fs_of(path := spark._jvm.org.apache.hadoop.fs.Path(name)).getFileStatus(path)
+        state.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    folder = f"{shared_root(spark)}/{label}-{hashlib.sha256(chr(10).join(state).encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not fs_of(done).exists(done):
+        make().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
