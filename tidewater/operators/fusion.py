@@ -7,11 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, words
+from ..functions.scalars import cosine, jaccard, words
 from ..registry import query
+from ..shared import written
 from ..sources.tables import table
+from .graph import pagerank
 from .joins import range_join
-from .retrieval import _BM25_SQL, _tokens_sql, bm25, rrf, term_table, tokens
+from .retrieval import _BM25_SQL, _tokens_sql, kept_terms, rrf, search_documents, term_table, tokens, top_k
 
 # Lexical, semantic and graph share of the blend; bounds of the prior and shares of rank and cosine in the fusion.
 BLEND = (0.35, 0.25, 0.40)
@@ -20,7 +22,7 @@ RANK_SHARE, COSINE_SHARE, RESCUE, LEAST_MATCH, MOST_BLOCKS = 0.10, 0.15, 0.25, 0
 
 
 # ---------------------------------------------------------------- BM25 by another corpus
-def bm25_by_snapshot(docs: DataFrame, snapshot: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_by_snapshot(docs: DataFrame, snapshot: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """``query_key``, ``key``, ``score`` with idf and mean length of ``snapshot``: terms unseen there weigh ln 2, the mean is
     50 if it is empty and has no floor otherwise; negative weights are impossible and none is left out."""
     seen = snapshot.select(tokens(F.col(text)).alias("t"))
@@ -29,7 +31,7 @@ def bm25_by_snapshot(docs: DataFrame, snapshot: DataFrame, queries: DataFrame, k
     q = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     weighed = q.join(df, "term", "left").join(stats)
     idf = F.coalesce(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.log(F.lit(2.0)))
-    hit = term_table(docs, key, text).join(weighed.withColumn("idf", idf), "term")
+    hit = (term_table(docs, key, text) if index is None else index).join(weighed.withColumn("idf", idf), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
@@ -40,15 +42,17 @@ def bm25_by_snapshot(docs: DataFrame, snapshot: DataFrame, queries: DataFrame, k
     WITH c AS (SELECT doc_id, {_tokens_sql("text")} AS t FROM documents), o AS (SELECT {_tokens_sql("text")} AS t FROM conversations), s AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM o),
     i AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM c) GROUP BY 1, 2, 3),
     d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM o) GROUP BY 1),
-    q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens_sql("text")}) AS term FROM benchmark) GROUP BY 1, 2)
-    SELECT item_id, doc_id, round(sum(qtf * coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), ln(2)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-    FROM i JOIN q USING (term) LEFT JOIN d USING (term), s GROUP BY 1, 2
+    q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens_sql("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+    r AS (SELECT item_id, doc_id, sum(qtf * coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), ln(2)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM i JOIN q USING (term) LEFT JOIN d USING (term), s GROUP BY 1, 2)
+    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM r QUALIFY place <= 10
     """,
 )
 def bm25_by_other_corpus(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
     snapshot = t("conversations").select(F.coalesce("text", F.lit("")).alias("text"))
-    return bm25_by_snapshot(t("documents"), snapshot, t("benchmark"), "doc_id", "text", "item_id", "text").withColumn("score", F.round("score", 6))
+    d = t("documents")
+    scored = bm25_by_snapshot(d, snapshot, t("benchmark"), "doc_id", "text", "item_id", "text", index=kept_terms(d, "doc_id", "text"))
+    return top_k(scored, "item_id", "score", "doc_id", 10).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- blends and fusion
@@ -64,30 +68,75 @@ def blend(lists: list[DataFrame], by: str, key: str, shares: tuple[float, ...] =
     return united.groupBy(by, key).agg(F.sum("score").alias("score"))
 
 
-@query(
-    "smart_search",
-    _BM25_SQL
-    + """, l AS (SELECT item_id, doc_id, 1 / (1 + abs(score)) AS score FROM r),
-    v AS (SELECT item_id, doc_id, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score FROM l JOIN embeddings a ON a.vec_id = item_id JOIN embeddings b ON b.vec_id = doc_id),
-    g AS (SELECT item_id, doc_id, CAST(1 AS DOUBLE) / (1 + quality) AS score FROM l JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
-    u AS (SELECT item_id, doc_id, 0.35::DOUBLE * score / max(abs(score)) OVER (PARTITION BY item_id) AS part FROM l UNION ALL
-      SELECT item_id, doc_id, CASE WHEN max(score) OVER (PARTITION BY item_id) > 0 THEN 0.25::DOUBLE * score / max(score) OVER (PARTITION BY item_id) ELSE 0 END FROM v UNION ALL
-      SELECT item_id, doc_id, 0.40::DOUBLE * score / max(score) OVER (PARTITION BY item_id) FROM g)
-    SELECT item_id, doc_id, round(sum(part), 6) AS score FROM u GROUP BY 1, 2""",
+def blended(by: str, *scores: str, shares: tuple[float, ...] = BLEND) -> Column:
+    """The sum of each score over its largest absolute value among the candidates of one ``by``, by its share; a null score adds nothing."""
+    out = F.lit(0.0)
+    for score, share in zip(scores, shares, strict=False):
+        top = F.max(F.abs(score)).over(Window.partitionBy(by))
+        out += F.when(top > 0, share * F.coalesce(score, F.lit(0.0)) / top).otherwise(0.0)
+    return out
+
+
+#: Candidates of a query that are blended and fused, rows of a result, and rounds of PageRank in the queries below.
+CANDIDATES, RESULTS, RANK_ROUNDS = 100, 10, 8
+
+
+def part_ranks(spark, sf_dir) -> DataFrame:
+    """PageRank of parts, those that follow each other in an order being linked; ``node``, ``rank``."""
+    l = table(spark, sf_dir, "lineitem")
+    follows = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    edges = l.select(F.col("l_partkey").alias("src"), follows.alias("dst")).where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return pagerank(edges, tolerance=0.0, rounds=RANK_ROUNDS)
+
+
+def _ranks_sql() -> str:
+    parts, now = [], "w0"
+    for i in range(RANK_ROUNDS):
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT node, 0.85::DOUBLE * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM {now} WHERE node NOT IN (SELECT src FROM po)) / (SELECT count(*) FROM w0)) + 0.15::DOUBLE / (SELECT count(*) FROM w0) AS rank FROM w0 LEFT JOIN (SELECT dst AS node, sum(weight / total * rank) AS got FROM pe JOIN po USING (src) JOIN {now} ON {now}.node = src GROUP BY 1) USING (node))")
+        now = f"w{i + 1}"
+    return f"""
+    pe AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
+    po AS MATERIALIZED (SELECT src, CAST(sum(weight) AS DOUBLE) AS total FROM pe GROUP BY 1), w0 AS MATERIALIZED (SELECT node, CAST(1 AS DOUBLE) / count(*) OVER () AS rank FROM (SELECT src AS node FROM pe UNION SELECT dst FROM pe)),
+    {", ".join(parts)}, pr AS (SELECT node AS doc_id, rank FROM {now})"""
+
+
+_CANDIDATES_SQL = (
+    _BM25_SQL.rstrip()
+    + f""",{_ranks_sql()},
+    m AS (SELECT item_id, doc_id, count(*) AS met FROM i JOIN d USING (term) JOIN q USING (term) WHERE idf > 0 GROUP BY 1, 2), k AS (SELECT item_id, count(*) AS asked FROM q JOIN d USING (term) WHERE idf > 0 GROUP BY 1),
+    a AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM r QUALIFY place <= {CANDIDATES}),
+    best AS MATERIALIZED (SELECT item_id, doc_id, score, place, CAST(met AS DOUBLE) / asked AS match, CASE WHEN u.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN greatest(0, list_cosine_similarity(u.embedding::DOUBLE[], v.embedding::DOUBLE[])) END AS cosine, rank
+      FROM a JOIN m USING (item_id, doc_id) JOIN k USING (item_id) LEFT JOIN embeddings u ON u.vec_id = item_id LEFT JOIN embeddings v ON v.vec_id = doc_id LEFT JOIN pr USING (doc_id))"""
 )
-def smart_search(spark, sf_dir):
-    """Lexical, semantic and a third list in one score; an item's and a document's vectors are those of the same id."""
+
+
+def search_candidates(spark, sf_dir) -> DataFrame:
+    """The best hundred documents of each item with ``score``, ``place``, ``match`` (share of the item's terms), ``cosine`` and ``rank``.
+
+    An item's and a document's vectors, and a document's node in the graph of parts, are those of the same id; where there is
+    none the value is null. The list is written once.
+    """
     t = lambda name: table(spark, sf_dir, name)
-    met = bm25(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text").select("item_id", "doc_id", (1 / (1 + F.abs("score"))).alias("score"))
-    pairs, e = met.select("item_id", "doc_id"), t("embeddings")
-    a, b = (e.select(F.col("vec_id").alias(key), F.col("embedding").alias(name)) for key, name in (("item_id", "a"), ("doc_id", "b")))
-    near = pairs.join(a, "item_id").join(b, "doc_id").select("item_id", "doc_id", F.greatest(F.lit(0.0), cosine(F.col("a"), F.col("b"))).alias("score"))
-    third = pairs.join(t("labels").groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id").select("item_id", "doc_id", (1.0 / (1 + F.col("q"))).alias("score"))
-    return blend([met, near, third], "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    best = top_k(search_documents(spark, sf_dir), "item_id", "score", "doc_id", CANDIDATES)
+    e = t("embeddings")
+    a, b = (e.select(F.col("vec_id").alias(key), F.col("embedding").alias(name)) for key, name in (("item_id", "_a"), ("doc_id", "_b")))
+    near = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest(F.lit(0.0), cosine(F.col("_a"), F.col("_b"))))
+    ranks = part_ranks(spark, sf_dir).select(F.col("node").alias("doc_id"), "rank")
+    found = best.join(a, "item_id", "left").join(b, "doc_id", "left").join(ranks, "doc_id", "left")
+    return written(found.select("item_id", "doc_id", "score", "place", (F.col("met") / F.col("asked")).alias("match"), near.alias("cosine"), "rank"), "candidates")
+
+
+@query("smart_search", _CANDIDATES_SQL + """, o AS (SELECT item_id, doc_id, 0.35::DOUBLE * score / max(score) OVER w + CASE WHEN max(cosine) OVER w > 0 THEN 0.25::DOUBLE * coalesce(cosine, 0) / max(cosine) OVER w ELSE 0 END + CASE WHEN max(rank) OVER w > 0 THEN 0.40::DOUBLE * coalesce(rank, 0) / max(rank) OVER w ELSE 0 END AS score FROM best WINDOW w AS (PARTITION BY item_id))
+    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM o QUALIFY place <= 10""")
+def smart_search(spark, sf_dir):
+    """The ten best documents by words, vectors and their rank in the graph in one score."""
+    c = search_candidates(spark, sf_dir)
+    scored = c.select("item_id", "doc_id", blended("item_id", "score", "cosine", "rank").alias("score"))
+    return top_k(scored, "item_id", "score", "doc_id", RESULTS).withColumn("score", F.round("score", 6))
 
 
-def fuse_playbooks(candidates: DataFrame, by: str, key: str) -> DataFrame:
-    """The best blocks of each ``by`` with ``score`` and ``place``.
+def fuse_playbooks(candidates: DataFrame, by: str, key: str, most: int = MOST_BLOCKS) -> DataFrame:
+    """The best ``most`` blocks of each ``by`` with ``score`` and ``place``.
 
     ``candidates`` hold ``rrf``, ``successes``, ``failures``, ``age_days``, ``rescue``, ``prior`` (0 to 1), ``rank`` (0 to 1),
     ``cosine`` and ``match``. The cosine counts for the best 80 by the score so far; blocks at or below the least match go.
@@ -100,33 +149,54 @@ def fuse_playbooks(candidates: DataFrame, by: str, key: str) -> DataFrame:
     order = lambda c: Window.partitionBy(by).orderBy(F.round(c, 9).desc(), key)
     placed = scored.withColumn("_p", F.row_number().over(order("_s")))
     final = placed.withColumn("score", F.col("_s") + F.when(F.col("_p") <= 80, COSINE_SHARE * F.col("cosine")).otherwise(0.0)).where(F.col("match") > LEAST_MATCH)
-    return final.withColumn("place", F.row_number().over(order("score")).cast("long")).where(F.col("place") <= MOST_BLOCKS).select(by, key, "score", "place")
+    return final.withColumn("place", F.row_number().over(order("score")).cast("long")).where(F.col("place") <= most).select(by, key, "score", "place")
+
+
+def diverse_pair(fused: DataFrame, by: str, key: str, terms: DataFrame, trade: float = 0.7) -> DataFrame:
+    """The first of each ``by`` and, of the others, the one with the best ``trade`` of its share of the first score against its overlap with the first.
+
+    ``fused``: ``by``, ``key``, ``score``, ``place``; ``terms``: ``key`` and ``t``, its different terms. Result: ``by``, ``key``, ``score``, ``pick`` (1 or 2).
+    """
+    full = fused.join(terms, key)
+    first = full.where("place = 1").select(by, F.col("score").alias("_top"), F.col("t").alias("_t"))
+    near = jaccard(F.col("t"), F.col("_t"), 1.0)
+    gain = trade * F.col("score") / F.when(F.col("_top") != 0, F.col("_top")).otherwise(1.0) - (1 - trade) * near
+    rest = full.where("place > 1").join(first, by).select(by, key, "score", F.row_number().over(Window.partitionBy(by).orderBy(F.round(gain, 9).desc(), "place")).alias("r")).where("r = 1")
+    return full.where("place = 1").select(by, key, "score", F.lit(1).alias("pick")).unionByName(rest.select(by, key, "score", F.lit(2).alias("pick")))
 
 
 @query(
     "playbook_fusion",
-    _BM25_SQL
-    + """, a AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM r), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS place FROM a JOIN documents USING (doc_id)),
-    f AS (SELECT item_id, doc_id, sum(1 / (59 + place)) AS rrf FROM (SELECT item_id, doc_id, place FROM a UNION ALL SELECT * FROM b WHERE place <= 30) GROUP BY 1, 2),
-    l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
-    w AS (SELECT item_id, doc_id, rrf * (0.8 + 0.4 * (coalesce(quality, 0) + 1) / (coalesce(quality, 0) + coalesce(toxic, 0) + 2) * greatest(0.1, exp(-n_chars / 866))) AS base, coalesce(toxic, 0) AS toxic, score / max(score) OVER (PARTITION BY item_id) AS share FROM f JOIN a USING (item_id, doc_id) JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id)),
-    y AS (SELECT *, CASE WHEN toxic = 1 THEN least(base + 0.25, 1) ELSE base END * (0.9 + 0.2 * share) + 0.1 * share AS s FROM w), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS k FROM y),
-    z AS (SELECT item_id, doc_id, s + CASE WHEN k <= 80 THEN 0.15 * share ELSE 0 END AS score FROM p WHERE share > 0.4)
-    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM z QUALIFY place <= 2""",
+    _CANDIDATES_SQL
+    + f""", b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS place FROM best WHERE cosine > 0),
+    f AS (SELECT item_id, doc_id, sum(1 / (59 + place)) AS rrf FROM (SELECT item_id, doc_id, place FROM best UNION ALL SELECT * FROM b WHERE place <= 30) GROUP BY 1, 2),
+    l AS (SELECT doc_id, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, max(toxic) AS toxic FROM labels GROUP BY 1),
+    w AS (SELECT item_id, doc_id, rrf * (0.8 + 0.4 * (coalesce(good, 0) + 1) / (coalesce(good, 0) + coalesce(bad, 0) + 2) * greatest(0.1, exp(-n_chars / 866))) AS base, coalesce(toxic, 0) AS toxic, score / max(score) OVER (PARTITION BY item_id) AS share,
+      coalesce(rank / max(rank) OVER (PARTITION BY item_id), 0) AS rank, coalesce(cosine, 0) AS cosine, match FROM f JOIN best USING (item_id, doc_id) JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id)),
+    y AS (SELECT *, CASE WHEN toxic = 1 THEN least(base + 0.25, 1) ELSE base END * (0.9 + 0.2 * share) + 0.1 * rank AS s FROM w), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS k FROM y),
+    z AS (SELECT item_id, doc_id, s + CASE WHEN k <= 80 THEN 0.15 * cosine ELSE 0 END AS score FROM p WHERE match > 0.4),
+    n AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM z QUALIFY place <= 10), g AS (SELECT doc_id, list(term) AS t FROM i GROUP BY 1),
+    h AS (SELECT n.*, t FROM n JOIN g USING (doc_id)), j AS (SELECT item_id, score AS top, t AS u FROM h WHERE place = 1),
+    x AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(0.7 * score / top - 0.3 * len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))), 9) DESC, place) AS o FROM h JOIN j USING (item_id) WHERE place > 1)
+    SELECT item_id, doc_id, round(score, 6) AS score, 1 AS pick FROM h WHERE place = 1 UNION ALL SELECT item_id, doc_id, round(score, 6), 2 FROM x WHERE o = 1""",
 )
 def playbook_fusion(spark, sf_dir):
-    """Fusion of the lexical list with one by length; labels stand for outcomes and the share of the best score for the rest."""
+    """Words and vectors fused by rank, then weighed by outcomes (quality labels), age (length), rank in the graph, cosine and match; two that differ."""
     t = lambda name: table(spark, sf_dir, name)
-    d = t("documents").select("doc_id", "n_chars")
-    met = bm25(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text").join(d, "doc_id")
-    w = Window.partitionBy("item_id")
-    met = met.withColumns({"place": F.row_number().over(w.orderBy(F.round("score", 9).desc(), "doc_id")), "other": F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")), "share": F.col("score") / F.max("score").over(w)})
-    fused = rrf([(met, 1.0), (met.where("other <= 30").select("item_id", "doc_id", F.col("other").alias("place")), 1.0)], "item_id", "doc_id", first=0).withColumnRenamed("score", "rrf")
-    labels = t("labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
-    c = fused.join(met, ["item_id", "doc_id"]).join(labels, "doc_id", "left")
+    c = search_candidates(spark, sf_dir)
+    near = c.where("cosine > 0").select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("cosine", 9).desc(), "doc_id")).alias("place")).where("place <= 30")
+    fused = rrf([(c.select("item_id", "doc_id", "place"), 1.0), (near, 1.0)], "item_id", "doc_id", first=0).withColumnRenamed("score", "rrf")
+    labels = t("labels").groupBy("doc_id").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.max("toxic").alias("toxic"))
+    full = fused.join(c, ["item_id", "doc_id"]).join(t("documents").select("doc_id", "n_chars"), "doc_id").join(labels, "doc_id", "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
-    c = c.select("item_id", "doc_id", "rrf", zero("q").alias("successes"), zero("x").alias("failures"), (F.col("n_chars") / 10).alias("age_days"), (zero("x") == 1).alias("rescue"), *(F.col("share").alias(n) for n in ("prior", "rank", "cosine", "match")))
-    return fuse_playbooks(c, "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    of_best = lambda name: F.col(name) / F.max(name).over(Window.partitionBy("item_id"))
+    full = full.select(
+        "item_id", "doc_id", "rrf", zero("good").alias("successes"), zero("bad").alias("failures"), (F.col("n_chars") / 10).alias("age_days"), (zero("toxic") == 1).alias("rescue"),
+        of_best("score").alias("prior"), F.coalesce(of_best("rank"), F.lit(0.0)).alias("rank"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "match",
+    )
+    best = fuse_playbooks(full, "item_id", "doc_id", RESULTS)
+    terms = kept_terms(t("documents"), "doc_id", "text").join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("term").alias("t"))
+    return diverse_pair(best, "item_id", "doc_id", terms).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- lookups
