@@ -33,8 +33,8 @@ LARGE = 0.4
 GROUPS = 256
 END_OF_DOCUMENT = 0
 #: Words, and parts of words, whose ids a worker remembers before it starts anew.
-REMEMBERED_WORDS = 900_000
-REMEMBERED_PARTS = 700_000
+REMEMBERED_WORDS = 450_000
+REMEMBERED_PARTS = 350_000
 #: Characters that are tokenised at once.
 TOGETHER = 1_000_000
 PARTS = 1024
