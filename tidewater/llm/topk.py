@@ -28,7 +28,7 @@ from .integers import matrix, products, usable, whole
 
 K = 5
 #: Rows of a block (fewer if vectors are longer than 64), segments of a dimension, queries of a wave.
-BLOCK, SEGMENTS, WAVE = 16_384, 64, 2_048
+BLOCK, SEGMENTS, WAVE = 16_384, 64, 512
 CELLS = BLOCK * 64
 MOST_TASKS = 20_000
 #: Times at which a proof is looked for, and rows that are rescored rather than bounded any further.
@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, every: int, id_column: str = "vec_id", vector_colu
         return pa.table({"query_id": told[0], "tag": told[1], "vec_id": pa.array(told[2], mask=told[3].astype(bool)), "score": told[4]})
 
     # a task for each bucket and wave: small inputs are dear here, so that they are not put together by their size
-    tasks = min(buckets * waves, MOST_TASKS)
+    tasks = min(4 * buckets * waves, MOST_TASKS)  # few of them get two by chance
     copies, dealt = (df.repartition(tasks, "bucket", "wave") for df in (copies, dealt))
     found = copies.groupBy("bucket", "wave").cogroup(dealt.groupBy("bucket", "wave")).applyInArrow(run, "query_id long, tag long, vec_id long, score long")
     found = materialise(found, "found")
