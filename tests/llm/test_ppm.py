@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from tidewater.llm import ppm
 
 
@@ -88,3 +91,26 @@ def test_rare_grams_of_a_large_corpus_count(spark):
     for settings in ({}, {"most": 40}):
         got = {r.doc_id: r.score for r in ppm.score(docs, train, **settings).collect()}
         assert all(abs(got[i] - score(t)) < 1e-6 for i, t in enumerate(asked)) and len(got) == len(asked)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["a", "été", "the", "Token", "x" * 70, "中文"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), n)) for n in (0, 3, 40, 200, 1)] + [None, "", "y" * 500, "z\n" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r for r in ppm.score(df, df.where("doc_id % 2 = 0"), most=50).collect()}
+    monkeypatch.setattr(ppm, "PIECE", 64)
+    cut = {r.doc_id: r for r in ppm.score(df, df.where("doc_id % 2 = 0"), most=50).collect()}
+    assert len(cut) == len(texts)
+    for i, r in whole.items():
+        assert tuple(cut[i])[:4] == tuple(r)[:4] and cut[i].base_score == pytest.approx(r.base_score, abs=1e-9) and cut[i].score == pytest.approx(r.score, abs=1e-9)
+
+
+def test_pieces_hold_every_gram_once():
+    data = np.frombuffer(("ab cd " * 30 + "e" * 50 + " f").encode(), np.uint8)
+    offsets = np.array([0, 10, len(data)])
+    whole = np.concatenate([p[4] for p in ppm.pieces(data, offsets, limit=10**6)])
+    for limit in (1, 5, 33, 100):
+        cut = list(ppm.pieces(data, offsets, limit=limit))
+        assert np.array_equal(np.concatenate([p[4] for p in cut]), whole) and sum(p[6] * (p[1] - p[0]) for p in cut) == 2
+        assert all(len(p[2]) <= max(limit, 52) for p in cut)

@@ -36,6 +36,8 @@ TRIE = 100_000
 HEAD = 1 << 17
 END = 0xFF  # does not occur in UTF-8
 ALPHABET = 257
+#: Bytes of text that are looked up together; longer texts are cut.
+PIECE = 4_000_000
 _LOG10 = np.log(10.0)
 
 
@@ -192,6 +194,43 @@ def packed_history(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) ->
     return packed, starts
 
 
+def _cut(data: np.ndarray, at: int, end: int, limit: int) -> int:
+    """Where a piece of a text that begins at ``at`` ends: behind white space, within ``limit`` bytes unless one word is longer."""
+    to = min(at + limit, end)
+    if to == end:
+        return end
+    blank = lambda a, b: np.flatnonzero((data[a:b] == 32) | ((data[a:b] >= 9) & (data[a:b] <= 13)))
+    if len(found := blank(at, to)):
+        return at + int(found[-1]) + 1
+    while to < end:
+        if len(found := blank(to, min(to + limit, end))):
+            return to + int(found[0]) + 1
+        to = min(to + limit, end)
+    return end
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, order: int = ORDER, limit: int | None = None):
+    """Yields (first, last, low, bounds, packed, starts, ends): texts ``first`` to ``last``, their bytes lower-cased with n+1 offsets, and as ``packed_history``.
+
+    A text of more than ``limit`` bytes comes alone and in several pieces, each with the history of the one before; only the
+    last one ``ends`` and has the end mark. Memory is bounded by the limit, or by the longest word.
+    """
+    limit = PIECE if limit is None else limit
+    for first, last in slices(offsets, limit):
+        a, b = int(offsets[first]), int(offsets[last])
+        if b - a <= limit:
+            bounds = offsets[first : last + 1] - a
+            yield first, last, ASCII_LOWER[data[a:b]], bounds, *packed_history(data[a:b], bounds, order), True
+            continue
+        at = a
+        while at < b:
+            to, before = _cut(data, at, b, limit), min(order, at - a)
+            packed, _ = packed_history(data[at - before : to], np.array([0, to - at + before]), order)
+            packed = packed[before : before + to - at + (to == b)]
+            yield first, last, ASCII_LOWER[data[at:to]], np.array([0, to - at]), packed, np.array([0, len(packed)]), to == b
+            at = to
+
+
 # ---------------------------------------------------------------- counting
 def count_corpus(training: DataFrame, text_column: str, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(``gram``, ``n``) of the full order and (``word``, ``n``), over all rows."""
@@ -222,15 +261,13 @@ def count_corpus(training: DataFrame, text_column: str, order: int = ORDER) -> t
         held = 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for first, last in slices(offsets):
-                part, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1]
-                packed, _ = packed_history(part, bounds, order)
+            for _, _, low, bounds, packed, _, _ in pieces(data, offsets, order):
                 keys, counts = np.unique(packed, return_counts=True)
                 grams.append((keys, counts))
                 held += len(keys)
                 # words never span two texts
-                joined = np.full(len(part) + last - first, 32, dtype=np.uint8)
-                joined[np.arange(len(part)) + np.repeat(np.arange(last - first), np.diff(bounds))] = ASCII_LOWER[part]
+                joined = np.full(len(low) + len(bounds) - 1, 32, dtype=np.uint8)
+                joined[np.arange(len(low)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = low
                 words.update(joined.tobytes().split())
                 if held > 4_000_000 or len(words) > 500_000:
                     yield from flush(False)
@@ -290,7 +327,7 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
 
     Null and empty texts have one token, the end, and the probability of an end mark at the start. With no training row
     nothing is known: all bytes are equally likely and each token has base probability 1 (one unseen kind for N = V = 0).
-    Repeated rows are scored each. Very long texts are scored in one piece of numpy arrays (about 100 bytes a byte).
+    Repeated rows are scored each. Texts beyond ``PIECE`` are scored in pieces that know what stands before them.
     """
     spark = docs.sparkSession
     grams, words = count_corpus(training, text_column, order)
@@ -308,7 +345,7 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
     rows = docs.select(*[F.col(c) for c in carry], F.monotonically_increasing_id().alias("_row"), F.col(text_column).cast("string").alias("_text"))
     kept = len(carry) + 1
     schema = rows.drop("_text").schema.add("n_tokens", "long").add("n_known", "long").add("known_logs", "double").add("score", "double").add("rare", T.ArrayType(T.BinaryType())).add("rare_n", T.ArrayType(T.LongType()))
-    schema = schema.add("missed", T.ArrayType(T.LongType())).add("missed_n", T.ArrayType(T.LongType()))
+    schema = schema.add("missed", T.ArrayType(T.LongType())).add("missed_n", T.ArrayType(T.LongType())).add("ends", "boolean")
     names = [f.name for f in schema]
 
     def look_up(packed, starts):
@@ -329,26 +366,28 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
     def run(batches):
         known = head.value
         for whole in batches:
-            _, bounds = text_buffer(whole.column(kept))
-            for first, last in slices(bounds):
-                batch = whole.slice(first, last - first)
-                data, offsets = text_buffer(batch.column(kept))
-                packed, starts = packed_history(data, offsets, order)
+            data, offsets = text_buffer(whole.column(kept))
+            held = np.zeros(4)  # what the pieces before of a long text came to
+            for first, last, low, bounds, packed, starts, ends in pieces(data, offsets, order):
                 likely, begin, missed, missed_n = look_up(packed, starts)
-                low = ASCII_LOWER[data].tobytes()
+                raw = low.tobytes()
                 n_tokens, n_known, sums, rare, rare_n = [], [], [], [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    tokens = low[a:b].split()
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    tokens = raw[a:b].split()
                     values = list(map(known.get, tokens, repeat(0.0)))
                     unknown = Counter([t for t, v in zip(tokens, values, strict=True) if not v])
-                    n_tokens.append(len(tokens) + 1)
-                    n_known.append(len(tokens) - unknown.total() + bool(n_docs))
-                    sums.append(sum(values) + end_log)
+                    n_tokens.append(len(tokens) + ends)
+                    n_known.append(len(tokens) - unknown.total() + (ends and bool(n_docs)))
+                    sums.append(sum(values) + ends * end_log)
                     rare.append(list(unknown))
                     rare_n.append(list(unknown.values()))
-                columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(segment_sums(likely, starts) / _LOG10), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))]
+                totals = np.array([n_tokens, n_known, sums, segment_sums(likely, starts) / _LOG10], dtype=np.float64)
+                if len(bounds) == 2:
+                    totals[:, 0] += held
+                    held = np.zeros(4) if ends else totals[:, 0]
+                columns = [pa.array(totals[0].astype(np.int64)), pa.array(totals[1].astype(np.int64)), pa.array(totals[2]), pa.array(totals[3]), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))]
                 columns += [pa.ListArray.from_arrays(pa.array(begin), pa.array(x, pa.int64())) for x in (missed, missed_n)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names)
+                yield pa.RecordBatch.from_arrays([*whole.slice(first, last - first).columns[:kept], *columns, pa.array([ends] * (last - first))], names)
 
     scored = materialise(rows.mapInArrow(run, schema), "scored")
     rare = scored.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("pair")).select("_row", F.col("pair.rare").alias("word"), F.col("pair.rare_n").alias("times"))
@@ -358,7 +397,7 @@ def score(docs: DataFrame, training: DataFrame, text_column: str = "text", carry
         values = probabilities(missed.select("gram").distinct(), grams, distinct, order)
         met = met.unionByName(missed.join(values, "gram").select("_row", F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("logs"), (F.col("times") * F.col("log_p")).alias("gram_logs")))
     met = met.groupBy("_row").agg(F.sum("times").alias("more"), F.sum("logs").alias("more_logs"), F.sum("gram_logs").alias("gram_logs"))
-    return scored.join(met, "_row", "left").select(
+    return scored.where("ends").join(met, "_row", "left").select(
         *carry, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("known_logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
         (F.col("score") + F.coalesce("gram_logs", F.lit(0.0)) / F.lit(float(_LOG10))).alias("score"),
