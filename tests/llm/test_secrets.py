@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 from tidewater.llm import secrets
@@ -93,3 +94,37 @@ def test_small_tables_that_all_hold_credentials_learn_ordinary_tokens(spark):
     found = {r.id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("id <> 101 OR size(spans) > 0").collect()}
     assert [s.kind for s in found[100].spans] == ["format"] and [s.kind for s in found[101].spans] == ["format"]
     assert [(s.kind, s.end) for s in found[102].spans] == [("assign", 6 + 1_200_000)]
+
+
+def test_held_out_credentials_without_their_keyword(spark):
+    """Formats learnt from assignments are found where no keyword stands, in ten thousand texts; ordinary texts are left alone."""
+    rng = random.Random(12)
+    alnum, low = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    makers = {"prefixed": lambda: "tk_live_" + pick(alnum, 24), "encoded": lambda: pick(alnum + "+/", 38) + "==", "dotted": lambda: f"{pick(low, 10)}.{pick(low, 12)}.{pick(alnum, 20)}"}
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    rows, planted = dict(docs), {}
+    chosen = rng.sample(sorted(rows), 360)
+    for n, i in enumerate(chosen):
+        kind = sorted(makers)[n % 3]
+        value = makers[kind]()
+        words = rows[i].split(" ")
+        at = rng.randrange(len(words) + 1)
+        if n < 180:  # learnt from
+            words.insert(at, f'password = "{value}"')
+        else:
+            words.insert(at, value)
+            planted[i] = (kind, value)
+        rows[i] = " ".join(words)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(8)
+    found, false = Counter(), []
+    for r in secrets.find_secrets(df).collect():
+        for s in r.spans:
+            if s.kind == "format":
+                text = rows[r.id][s.start : s.end]
+                if r.id in planted and (text in planted[r.id][1] or planted[r.id][1] in text):
+                    found[planted[r.id][0]] += 1
+                else:
+                    false.append(text)
+    assert all(found[k] >= 48 for k in makers), found  # of 60 each
+    assert len(false) <= 3, false

@@ -5,6 +5,9 @@ is inferred from a prefix tree with counts: states are merged (with all that fol
 deterministic) if a Hoeffding bound says that their shares of ends and of each symbol could be the same. Symbols are
 classes of characters, and a character has its class's probability over the size of the class.
 
+Merged states forget how long a value is, so that the length has a likelihood of its own. A token in capitals may be an
+ordinary one in small letters.
+
 All candidates, the tokens of a text that have the alphabet and the least length of the labelled kinds, are then scored
 under every automaton; nothing but the likelihood decides. One that no base span
 touches becomes a span of its own, of kind ``format``, if a credential's automaton gives its characters a better
@@ -48,6 +51,10 @@ MARGIN = 0.5
 EVIDENCE = 12.0
 #: Slack below the least likelihood (per character) of the kind's own credentials.
 SLACK = 0.15
+#: Weights of values whose length is so many characters off (each counts twice at 0).
+LENGTH_WEIGHTS = ((0, 0.25), (1, 0.15), (2, 0.10))
+#: What it costs (natural log, over the whole value) that an ordinary token stands in capitals.
+CAPITALS = 4.0
 END = ""
 
 # Classes of characters and how many characters each has.
@@ -161,6 +168,12 @@ class Automaton:
             self.unseen.append(math.log(0.5 / total / 80))
         self.least = min((self.score(v) for v in values), default=0.0)
         self.size = len(self.log)
+        self.lengths = Counter(len(v) for v in values.elements())
+
+    def length_score(self, n: int) -> float:
+        """Natural log of the share of values of about that length: those two characters off count a little, and any length once in all."""
+        near = sum(w * (self.lengths[n - d] + self.lengths[n + d]) for d, w in LENGTH_WEIGHTS)
+        return math.log((near + 1 / (n * (n + 1))) / (self.lengths.total() + 1))
 
     def score(self, value: str) -> float:
         """Natural log-likelihood per character, the end included. An unseen symbol leads back to the start."""
@@ -222,10 +235,14 @@ def infer(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def judge(value: str, automata: dict[str, Automaton]) -> tuple[float, str] | None:
     """Lead over ordinary tokens and kind of the automaton that takes the value for a credential, if one does."""
     ordinary, good = automata["ordinary"].score(value), []
+    # tokens in capitals are rare among those learnt from, but most are words that are known in small letters
+    if value.isupper():
+        ordinary = max(ordinary, automata["ordinary"].score(value.lower()) - CAPITALS / (len(value) + 1))
     for kind, automaton in automata.items():
         if kind != "ordinary":
             score = automaton.score(value)
-            lead = score - ordinary
+            # merged states forget how long a value is; its length is a part of the format
+            lead = score - ordinary + (automaton.length_score(len(value)) - automata["ordinary"].length_score(len(value))) / (len(value) + 1)
             if score >= automaton.least - SLACK and lead >= MARGIN and lead * (len(value) + 1) >= EVIDENCE:
                 good.append((lead, kind))
     return max(good, default=None)
