@@ -1,6 +1,5 @@
 """Session and content operators: prefix search, path rules, ranges of lines, churn, expansion, selection, compression."""
 
-import difflib
 import json
 import re
 
@@ -202,31 +201,6 @@ def json_redaction(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", clean(line).alias("line"))
 
 
-def shingles(text: str, n: int = 3) -> set[str]:
-    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
-
-
-@query("event_dedup")
-def event_dedup(spark, sf_dir):
-    """In order: an exact repeat of its kind goes, and so does one much like any kept, or like the last kept by edits."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list[tuple[str, set]]] = {}
-        out = []
-        for turn, kind, text in pdf.sort_values("turn")[["turn", "role", "text"]].itertuples(index=False):
-            text, before = text or "", kept.setdefault(kind, [])
-            own = shingles(text)
-            if any(t == text or len(own & s) / len(own | s) >= 0.8 for t, s in before):
-                continue
-            if before and difflib.SequenceMatcher(None, before[-1][0][:120], text[:120], autojunk=False).ratio() >= 0.8:
-                continue
-            before.append((text, own))
-            out.append(turn)
-        return pd.DataFrame({"conv_id": pdf.conv_id.iloc[0], "turn": out})
-
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(keep, "conv_id long, turn long")
-
-
 @query(
     "compressed_events",
     """

@@ -1,6 +1,5 @@
 """Text processing: redaction, flags, normalising, near-dup and duplicate clusters, summaries, HTML to Markdown."""
 
-import hashlib
 import html.parser
 import re
 from collections import Counter
