@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,3 +101,12 @@ def test_word_encoder_on_quotes_code_and_control_characters():
         assert encoder.encode(texts) == expected
     texts = ["f('data')", "x='select'; y='drop'", "print('test')", "['section']", "the dogs (John)'s bowl", "\"'tis true"]
     assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_idle_encoders_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "IDLE", 0.2)
+    path = PATH
+    encoder = packing.shared_encoder(path)
+    assert packing.shared_encoder(path) is encoder
+    time.sleep(1.0)
+    assert path not in packing._encoders and packing.shared_encoder(path) is not encoder

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 import zlib
 
 import numpy as np
@@ -33,8 +35,10 @@ LARGE = 0.4
 GROUPS = 256
 END_OF_DOCUMENT = 0
 #: Words, and parts of words, whose ids a worker remembers before it starts anew.
-REMEMBERED_WORDS = 450_000
-REMEMBERED_PARTS = 350_000
+REMEMBERED_WORDS = 900_000
+REMEMBERED_PARTS = 700_000
+#: Seconds after which a worker that packs no more forgets them.
+IDLE = 5.0
 #: Characters that are tokenised at once.
 TOGETHER = 1_000_000
 PARTS = 1024
@@ -122,12 +126,28 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+_used: dict[str, float] = {}
+
+
+def _forget_idle() -> None:
+    while _encoders:
+        time.sleep(IDLE / 2)
+        for path in [p for p, at in list(_used.items()) if time.monotonic() - at > IDLE]:
+            _encoders.pop(path, None)
+            _used.pop(path, None)
 
 
 def shared_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which later tasks find with what it remembers."""
+    """The encoder of this Python worker, which later tasks find with what it remembers, until it has not been used for ``IDLE`` seconds.
+
+    A worker serves the tasks of other stages too, and their memory should not stand on top of this one's.
+    """
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        first = not _encoders
+        _encoders[path], _used[path] = WordEncoder(path), time.monotonic()
+        if first:
+            threading.Thread(target=_forget_idle, daemon=True).start()
+    _used[path] = time.monotonic()
     return _encoders[path]
 
 
@@ -141,6 +161,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_
         for batch in batches:
             offsets = text_buffer(batch.column(1))[1]
             for first, last in slices(offsets, TOGETHER):
+                _used[tokenizer_path] = time.monotonic()
                 part = batch.slice(first, last - first)
                 rows = []
                 for doc, data in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
