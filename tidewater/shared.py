@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_leaving: dict[str, tuple] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,9 +30,26 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidewater"
 
 
+def application_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared one; what is left there goes when the driver's process ends."""
+    folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _leaving:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        _leaving[folder] = (path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+        if len(_leaving) == 1:
+            atexit.register(_remove_all)
+    return folder
+
+
+def _remove_all() -> None:
+    for fs, path in _leaving.values():
+        with contextlib.suppress(Exception):  # the JVM may be gone before the process
+            fs.delete(path, True)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, for tables that this application alone needs."""
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
