@@ -2,15 +2,18 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidewater.operators.compaction import bounded_line, community, fold_recurring, prune_lines, recall_sections
+from tidewater.operators.compaction import bounded_line, community, fold_recurring, pruned_lines, recall_sections
 from tidewater.sources.hosts import commits_since, ignore_regex, not_ignored, read_transcripts
 
 
-def test_pruning_keeps_keystones_and_dense_lines():
-    text = "a a a a a a\nreturn x\nalpha beta gamma delta epsilon zeta\n\nnever"
-    assert prune_lines(text, 100) == [0, 1, 2, 3, 4]
-    assert prune_lines(text, 9) == [1, 2, 3, 4]
-    assert prune_lines(text, 0) == [1, 4] and prune_lines("", 5) == []
+def test_pruning_keeps_keystones_and_dense_lines(spark):
+    text = "a a a a a a\nreturn x\nalpha beta gamma delta epsilon zeta\n\nnever"  # 15 tokens
+    rows = [(1, i, line) for i, line in enumerate(text.split("\n"))] + [(2, 0, "")]
+    lines = spark.createDataFrame(rows, "k long, p long, line string")
+    kept = lambda share: sorted((r.k, r.p) for r in pruned_lines(lines, "k", "p", "line", share).collect())
+    assert kept(1.0) == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
+    assert kept(0.6) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
+    assert [p for k, p in kept(0.0) if k == 1] == [1, 4]
 
 
 def test_recurring_messages_fold(spark):

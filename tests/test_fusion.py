@@ -1,7 +1,7 @@
 import pytest
 
 from tidewater.operators.fusion import blend, bm25_by_snapshot, fuse_playbooks, pack_page, similar_facts
-from tidewater.operators.text import monitor_scores
+from tidewater.operators.monitors import trajectory_scores
 from tidewater.plans.protocols import Embedder, Registry, ResultCache, Store, embedding_udf, first_answer
 
 
@@ -39,11 +39,19 @@ def test_page_is_packed_in_stages():
     assert pack_page([], 5, [], []) == ([], 0, 0)
 
 
-def test_monitors_of_phrases():
-    got = monitor_scores(["it works", "there is an error, also by the way refactor this", "done"], "task")
-    assert (got["claim_contradiction"], got["verification_skip"], round(got["late_sprawl"], 6)) == (0.4, 0.8, 0.9)
-    assert monitor_scores(["error", "it works", "done, all verified; let me verify"], "t")["verification_skip"] == 0.0
-    assert monitor_scores(["one"], "one")["late_sprawl"] == 0.0
+def test_monitors_of_phrases(spark):
+    logs = {
+        1: ["task", "it works", "there is an error, also by the way refactor this", "done"], 2: ["t", "error", "it works", "done, all verified; let me verify"], 3: ["one"],
+        4: ["sort the list", "a b c d", "x", "y", "z", "w", "a b c d"], 5: ["t", "p q r s", "p q r t", None], 6: ["t", "x", "while I'm", "at it then"],
+    }
+    df = spark.createDataFrame([(k, i, t) for k, log in logs.items() for i, t in enumerate(log)], "k long, i long, t string")
+    got = {r.k: r for r in trajectory_scores(df, "k", "i", "t").collect()}
+    assert (got[1].claim_contradiction, got[1].verification_skip, round(got[1].late_sprawl, 6)) == (0.4, 0.8, 0.9)
+    assert got[2].verification_skip == 0.0 and got[3].late_sprawl == 0.0 and got[3].silent_topic_drift == 0.0
+    assert got[4].cyclic_compression == 1.0 and got[4].semantic_loop == 0.0 and round(got[4].silent_topic_drift, 6) == 0.9 and got[4].failure_type == "cyclic_compression"
+    assert round(got[5].semantic_loop, 6) == 0.5 and got[5].failure_type == "semantic_loop" and round(got[5].composite, 6) == round(0.25 * 0.5 + 0.1 * 0.9 * (1 - 1), 6)
+    assert round(got[6].late_sprawl, 6) == 0.3  # a phrase that goes on in the next step
+    assert trajectory_scores(df.limit(0), "k", "i", "t").count() == 0
 
 
 class Lengths:

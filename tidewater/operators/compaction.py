@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,38 +50,41 @@ def line_signals(spark, sf_dir):
     return line_signals_of(lines, ["doc_id", "pos"], "line").withColumn("signal", F.round("signal", 6))
 
 
-def prune_lines(text: str, target: int) -> list[int]:
-    """Numbers of the lines kept under a target of tokens: all that hold a keystone, then the best by signal that still fit."""
-    lines = text.splitlines()
-    counts = [Counter(re.findall(LINE_TOKENS, line)) for line in lines]
-    sizes = [sum(c.values()) for c in counts]
-    if sum(sizes) <= target:
-        return list(range(len(lines)))
-
-    def signal(c: Counter, n: int) -> float:
-        if not n:
-            return 0.0
-        rare = [math.log2(n / k) for k in c.values()]
-        return (sum(k * r for k, r in zip(c.values(), rare, strict=True)) / n + sum(rare) / len(rare) + math.log2(n + 1)) * math.log2(n + 2)
+def pruned_lines(lines: DataFrame, key: str, position: str, line: str, share: float) -> DataFrame:
+    """The lines of each ``key`` that stay when it is cut to ``share`` of its tokens: all with a keystone, then by signal what still fits.
 
-    keep = {i for i, line in enumerate(lines) if re.search(KEYSTONES, line, re.IGNORECASE)}
-    left = target - sum(sizes[i] for i in keep)
-    for i in sorted(set(range(len(lines))) - keep, key=lambda i: (-signal(counts[i], sizes[i]), i)):
-        if sizes[i] <= left:
-            keep.add(i)
-            left -= sizes[i]
-    return sorted(keep)
+    A text within its target stays whole. What is folded in order of signal is one array of sizes for each text, not its lines.
+    """
+    rows = lines.select(key, position, line).join(line_signals_of(lines, [key, position], line), [key, position], "left")
+    rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "signal": F.coalesce("signal", F.lit(0.0)), "_stone": F.coalesce(F.rlike(line, F.lit(f"(?i){KEYSTONES}")), F.lit(False))})
+    item = F.struct((-F.round("signal", 9)).alias("s"), F.col(position).alias("at"), "n")
+    held = rows.groupBy(key).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("_stone"), F.col("n")).otherwise(0)).alias("fixed"), F.array_sort(F.collect_list(F.when(~F.col("_stone"), item))).alias("x"))
+    target = F.floor(F.col("all") * share)
+    start = F.struct((target - F.col("fixed")).alias("left"), F.array().cast("array<boolean>").alias("kept"))
+    fold = F.aggregate("x", start, lambda a, x: F.struct(F.when(x["n"] <= a["left"], a["left"] - x["n"]).otherwise(a["left"]).alias("left"), F.concat(a["kept"], F.array(x["n"] <= a["left"])).alias("kept")))["kept"]
+    told = held.select(key, F.explode(F.arrays_zip("x", F.when(F.col("all") <= target, F.transform("x", lambda x: F.lit(True))).otherwise(fold).alias("kept"))).alias("z")).where("z.kept").select(key, F.col("z.x.at").alias(position))
+    stones = rows.where("_stone").select(key, position)
+    return lines.join(stones.unionByName(told), [key, position], "left_semi")
 
 
-@query("pruned_documents")
+@query(
+    "pruned_documents",
+    f"""
+    WITH l AS ({_LINES_SQL}), w AS (SELECT doc_id, pos, w, count(*) AS c FROM (SELECT doc_id, pos, unnest(regexp_extract_all(line, '{LINE_TOKENS}')) AS w FROM l) GROUP BY ALL),
+    s AS (SELECT doc_id, pos, CAST(sum(c) AS BIGINT) AS n, sum(c * log2(c)) AS weighed, avg(log2(c)) AS mean FROM w GROUP BY 1, 2),
+    r AS (SELECT l.doc_id, l.pos, line, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE (log2(n) - weighed / n + log2(n) - mean + log2(n + 1)) * log2(n + 2) END AS signal, regexp_matches(line, '(?i){KEYSTONES}') AS stone FROM l LEFT JOIN s USING (doc_id, pos)),
+    t AS (SELECT doc_id, CAST(floor(sum(n) * 0.5) AS BIGINT) AS target, sum(n) AS total, CAST(coalesce(sum(n) FILTER (stone), 0) AS BIGINT) AS fixed, count(*) AS lines, count(*) FILTER (stone) AS stones, coalesce(CAST(sum(len(line)) FILTER (stone) AS BIGINT), 0) AS chars, list((n * 100000000 + len(line))::BIGINT ORDER BY round(signal, 9) DESC, pos) FILTER (NOT stone) AS x FROM r GROUP BY 1),
+    f AS (SELECT *, CASE WHEN x IS NULL THEN [0, 0, 0] WHEN total <= target THEN [0, len(x), list_sum(list_transform(x, lambda v: v % 100000000))] ELSE list_reduce(list_prepend([target - fixed, 0, 0], list_transform(x, lambda v: [v])), lambda a, v: CASE WHEN v[1] // 100000000 <= a[1] THEN [a[1] - v[1] // 100000000, a[2] + 1, a[3] + v[1] % 100000000] ELSE a END) END AS y FROM t)
+    SELECT doc_id, CAST(chars + y[3] + greatest(stones + y[2] - 1, 0) AS BIGINT) AS n_chars, CAST(stones + y[2] AS BIGINT) AS kept, CAST(lines - stones - y[2] AS BIGINT) AS dropped FROM f
+    """,
+)
 def pruned_documents(spark, sf_dir):
     """Documents pruned towards half of their tokens."""
-
-    def prune(texts: pd.Series) -> pd.DataFrame:
-        kept = [(t.splitlines(), prune_lines(t, len(re.findall(LINE_TOKENS, t)) // 2)) for t in texts.fillna("")]
-        return pd.DataFrame({"text": ["\n".join(lines[i] for i in keep) for lines, keep in kept], "kept": [len(k) for _, k in kept], "dropped": [len(x) - len(k) for x, k in kept]})
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(prune, "text string, kept long, dropped long")("text").alias("p")).select("doc_id", F.length("p.text").cast("long").alias("n_chars"), "p.kept", "p.dropped")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    kept = pruned_lines(lines, "doc_id", "pos", "line", 0.5).groupBy("doc_id").agg(F.sum(F.length("line")).alias("c"), F.count("*").alias("k"))
+    counts = lines.groupBy("doc_id").agg(F.count("*").alias("lines")).join(kept, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return counts.select("doc_id", (zero("c") + F.greatest(zero("k") - 1, F.lit(0))).cast("long").alias("n_chars"), zero("k").alias("kept"), (F.col("lines") - zero("k")).alias("dropped"))
 
 
 # ---------------------------------------------------------------- log compaction

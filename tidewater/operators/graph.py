@@ -10,16 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..shared import shared_folder
+from ..shared import discard, written
 from ..sources.tables import table
 
 
-def _step(df: DataFrame, label: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def supplier_edges(spark, sf_dir) -> DataFrame:
     """The edges used below: suppliers whose parts follow each other in an order, weighted by how often."""
     follows = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
@@ -42,27 +36,29 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rou
     those that have some (``linked``). Stops when the change in total is below ``tolerance`` (times n if ``total_tolerance``)."""
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = _step(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "share")
+    share = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "share")
     nodes = nodes_of(edges).join(out.select(F.col("src").alias("node"), F.lit(1.0).alias("linked")), "node", "left").withColumn("linked", F.coalesce("linked", F.lit(0.0)))
     if personalised is None:
         nodes = nodes.withColumn("p", F.lit(None).cast("double"))
     else:
         total = personalised.agg(F.sum("weight")).first()[0] or 1.0
         nodes = nodes.join(personalised.select("node", (F.col("weight") / total).alias("p")), "node", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    nodes = _step(nodes, "nodes")
+    nodes = written(nodes, "nodes")
     n, n_linked = nodes.agg(F.count("*"), F.sum("linked")).first()
     if not n:
         return spark.createDataFrame([], "node long, rank double")
     rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
     loose = 1.0 if n_linked < n else 0.0
-    for _ in range(rounds):
+    for round_no in range(rounds):
         lost = nodes.where("linked = 0").join(rank, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if loose else 0.0
         moved = share.join(rank, share.src == rank.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         spread = F.lit(alpha * lost / n) if dangling == "uniform" else F.col("linked") * (alpha * lost / max(n_linked, 1))
         base = (1 - alpha) * F.coalesce("p", F.lit(1.0 / n))
         new = nodes.join(moved, nodes.node == moved.dst, "left").select("node", (alpha * F.coalesce("got", F.lit(0.0)) + spread + base).alias("rank"))
-        new = _step(new, "rank")
+        new = written(new, "rank")
         change = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if round_no:
+            discard(rank)  # the first one was never written
         rank = new
         if change < tolerance * (n if total_tolerance else 1):
             break
@@ -95,7 +91,7 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     front = seen
     for d in range(1, depth + 1):
         near = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = _step(near.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "front")
+        front = written(near.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "front")
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
@@ -161,12 +157,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     cut first, again and again.
     """
     spark = edges.sparkSession
-    e, found = _step(edges.select("src", "dst").where("src <> dst").distinct(), "scc"), []
+    e, found = written(edges.select("src", "dst").where("src <> dst").distinct(), "scc"), []
     while True:
         while True:
             # an edge is on a cycle only if its source has an edge in and its target one out
             kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            kept = _step(kept.select("src", "dst"), "scc")
+            kept = written(kept.select("src", "dst"), "scc")
             before, after = e.count(), kept.count()
             e = kept
             if before == after:
@@ -174,27 +170,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if not after:
             break
         label = nodes_of(e).withColumn("label", F.col("node"))
-        label = _step(label, "label")
+        label = written(label, "label")
         while True:
             near = e.join(label, e.src == label.node).groupBy("dst").agg(F.min("label").alias("near"))
-            new = _step(label.join(near, label.node == near.dst, "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), "label")
+            new = written(label.join(near, label.node == near.dst, "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), "label")
             changed = new.where("was <> label").limit(1).count()
             label = new.select("node", "label")
             if not changed:
                 break
         same = e.join(label.withColumnRenamed("node", "src").withColumnRenamed("label", "a"), "src").join(label.withColumnRenamed("node", "dst").withColumnRenamed("label", "b"), "dst").where("a = b").select("src", "dst")
-        back = _step(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
-        members = _step(label.where("node = label").select("node", "label"), "members")
+        back = written(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        members = written(label.where("node = label").select("node", "label"), "members")
         front = members
         while True:
             near = front.join(back, front.node == back.src).select(F.col("dst").alias("node"), "label").distinct()
-            front = _step(near.join(members, "node", "left_anti"), "front")
+            front = written(near.join(members, "node", "left_anti"), "front")
             if not front.limit(1).count():
                 break
-            members = _step(members.unionByName(front), "members")
+            members = written(members.unionByName(front), "members")
         found.append(members)
         done = members.select("node")
-        e = _step(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+        e = written(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
     if not found:
         return spark.createDataFrame([], "node long, component long")
     every = found[0]
@@ -212,14 +208,14 @@ def import_cycles(spark, sf_dir):
 
 def topological_layers(edges: DataFrame) -> DataFrame:
     """``node``, ``layer``: Kahn's peel; raises if there is a cycle."""
-    left, e, out, layer = _step(nodes_of(edges), "nodes"), edges.select("src", "dst").distinct(), [], 0
+    left, e, out, layer = written(nodes_of(edges), "nodes"), edges.select("src", "dst").distinct(), [], 0
     while left.limit(1).count():
-        front = _step(left.join(e, left.node == e.dst, "left_anti").withColumn("layer", F.lit(layer)), "layer")
+        front = written(left.join(e, left.node == e.dst, "left_anti").withColumn("layer", F.lit(layer)), "layer")
         if not front.limit(1).count():
             raise ValueError("the graph has a cycle")
         out.append(front)
-        left = _step(left.join(front, "node", "left_anti"), "nodes")
-        e = _step(e.join(front.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "edges")
+        left = written(left.join(front, "node", "left_anti"), "nodes")
+        e = written(e.join(front.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "edges")
         layer += 1
     if not out:
         return left.withColumn("layer", F.lit(0))

@@ -311,78 +311,7 @@ def markdown_chunks(spark, sf_dir):
     return pages_to_markdown(spark, sf_dir).select("page_id", F.posexplode(cut("markdown")).alias("chunk", "text"))
 
 
-# ---------------------------------------------------------------- monitors over a trajectory
-# Weights of the monitors and the score from which one fires.
-MONITOR_WEIGHTS = {"claim_contradiction": 0.30, "semantic_loop": 0.25, "verification_skip": 0.15, "cyclic_compression": 0.10, "late_sprawl": 0.10, "silent_topic_drift": 0.10}
-FIRES = 0.40
-
-
-def _pairs(text: str) -> set:
-    t = re.findall(r"[a-z0-9]+", text.lower())
-    return set(zip(t, t[1:], strict=False))
-
-
-def _overlap(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a | b else 0.0
-
-
-# Phrases of conclusions, of checks, of claims with their opposites, and of work beside the task.
-CONCLUSIONS = (r"\b(done|complete[d]?|finished|fixed|solved|resolved)\b", r"\b(the (answer|solution|fix) is)\b", r"\b(therefore|thus|so the)\b")
-CHECKS = (
-    r"\b(test|verify|confirm|assert|validate)\b", r"\b(ran|run) (the )?tests?\b", r"\b(I |let me )(check|confirm|verify|validate)\b",
-    r"\b(make sure|double.check|ensure)\b", r"\bresult[s]?\s+(show|indicate|confirm)\b",
-)
-OPPOSITES = (
-    (r"\b(it works|working correctly|no error)\b", r"\b(error|fail|broken|doesn.t work)\b"),
-    (r"\b(does not exist|missing|not found)\b", r"\b(exists|found|present)\b"),
-    (r"\bI (will|would|should|can)\b", r"\bI (cannot|can.t|won.t|shouldn.t|must not)\b"),
-    (r"\b(always|never|all|none)\b", r"\b(sometimes|occasionally|some|few)\b"),
-)
-SIDE_WORK = (r"\b(also|additionally|while I.m at it|and also|furthermore)\b", r"\b(I noticed|I see that|by the way|incidentally)\b", r"\b(refactor|clean up|improve|optimize|restructure)\b")
-
-
-def _says(pattern: str, text: str) -> bool:
-    return re.search(pattern, text, re.IGNORECASE) is not None
-
-
-def _phrase_scores(steps: list[str]) -> dict[str, float]:
-    end = " ".join(steps[-3:])
-    unchecked = any(_says(p, end) for p in CONCLUSIONS) and not any(_says(p, end) for p in CHECKS)
-    # a claim is contradicted if its opposite comes after the first step that makes it
-    contradicted = 0
-    for claim, opposite in OPPOSITES:
-        first = next((i for i, s in enumerate(steps) if _says(claim, s)), len(steps))
-        contradicted += any(_says(opposite, s) for s in steps[first + 1 :])
-    half = max(1, len(steps) // 2)
-    kinds = [sum(_says(p, " ".join(part)) for p in SIDE_WORK) for part in (steps[:half], steps[half:])]
-    sprawl = min(1.0, 0.3 * max(0, kinds[1] - kinds[0])) if len(steps) > 1 else 0.0
-    return {"verification_skip": 0.8 if unchecked else 0.0, "claim_contradiction": min(1.0, 0.4 * contradicted), "late_sprawl": sprawl}
-
-
-def monitor_scores(steps: list[str], task: str) -> dict[str, float]:
-    """Loops, compression in cycles, drift from the task, and what phrases tell: conclusions unchecked, contradictions, sprawl."""
-    last = [_pairs(s) for s in steps[-4:]]
-    texts = steps[-4:]
-    loop = max((_overlap(last[i], last[j]) for i in range(len(last)) for j in range(i) if texts[i] != texts[j]), default=0.0)
-    cycle = min(1.0, 1.5 * _overlap(_pairs(steps[-6:][0]), _pairs(steps[-1]))) if len(steps) >= 3 else 0.0
-    wanted = set(re.findall(r"[a-z0-9]+", task.lower()))
-    seen = set(re.findall(r"[a-z0-9]+", " ".join(steps[-3:]).lower()))
-    drift = 0.9 * (1 - len(wanted & seen) / len(wanted)) if wanted else 0.0
-    return {"semantic_loop": loop, "cyclic_compression": cycle, "silent_topic_drift": drift} | _phrase_scores(steps)
-
-
-@query("trajectory_monitors")
-def trajectory_monitors(spark, sf_dir):
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        steps = [t or "" for t in pdf.text]
-        found = monitor_scores(steps[1:] or steps, steps[0])
-        fired = [k for k in MONITOR_WEIGHTS if found.get(k, 0) >= FIRES]
-        return pd.DataFrame({"conv_id": [pdf.conv_id.iloc[0]], **{k: [round(v, 6)] for k, v in found.items()}, "composite": [round(sum(MONITOR_WEIGHTS[k] * v for k, v in found.items()), 6)], "failure_type": [max(fired, key=MONITOR_WEIGHTS.get) if fired else None]})
-
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(score, "conv_id long, semantic_loop double, cyclic_compression double, silent_topic_drift double, verification_skip double, claim_contradiction double, late_sprawl double, composite double, failure_type string")
-
-
+# ---------------------------------------------------------------- difficulty along a trajectory
 def difficulty_states(scores: Column) -> Column:
     """The state after each step of an ordered array of scores: INIT, NORMAL, FAST, SLOW or SKIP.
 
