@@ -9,7 +9,9 @@
    towards each node until something within the range is met, then outwards through all that is within the range.
 4. Every pair that comes out is verified in double precision. A pair that shares several shards counts in the first of
    them. A shard gives a sum for each node and one edge for each node, never all pairs.
-5. The recall is audited against a full scan for a bounded set of nodes, half of them nodes known to have links because
+5. A dense bunch, most of whose pairs are links or which k-means cannot cut, is one shard and compared as a whole: by pairs
+   of its blocks, each in a task.
+6. The recall is audited against a full scan for a bounded set of nodes, half of them nodes known to have links because
    signs of random projections brought them together with another; below ``LEAST_RECALL`` the overlap grows, and if that
    does not help all vectors are compared, block by block.
 """
@@ -40,6 +42,10 @@ AUDIT = 200
 LEAST_RECALL = 0.9
 #: Rows that one set of centres deals at a time, and bytes of a block in the comparison of all vectors.
 PIECE = 100_000
+#: Mean cosine of all pairs from which a shard is a bunch: cutting it would part most links.
+BUNCH = 0.92
+#: Nodes of a block of a shard that is not cut.
+DENSE_BLOCK = 8_192
 SCAN_BYTES = 16 << 20
 _BLOCK = 256
 
@@ -229,10 +235,13 @@ def _widths(n: int, overlap: int) -> list[int]:
 
 
 def _centres(sample: DataFrame) -> DataFrame:
-    """``shard`` and the bytes of its ``centres``, from the sampled rows of each shard with their ``k``."""
+    """``shard`` and the bytes of its ``centres``, from the sampled rows of each shard with their ``k``; none for a bunch, which is not cut."""
 
     def fit(key, table):
         x = units(unpack(table.column("data").combine_chunks()))
+        mean = x.mean(axis=0)
+        if mean @ mean >= BUNCH:  # the mean cosine of all pairs
+            return pa.table({"shard": pa.array([], pa.string()), "centres": pa.array([], pa.binary())})
         c = centres_of(x, min(table.column("k")[0].as_py(), len(x))).astype("<f4")
         return pa.table({"shard": [key[0].as_py()], "centres": pa.array([c.tobytes()], pa.binary())})
 
@@ -243,7 +252,7 @@ def _deal(nodes: DataFrame, n: int, overlap: int) -> DataFrame:
     """``nodes`` once for each shard: with ``shard`` (a text) and, in the end, ``shards`` (all of the node's).
 
     A name starts with the length of the vectors in bytes. ``parent`` is the size of the shard that was dealt: a shard
-    that keeps over nine tenths of it is one dense bunch and is searched as it is.
+    that keeps over nine tenths of it, or whose sample is a bunch, is not dealt again.
     """
     dealt = nodes.select("node", "copies", "data", F.length("data").cast("string").alias("shard"), F.lit(1 << 62).alias("parent"))
     widths, level = _widths(n, overlap), 0
@@ -320,6 +329,63 @@ def _graph(dealt: DataFrame) -> DataFrame:
     return edges.groupBy("node").agg(F.collect_set("near").alias("near"))
 
 
+def _classes(lists: list[list[str]], shard: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each node's set of shards, and for each two numbers whether ``shard`` is the first that both sets hold: a pair counts there alone."""
+    kinds: dict[tuple[str, ...], int] = {}
+    of = np.array([kinds.setdefault(tuple(v), len(kinds)) for v in lists])
+    sets = [set(k) for k in kinds]
+    first = np.array([[min(a & b) == shard for b in sets] for a in sets])
+    return of, first
+
+
+def _dense(dealt: DataFrame) -> DataFrame:
+    """What ``_search_shards`` gives, for shards that no centres could cut, by comparing all their nodes.
+
+    A shard's nodes are dealt to blocks of about ``DENSE_BLOCK`` by a hash, and two blocks (or one with itself) are a task, so
+    that a bunch of nearly equal vectors is the work of many tasks of bounded memory, however large it is.
+    """
+    sizes = materialise(dealt.groupBy("shard").agg(F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("blocks")), "sizes")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = dealt.join(sizes, "shard").withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("shard", "node", "copies", "data", "shards", "block", other.alias("other")).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(key, table):
+        shard, low, high = (k.as_py() for k in key)
+        table = table.take(pa.array(np.lexsort((table.column("node").to_numpy(), table.column("block").to_numpy()))))
+        node, copies, at = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
+        exact = unpack(table.column("data").combine_chunks())
+        x, lengths = units(exact), np.sqrt(np.einsum("ij,ij->i", exact, exact))
+        of, first = _classes(table.column("shards").to_pylist(), shard)
+        cut = int(np.searchsorted(at, high)) if high > low else 0
+        left, right = (np.arange(cut), np.arange(cut, len(node))) if high > low else (np.arange(len(node)),) * 2
+        links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        strips, hits = [left[i : i + _BLOCK] for i in range(0, len(left), _BLOCK)], []
+        for rows in strips:
+            cosine = x[rows] @ x[right].T
+            hit = cosine >= COSINE
+            a, b = np.nonzero(np.abs(cosine - COSINE) < 1e-9)  # what rounding could turn is worked out as in the search
+            hit[a, b] = _dots(exact, rows[a], right[b]) / (lengths[rows[a]] * lengths[right[b]]) >= COSINE
+            hit &= rows[:, None] != right[None, :]
+            counted = hit & first[of[rows][:, None], of[right][None, :]]
+            links[rows] += counted @ copies[right]
+            if high > low:
+                links[right] += counted.T @ copies[rows]
+            hits.append(np.packbits(hit, axis=1))
+        changed = True
+        while changed:
+            before = root.copy()
+            for rows, packed in zip(strips, hits, strict=True):
+                hit = np.unpackbits(packed, axis=1, count=len(right)).astype(bool)
+                best = np.minimum(root[rows], np.where(hit, root[right][None, :], len(node)).min(axis=1, initial=len(node)))
+                root[rows] = best
+                root[right] = np.minimum(root[right], np.where(hit, best[:, None], len(node)).min(axis=0, initial=len(node)))
+            changed = not np.array_equal(before, root)
+        return pa.table({"node": pa.array(node), "links": pa.array(links), "root": pa.array(node[root])})
+
+    return materialise(rows.groupBy("shard", "low", "high").applyInArrow(compare, "node long, links long, root long"), "dense")
+
+
 def _search_shards(dealt: DataFrame, graph: DataFrame) -> DataFrame:
     """``node``, ``links`` (copies of other nodes linked, of pairs that count in the shard), ``root`` for each shard."""
 
@@ -336,19 +402,11 @@ def _search_shards(dealt: DataFrame, graph: DataFrame) -> DataFrame:
         at = np.minimum(np.searchsorted(node, flat), len(node) - 1)
         here = node[at] == flat
         begin = np.r_[0, np.cumsum(np.bincount(owner[here], minlength=len(node)))]
-        # places of the shards that a node shares with this one: a pair counts in the first shard of both
-        names = {s: i for i, s in enumerate(sorted({t for v in table.column("shards").to_pylist() for t in v}))}
-        lists = [[names[s] for s in v] for v in table.column("shards").to_pylist()]
-        width = max(map(len, lists))
-        mine = np.array([v + [-1 - i] * (width - len(v)) for i, v in enumerate(lists)])
-        this = names[shard]
+        of, counts_here = _classes(table.column("shards").to_pylist(), shard)
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
         for a, b in search(units(exact), begin, at[here], exact):
-            for i in range(0, len(a), 100_000):
-                x, y = mine[a[i : i + 100_000]], mine[b[i : i + 100_000]]
-                common = np.where((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0), x[:, :, None], len(names)).min(axis=(1, 2))
-                first = common == this
-                np.add.at(links, a[i : i + 100_000][first], copies[b[i : i + 100_000][first]])
+            first = counts_here[of[a], of[b]]
+            np.add.at(links, a[first], copies[b[first]])
             while True:
                 p, q = root[a], root[b]
                 if (p == q).all():
@@ -487,7 +545,16 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     n, overlap = nodes.count(), OVERLAP
     while True:
         dealt = _deal(nodes, n, overlap)
-        found = _search_shards(dealt, _graph(dealt))
+        bunches = materialise(dealt.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > 2 * SHARD).select("shard", F.lit(True).alias("dense")), "bunches")
+        if bunches.isEmpty():
+            found = _search_shards(dealt, _graph(dealt))
+        else:
+            # a pair that shares a bunch counts there, where nothing is missed: its name comes before all others
+            named = dealt.drop("shards").join(bunches, "shard", "left").withColumn("shard", F.when(F.col("dense"), F.concat(F.lit("!"), "shard")).otherwise(F.col("shard")))
+            all_shards = named.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+            named = materialise(named.join(all_shards, "node"), "shards")
+            thin = named.where("dense IS NULL")
+            found = _search_shards(thin, _graph(thin)).unionByName(_dense(named.where("dense")))
         recall = _audit(nodes, n, found)
         if recall >= LEAST_RECALL:
             break
