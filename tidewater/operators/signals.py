@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import words
+from ..functions.scalars import cosine, words
 from ..registry import query
 from ..shared import written
 from ..sources.importers import conversations_as_event_logs, event_logs
@@ -18,7 +18,7 @@ from .fusion import _CANDIDATES_SQL, _ranks_sql, part_ranks, search_candidates
 from .graph import _EDGES, supplier_edges
 from .minhash import MASK, permutations, permuted
 from .recall import fit_to_budget
-from .retrieval import bm25, kept_terms
+from .retrieval import _BM25_SQL, bm25, kept_terms
 
 # Weight and half-life (in events) of an event's kind, and marks of events that are never dropped.
 KINDS = {
@@ -373,6 +373,56 @@ def tool_ledger(spark, sf_dir):
     return tools.groupBy("tool").agg(F.count_distinct("session").alias("sessions"), F.sum("calls").alias("calls"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"))
 
 
+def renames(changes: DataFrame, commit: str, path: str, digest: str, status: str) -> DataFrame:
+    """``commit``, ``path`` and ``target`` of each deleted file: where its content was added in the same commit, null if nowhere.
+
+    Of several deleted and added files with one content, the first goes to the first, by their paths.
+    """
+    place = F.row_number().over(Window.partitionBy("_s", commit, digest).orderBy(path))
+    rows = changes.select(commit, path, digest, F.col(status).alias("_s")).where("_s IN ('D', 'A')").withColumn("_k", place)
+    gone, new = (rows.where(F.col("_s") == x).drop("_s") for x in "DA")
+    return gone.join(new.withColumnRenamed(path, "target"), [commit, digest, "_k"], "left").select(commit, path, "target")
+
+
+@query(
+    "renamed_files",
+    """
+    WITH c AS (SELECT DISTINCT l_orderkey AS sha, 'p' || l_partkey || '/' || l_linenumber AS path, l_suppkey % 5 AS digest, CASE WHEN l_linenumber % 2 = 0 THEN 'D' ELSE 'A' END AS status FROM lineitem),
+    k AS (SELECT *, row_number() OVER (PARTITION BY sha, digest, status ORDER BY path) AS k FROM c)
+    SELECT d.sha, d.path, a.path AS target FROM k d LEFT JOIN k a ON a.sha = d.sha AND a.digest = d.digest AND a.k = d.k AND a.status = 'A' WHERE d.status = 'D'
+    """,
+)
+def renamed_files(spark, sf_dir):
+    """Orders as commits: even lines delete a file and odd ones add one, whose content is the supplier's last digit by five."""
+    l = table(spark, sf_dir, "lineitem")
+    c = l.select(F.col("l_orderkey").alias("sha"), F.concat(F.lit("p"), "l_partkey", F.lit("/"), "l_linenumber").alias("path"), (F.col("l_suppkey") % 5).alias("digest"), F.when(F.col("l_linenumber") % 2 == 0, "D").otherwise("A").alias("status"))
+    return renames(c.distinct(), "sha", "path", "digest", "status")
+
+
+@query(
+    "passage_recall",
+    _BM25_SQL.replace("FROM documents)", "FROM documents WHERE lang = 'en')")
+    + """, h AS (SELECT item_id, r.doc_id, score, 0.6::DOUBLE * CASE WHEN p.label = 0 OR p.embedding IS NULL OR q.embedding IS NULL THEN 0 ELSE least(greatest(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 1) END + 0.4::DOUBLE * score / max(score) OVER (PARTITION BY item_id) AS total
+      FROM r LEFT JOIN embeddings p ON p.vec_id = r.doc_id LEFT JOIN embeddings q ON q.vec_id = item_id)
+    SELECT item_id, doc_id, round(total, 6) AS total, row_number() OVER (PARTITION BY item_id ORDER BY round(total, 9) DESC, round(score, 9) DESC, doc_id DESC) AS place FROM h QUALIFY place <= 5""",
+)
+def passage_recall(spark, sf_dir):
+    """English documents alone, in the statistics too; 0.6 of the clamped cosine, 0 for the old vectors of label 0, and 0.4 of BM25 over its best; ties by BM25, then the newest."""
+    t = lambda name: table(spark, sf_dir, name)
+    d = t("documents")
+    own = d.where("lang = 'en'")
+    index = kept_terms(d, "doc_id", "text").join(own.select("doc_id"), "doc_id", "left_semi")
+    scored = bm25(own, t("benchmark"), "doc_id", "text", "item_id", "text", index=index)
+    e = t("embeddings")
+    of = lambda key, name: e.select(F.col("vec_id").alias(key), F.col("embedding").alias(name), F.col("label").alias(f"{name}_label"))
+    pairs = scored.join(of("doc_id", "p"), "doc_id", "left").join(of("item_id", "q"), "item_id", "left")
+    near = F.when((F.col("p_label") == 0) | F.col("p").isNull() | F.col("q").isNull(), 0.0).otherwise(F.least(F.greatest(cosine(F.col("p"), F.col("q")), F.lit(0.0)), F.lit(1.0)))
+    total = 0.6 * near + 0.4 * F.col("score") / F.max("score").over(Window.partitionBy("item_id"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("total", 9).desc(), F.round("score", 9).desc(), F.desc("doc_id")))
+    found = pairs.select("item_id", "doc_id", "score", total.alias("total")).withColumn("place", place.cast("long")).where("place <= 5")
+    return found.select("item_id", "doc_id", F.round("total", 6).alias("total"), "place")
+
+
 # ---------------------------------------------------------------- a retriever
 class IndexRetriever:
     """Retrieval over a table of texts by BM25 on its kept index: ``retrieve`` gives the best rows that fit a budget of tokens."""
