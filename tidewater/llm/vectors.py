@@ -330,9 +330,12 @@ def _graph(dealt: DataFrame) -> DataFrame:
 
 
 def _classes(lists: list[list[str]], shard: str) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each node's set of shards, and for each two numbers whether ``shard`` is the first that both sets hold: a pair counts there alone."""
+    """A number for each node's set of bunches, and for each two numbers whether ``shard`` is the first that both sets hold: a pair counts there alone.
+
+    Names of bunches come before all others, so that the other shards of two nodes do not matter; sets of bunches are few.
+    """
     kinds: dict[tuple[str, ...], int] = {}
-    of = np.array([kinds.setdefault(tuple(v), len(kinds)) for v in lists])
+    of = np.array([kinds.setdefault(tuple(s for s in v if s.startswith("!")), len(kinds)) for v in lists])
     sets = [set(k) for k in kinds]
     first = np.array([[min(a & b) == shard for b in sets] for a in sets])
     return of, first
@@ -402,11 +405,19 @@ def _search_shards(dealt: DataFrame, graph: DataFrame) -> DataFrame:
         at = np.minimum(np.searchsorted(node, flat), len(node) - 1)
         here = node[at] == flat
         begin = np.r_[0, np.cumsum(np.bincount(owner[here], minlength=len(node)))]
-        of, counts_here = _classes(table.column("shards").to_pylist(), shard)
+        # places of the shards that a node shares with this one: a pair counts in the first shard of both
+        names = {s: i for i, s in enumerate(sorted({t for v in table.column("shards").to_pylist() for t in v}))}
+        lists = [[names[s] for s in v] for v in table.column("shards").to_pylist()]
+        width = max(map(len, lists))
+        mine = np.array([v + [-1 - i] * (width - len(v)) for i, v in enumerate(lists)])
+        this = names[shard]
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
         for a, b in search(units(exact), begin, at[here], exact):
-            first = counts_here[of[a], of[b]]
-            np.add.at(links, a[first], copies[b[first]])
+            for i in range(0, len(a), 100_000):
+                x, y = mine[a[i : i + 100_000]], mine[b[i : i + 100_000]]
+                common = np.where((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0), x[:, :, None], len(names)).min(axis=(1, 2))
+                first = common == this
+                np.add.at(links, a[i : i + 100_000][first], copies[b[i : i + 100_000][first]])
             while True:
                 p, q = root[a], root[b]
                 if (p == q).all():
