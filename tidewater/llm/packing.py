@@ -38,7 +38,7 @@ END_OF_DOCUMENT = 0
 REMEMBERED_WORDS = 900_000
 REMEMBERED_PARTS = 700_000
 #: Seconds after which a worker that packs no more forgets them.
-IDLE = 20.0
+IDLE = 12.0
 #: Characters that are tokenised at once.
 TOGETHER = 1_000_000
 PARTS = 1024
