@@ -38,7 +38,8 @@ PATCHED_FILE = r"(?im)^\*\*\*\s+(?:Update|Add|Delete|Move|Rename)\s+File:\s+(.+)
 ABSOLUTE_PATH = r"((?:[A-Za-z]:[\\/]|/)[^\s\"'`<>()\[\]{}]+)"
 #: A file is recognised by one of its first events.
 RECOGNISED_WITHIN = 20
-PARENT_WITHIN = "8 hours"
+#: Microseconds between the starts of a transcript and of its parent, at most.
+PARENT_WITHIN = 8 * 3600 * 1_000_000
 
 ZERO = ("input", "output", "reasoning", "cached", "cache_write")
 
@@ -418,7 +419,7 @@ def parents_of(transcripts: DataFrame, parents: DataFrame) -> DataFrame:
     t = t.withColumn("folder", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")))
     p = parents.where("workspace <> ''").select(F.col("session").alias("parent"), "created_at", "workspace", F.lower(plain_path(F.col("workspace"))).alias("folder"))
     apart = F.abs(F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp")))
-    near = t.join(p, "folder").withColumn("apart", apart).where(apart <= F.lit(8 * 3600 * 1_000_000))
+    near = t.join(p, "folder").withColumn("apart", apart).where(apart <= F.lit(PARENT_WITHIN))
     best = F.min(F.struct((-F.length("folder")).alias("l"), F.col("apart").alias("d"), F.col("parent").alias("parent"), F.col("workspace").alias("workspace")))
     return near.groupBy("session").agg(best.alias("b")).select("session", "b.parent", "b.workspace")
 
