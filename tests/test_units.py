@@ -115,6 +115,32 @@ def test_components_layers_and_cycles(spark):
     assert sorted((r.node, r.layer) for r in layers.collect()) == [(1, 0), (2, 1), (3, 2)]
 
 
+def counted_writes(monkeypatch):
+    """How often a frame is written by the graph operators: the rounds they take."""
+    made, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: made.append(label) or write(df, label))
+    return made
+
+
+def test_a_long_chain_takes_few_rounds_of_layers(spark, monkeypatch):
+    made = counted_writes(monkeypatch)
+    chain = spark.range(60).select("id", (F.col("id") + 1).alias("next")).toDF("src", "dst")
+    assert sorted((r.node, r.layer) for r in graph.topological_layers(chain).collect()) == [(i, i) for i in range(61)]
+    assert len(made) < 10
+
+
+@pytest.mark.parametrize("part_edges", [7, 60, 10_000])
+def test_layers_over_parts(spark, part_edges):
+    rng = random.Random(part_edges)
+    name = rng.sample(range(1000), 40)
+    edges = [(a, b) for a in range(40) for b in range(a + 1, min(40, a + 12)) if rng.random() < 0.3]
+    layer = dict.fromkeys({n for e in edges for n in e}, 0)
+    for a, b in sorted(edges):
+        layer[b] = max(layer[b], layer[a] + 1)
+    df = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "src long, dst long")
+    assert {r.node: r.layer for r in graph.topological_layers(df, part_edges).collect()} == {name[n]: d for n, d in layer.items()}
+
+
 def test_votes(spark, tmp_path):
     rows = [(1, 1, "x"), (1, 2, "X "), (1, 3, "y"), (2, 1, "x"), (2, 2, "y")]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
