@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.operators.fusion import blend, bm25_by_snapshot, fuse_playbooks, pack_page, similar_facts
+from tidewater.operators.fusion import blend, bm25_by_other_corpus, bm25_by_snapshot, fuse_playbooks, pack_page, similar_facts
 from tidewater.operators.monitors import trajectory_scores
+from tidewater.operators.retrieval import tokens
 from tidewater.plans.protocols import Embedder, Registry, ResultCache, Store, embedding_udf, first_answer
+from tidewater.sources.tables import table
 
 
 def test_unseen_terms_weigh_ln_2(spark):
@@ -13,6 +16,14 @@ def test_unseen_terms_weigh_ln_2(spark):
     assert len(got) == 1 and abs(got[0].score - 0.6931471805599453 * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 50))) < 1e-9
 
 
+def test_other_corpus_gives_all_pairs(spark, sf="/root/testdata/sf0.001"):
+    terms = lambda name, key: table(spark, sf, name).select(key, F.explode(tokens(F.col("text"))).alias("t")).distinct()
+    met = terms("benchmark", "item_id").join(terms("documents", "doc_id"), "t").select("item_id", "doc_id").distinct()
+    got = bm25_by_other_corpus(spark, sf)
+    assert got.columns == ["item_id", "doc_id", "score"]
+    assert sorted(map(tuple, got.select("item_id", "doc_id").collect())) == sorted(map(tuple, met.collect()))
+
+
 def test_blend_and_fusion(spark):
     a = spark.createDataFrame([(1, 1, 2.0), (1, 2, -4.0)], "q long, k long, score double")
     b = spark.createDataFrame([(1, 1, 0.0)], "q long, k long, score double")
