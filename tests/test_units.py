@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import catalog
 from tidewater.functions.scalars import bucket, cosine, error_fingerprint, jaccard, log_signature
 from tidewater.operators import graph, joins, relational, retrieval, stats, text, windows
 from tidewater.plans import guarded_sql
+from tidewater.shared import dealt
 from tidewater.sources import connectors
 from tidewater.streaming import folds
 
@@ -50,6 +52,17 @@ def test_merge_intervals(spark):
     assert sorted((r.a, r.b) for r in joins.merge_intervals(df, "k", "a", "b", 3).collect()) == [(1, 8), (13, 15)]
 
 
+@pytest.mark.parametrize("name", ["merged_intervals", "activity_targets", "folded_progress", "sampled_records"])
+def test_tasks_are_dealt_by_rows(spark, name, sf="/root/testdata/sf0.001"):
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_dealt(spark):
+    parts = dealt(spark.range(10_000), 10_000, "id", task_rows=1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) < 2000
+
+
 def test_as_of_strictness(spark):
     e = spark.createDataFrame([(1, 1, 100.0), (1, 3, 50.0)], "k int, at int, v double")
     p = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "k int, at int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, words, zero
 from ..registry import query
+from ..shared import dealt
 from ..sources.tables import table
 from .ranking import gram_search
 
@@ -301,8 +302,9 @@ def content_search_with_context(spark, sf_dir):
     """,
 )
 def merged_intervals(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").cast("long").alias("a"), (F.col("l_orderkey") + F.col("l_quantity")).cast("long").alias("b"))
-    return merge_intervals(s, "key", "a", "b", 3)
+    l = table(spark, sf_dir, "lineitem")
+    s = l.select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").cast("long").alias("a"), (F.col("l_orderkey") + F.col("l_quantity")).cast("long").alias("b"))
+    return merge_intervals(dealt(s, l.count(), "key"), "key", "a", "b", 3)
 
 
 # ---------------------------------------------------------------- sort, limit, top-k
