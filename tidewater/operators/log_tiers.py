@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_json
 from ..registry import query
+from ..shared import dealt
 from ..sources.tables import table
 from .compaction import DIAGNOSTICS
 
@@ -25,6 +26,8 @@ WIDTHS, LEAST_REPEATS = (2, 3, 4, 5, 6), 3
 LEAST_PHASE = 8
 LEAST_TABLE, TABLE_HEAD, TABLE_TAIL = 32, 10, 6
 LEAST_RECORDS, MOST_SHOWN = 24, 40
+#: Lines of a task where outputs are dealt by hand, about.
+TASK_LINES = 200_000
 
 
 def diagnostic(line: Column) -> Column:
@@ -36,11 +39,15 @@ def numbered(lines: DataFrame, key: str, position: str, line: str) -> DataFrame:
     return lines.select(key, F.row_number().over(Window.partitionBy(key).orderBy(position)).alias("n"), F.coalesce(line, F.lit("")).alias("line"))
 
 
-def if_shorter(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """The lines of ``after`` (``key``, ``at``, ``line``), for each output whose text becomes shorter; else those of ``before``."""
+def if_shorter(before: DataFrame, after: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """The lines of ``after`` (``key``, ``at``, ``line``), for each output whose text becomes shorter; else those of ``before``.
+
+    With ``total``, the number of lines before, tasks are dealt by it."""
     size = lambda df, name: df.groupBy(key).agg(F.sum(F.length("line") + 1).alias(name))
     better = size(before, "a").join(size(after, "b"), key).where("b < a").select(key)
     kept = after.join(better, key).select(key, "at", "line").unionByName(before.join(better, key, "left_anti").select(key, F.struct(F.col("n").alias("n"), F.lit(0).alias("k")).alias("at"), "line"))
+    if total is not None:
+        kept = dealt(kept, total, key, task_rows=TASK_LINES)
     return kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).cast("long").alias("n"), "line")
 
 
@@ -89,7 +96,7 @@ def fold_blocks(lines: DataFrame, key: str, position: str, line: str) -> DataFra
 
 
 # ---------------------------------------------------------------- phases of progress
-def fold_progress(lines: DataFrame, key: str, position: str, line: str) -> DataFrame:
+def fold_progress(lines: DataFrame, key: str, position: str, line: str, total: int | None = None) -> DataFrame:
     """Of eight or more lines of one phase in a row the first and last two stay, with a note between."""
     rows = numbered(lines, key, position, line)
     w = Window.partitionBy(key).orderBy("n")
@@ -102,7 +109,7 @@ def fold_progress(lines: DataFrame, key: str, position: str, line: str) -> DataF
     long = (F.col("size") >= LEAST_PHASE) & F.col("phase").isNotNull()
     placed = placed.where(~long | (F.col("i") <= 3) | (F.col("i") > F.col("size") - 2))
     note = F.concat(F.lit("... ("), F.col("size") - 4, F.lit(" "), "phase", F.lit(" progress lines omitted) ..."))
-    return if_shorter(rows, placed.select(key, _at("n"), F.when(long & (F.col("i") == 3), note).otherwise(F.col("line")).alias("line")), key)
+    return if_shorter(rows, placed.select(key, _at("n"), F.when(long & (F.col("i") == 3), note).otherwise(F.col("line")).alias("line")), key, total)
 
 
 # ---------------------------------------------------------------- tables
@@ -132,7 +139,7 @@ def sample_tables(lines: DataFrame, key: str, position: str, line: str, budget:
 
 
 # ---------------------------------------------------------------- records of JSON
-def sample_records(lines: DataFrame, key: str, position: str, line: str, budget: int) -> DataFrame:
+def sample_records(lines: DataFrame, key: str, position: str, line: str, budget: int, total: int | None = None) -> DataFrame:
     """Of an output beyond the budget that is 24 or more lines of JSON objects and arrays, the first three, the last two and those with a diagnosis stay behind a note.
 
     It stays whole if more than 40 lines would.
@@ -148,7 +155,7 @@ def sample_records(lines: DataFrame, key: str, position: str, line: str, budget:
     fit = fit.where((F.col("chars") - 1 > budget) & (F.col("all") >= LEAST_RECORDS) & (F.col("ok") == F.col("all")) & (F.col("shown") <= MOST_SHOWN)).select(key, "all", "shown")
     note = F.concat(F.lit("... ("), F.col("all") - F.col("shown"), F.lit(" NDJSON records omitted; "), "shown", F.lit("/"), "all", F.lit(" shown) ..."))
     after = full.where(shown).join(fit, key).select(key, _at("n", 1), "line").unionByName(fit.select(key, _at(F.lit(0)), note.alias("line")))
-    return if_shorter(rows, after.unionByName(rows.join(fit, key, "left_anti").select(key, _at("n", 1), "line")), key)
+    return if_shorter(rows, after.unionByName(rows.join(fit, key, "left_anti").select(key, _at("n", 1), "line")), key, total)
 
 
 # ---------------------------------------------------------------- queries
@@ -209,7 +216,9 @@ def folded_document_blocks(spark, sf_dir):
 def folded_progress(spark, sf_dir):
     """A user's events as a build: errors fail, purchases fetch, all else compiles."""
     said = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", F.concat(F.lit("Fetching "), "event_id")).otherwise(F.concat(F.lit("["), F.col("event_id") % 7, F.lit("] compiling unit "), "event_id"))
-    return fold_progress(table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), said.alias("line")), "user_id", "at", "line")
+    e = table(spark, sf_dir, "events")
+    total = e.count()
+    return fold_progress(dealt(e.select("user_id", F.struct("ts", "event_id").alias("at"), said.alias("line")), total, "user_id", task_rows=TASK_LINES), "user_id", "at", "line", total)
 
 
 _ROW = "CASE WHEN l_suppkey % 4 = 3 AND l_linenumber > 3 THEN 'a line of prose' WHEN l_suppkey % 3 = 0 THEN l_orderkey || '|' || l_partkey || '|' || l_quantity::INT WHEN l_suppkey % 3 = 1 THEN l_orderkey || '  ' || l_partkey || '   ' || l_returnflag ELSE l_orderkey || chr(9) || l_partkey || chr(9) || l_linestatus END"
@@ -246,4 +255,6 @@ def sampled_tables(spark, sf_dir):
 def sampled_records(spark, sf_dir):
     """A user's properties as lines of JSON, some of which tell of a failure and, for some users, are no JSON."""
     line = F.when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), F.concat(F.lit('{"failed":'), "event_id", F.lit("}"))).when((F.col("user_id") % 6 == 1) & (F.col("event_id") % 50 == 0), "no json").otherwise(F.col("props"))
-    return sample_records(table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.struct("ts", "event_id").alias("at"), line.alias("line")), "k", "at", "line", 200)
+    e = table(spark, sf_dir, "events")
+    total = e.count()
+    return sample_records(dealt(e.select(F.col("user_id").alias("k"), F.struct("ts", "event_id").alias("at"), line.alias("line")), total, "k", task_rows=TASK_LINES), "k", "at", "line", 200, total)
