@@ -142,6 +142,28 @@ def test_a_long_chain_takes_few_rounds_of_layers(spark, monkeypatch):
     assert len(made) < 10
 
 
+def test_cycles_behind_a_long_chain_take_few_rounds(spark, monkeypatch):
+    made = counted_writes(monkeypatch)
+    chain = [(i, i + 1) for i in range(90)] + [(59, 30), (80, 70)]  # into and out of two cycles, one behind the other
+    got = graph.strong_components(spark.createDataFrame(chain, "src long, dst long"))
+    assert sorted((r.node, r.component) for r in got.collect()) == [(i, 30) for i in range(30, 60)] + [(i, 70) for i in range(70, 81)]
+    assert len(made) < 90
+
+
+@pytest.mark.parametrize("part_edges", [20, 10_000])
+def test_cycles_over_parts(spark, part_edges):
+    rng = random.Random(part_edges)
+    edges = [(rng.randrange(50), rng.randrange(50)) for _ in range(75)]
+    reach = {n: {n} for n in range(50)}
+    for _ in range(50):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    component = {n: min(m for m in range(50) if m in reach[n] and n in reach[m]) for n in range(50)}
+    expected = sorted((n, c) for n, c in component.items() if sum(d == c for d in component.values()) > 1)
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), part_edges)
+    assert sorted((r.node, r.component) for r in got.collect()) == expected and expected
+
+
 @pytest.mark.parametrize("part_edges", [7, 60, 10_000])
 def test_layers_over_parts(spark, part_edges):
     rng = random.Random(part_edges)
