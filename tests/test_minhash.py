@@ -65,6 +65,15 @@ def test_rule_by_rule(spark, seed):
     assert minhash.keep_first(df.limit(0), "r", "t", ["s"]).count() == 0
 
 
+def test_unlike_rows_that_meet_are_not_compared(spark, monkeypatch):
+    met, compare = [], minhash._conflicts
+    monkeypatch.setattr(minhash, "_conflicts", lambda pairs, sig: met.append(pairs.count()) or compare(pairs, sig))
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"w{j}" for j in range(8)] + [f"v{rng.randrange(150)}" for _ in range(25)])) for i in range(60)]
+    assert minhash.keep_first(spark.createDataFrame(rows, "r long, t string"), "r", "t").count() == 60
+    assert sum(met) < 60  # of 1,770 pairs
+
+
 def test_whole_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(0, r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]

@@ -30,6 +30,8 @@ from ..sources.tables import table
 # The prime and mask of the permutations, their number, the share of equal values, and tokens below which a row is exempt.
 PRIME, MASK, PERMUTATIONS, SEED = (1 << 61) - 1, (1 << 32) - 1, 128, 1
 ALIKE, LEAST_TOKENS = 0.75, 5
+#: Places in which two rows that are alike may differ, and buckets in which items are counted.
+DIFFERENT, BUCKETS = PERMUTATIONS - int(np.ceil(ALIKE * PERMUTATIONS)), 1 << 18
 #: Rounds in which rows that are first on all their bands are settled before pairs are formed.
 FIRST_ROUNDS = 2
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -80,13 +82,38 @@ def alike(a: Column, b: Column) -> Column:
     return equal >= int(np.ceil(ALIKE * PERMUTATIONS))
 
 
+def bucket_counts(items: DataFrame) -> np.ndarray:
+    """How many of ``items`` (one column of hashes) fall into each of ``BUCKETS``: numbers, not items, come to the driver."""
+    found = items.groupBy(F.col(items.columns[0]).bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def _bands(rows: DataFrame) -> DataFrame:
-    """``id``, ``band``: the rarest items of each row that some other row has too."""
-    share = int(np.ceil(ALIKE * PERMUTATIONS))
-    items = rows.select("id", F.posexplode("signature").alias("place", "value"), "scope").select("id", F.xxhash64("scope", "place", "value").alias("band"))
-    count = items.groupBy("band").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "band"))
-    return items.join(count, "band").withColumn("r", rank).where((F.col("r") <= PERMUTATIONS - share + 1) & (F.col("n") > 1)).select("id", "band")
+    """``id``, ``band``, ``x``, ``y``: the rarest items of each row, those that some other row has there too, and the last bits of its values.
+
+    Rarity is that of an item's bucket, so a row finds its bands by itself and only these are shuffled, not all its items.
+    """
+    hashed = rows.select("id", "signature", "scope").select("id", "signature", F.transform("signature", lambda v, i: F.xxhash64("scope", i, v)).alias("items"))
+    counts = rows.sparkSession.sparkContext.broadcast(bucket_counts(hashed.select(F.explode("items").alias("item"))))
+
+    def rarest(items: pd.Series, signature: pd.Series) -> pd.DataFrame:
+        m, s = (np.stack(c.to_list()) if len(c) else np.zeros((0, PERMUTATIONS), np.int64) for c in (items, signature))
+        order = np.lexsort((m, counts.value[m & (BUCKETS - 1)]), axis=-1)[:, : DIFFERENT + 1]
+        bits = np.packbits((s & 1).astype(np.uint8), axis=1).view(np.int64)
+        return pd.DataFrame({"band": list(np.take_along_axis(m, order, 1)), "x": bits[:, 0], "y": bits[:, 1]})
+
+    found = hashed.select("id", F.pandas_udf(rarest, "band array<long>, x long, y long")("items", "signature").alias("r"))
+    met = F.count("*").over(Window.partitionBy("band"))
+    return found.select("id", F.explode("r.band").alias("band"), "r.x", "r.y").withColumn("n", met).where("n > 1").drop("n")
+
+
+def _meetings(early: DataFrame, late: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``id`` of ``_bands`` rows with a band in common, but for those that cannot be alike: equal values have equal last bits."""
+    first = early.select(F.col("id").alias("a"), "band", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    differ = F.bit_count(F.col("x").bitwiseXOR(F.col("_x"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("_y")))
+    return first.join(late, "band").where((F.col("a") < F.col("id")) & (differ <= DIFFERENT)).select("a", "id").distinct()
 
 
 def keep_first(rows: DataFrame, rank: str, text: str, by: list[str] | None = None) -> DataFrame:
@@ -107,13 +134,11 @@ def keep_first(rows: DataFrame, rank: str, text: str, by: list[str] | None = Non
         head = bands.withColumn("head", F.min("id").over(Window.partitionBy("band")))
         sure = head.groupBy("id").agg(F.max(F.col("head") < F.col("id")).alias("late")).where("NOT late").select("id")
         sure = written(sure, "sure")
-        mine = bands.join(sure, "id").withColumnRenamed("id", "a")
-        met = mine.join(bands, "band").where(F.col("a") < F.col("id")).select("a", "id").distinct()
+        met = _meetings(bands.join(sure, "id"), bands)
         gone = written(_conflicts(met, sig).select("id").distinct(), "gone")
         bands = written(bands.join(sure.unionByName(gone), "id", "left_anti"), "bands")
         removed = removed.unionByName(gone)
-    left = bands.withColumnRenamed("id", "a").join(bands, "band").where(F.col("a") < F.col("id")).select("a", "id").distinct()
-    edges = written(_conflicts(left, sig), "conflicts")
+    edges = written(_conflicts(_meetings(bands, bands), sig), "conflicts")
     while edges.limit(1).count():
         later = edges.select("id").distinct()
         stay = edges.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
