@@ -98,3 +98,17 @@ def test_prices_and_jobs(spark):
     freed = reap(jobs, F.lit(2))
     assert {r.id: r.status for r in freed.collect()} == {1: "dead", 2: "failed", 3: "pending"}
     assert [(r.id, r.attempts, r.locked_by) for r in claim(freed, "n", F.lit(9), 2).orderBy("created_at").collect()] == [(3, 1, "n"), (2, 2, "n")]
+
+
+def test_short_lists_are_written_before_they_meet_texts(spark, monkeypatch, sf="/root/testdata/sf0.001"):
+    from tidewater.operators import fusion, retrieval
+
+    made, write = {}, retrieval.written
+    keep = lambda df, label: made.setdefault(label, write(df, label))
+    for module in (retrieval, fusion):
+        monkeypatch.setattr(module, "written", keep)
+    retrieval.mmr_diversified(spark, sf)
+    retrieval.retrieval_metrics(spark, sf)
+    fusion.search_candidates(spark, sf)
+    items = retrieval.table(spark, sf, "benchmark").count()
+    assert 0 < made["page"].count() <= 30 * items and 0 < made["best"].count() <= fusion.CANDIDATES * items and 0 < made["gold"].count()
