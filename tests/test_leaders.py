@@ -50,3 +50,17 @@ def test_query(spark, sf="/root/testdata/sf0.001"):
     got = leaders.lesson_leaders(spark, sf).collect()
     assert sorted((r.leader, r.n, r.evidence) for r in got) == sorted((k, len(v), v[-8:]) for k, v in clusters.items() if len(v) >= 3)
     assert got
+
+
+def test_blocks_decide_as_single_products(spark, monkeypatch):
+    """Rows of one task and one round meet leaders in blocks, some of them exactly at the limit; before, each met them one by one."""
+    monkeypatch.setattr(leaders, "BLOCK", 7)
+    gen = np.random.default_rng(3)
+    base = np.array([[1.0, 0, 0, 0], [3.0, 4.0, 0, 0], [0, 0, 3.0, 4.0], [0.6, 0, 0.8, 0], [1.0, 1, 1, 1]])
+    rows = [(i, "d", i, f"f{i % 9}", None if i % 11 == 0 else [float(x) for x in base[gen.integers(5)] * gen.choice([1.0, 2.0, -1.0]) + gen.choice([0.0, 1e-10, 0.4]) * gen.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, domain string, at long, fingerprint string, vector array<double>")
+    assert sorted((r.id, r.leader) for r in leaders.leader_clusters(df, near=0.6).collect()) == walked(rows, 0.6)
+    one, many = leaders.Leaders(0.6), [(d, f, leaders._unit(v)) for _, d, _, f, v in rows]
+    for number, row in enumerate(many[:100]):
+        one.add(number, *row)
+    assert one.first(many).tolist() == [one.first([r])[0] for r in many]

@@ -3,52 +3,72 @@
 Rows are taken in order of time. A round takes the first rows that are still open, a bounded number, and finds the leaders
 among them one after the other; all open rows that are near one of these leaders, wherever they are, join the first such
 leader and are done. A leader's neighbourhood leaves in one pass, however large it is, and no pairs are formed.
+
+Where few rows are near each other nearly all of them lead, and each meets all before it: that is quadratic, whatever is
+done. Rows meet leaders as products of blocks, in tasks of a bounded number of rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..registry import query
-from ..shared import written
+from ..shared import dealt, written
 from ..sources.tables import table
 
 #: Cosine from which two failures are alike, failures of a candidate, failures kept as its evidence, rows of a round.
-NEAR, LEAST, EVIDENCE, ROUND = 0.85, 3, 8, 1_000
+NEAR, LEAST, EVIDENCE, ROUND = 0.85, 3, 8, 8_000
+#: Rows of a product with all leaders, rows of a task, and how far a product of blocks may be off a product of two vectors.
+BLOCK, TASK_ROWS, OFF = 256, 5_000, 1e-9
 
 
 class Leaders:
-    """Leaders in order, by domain; ``near`` gives the first one near each row, -1 where there is none."""
+    """Leaders in order, by domain; ``first`` gives the number of the first one near each row, -1 where there is none."""
 
     def __init__(self, near: float):
-        self.limit, self.by_domain = near, {}
+        self.limit, self.bare, self.prints, self.vectors = near, {}, {}, {}
 
-    def add(self, number: int, domain, fingerprint, vector: np.ndarray | None) -> None:
-        own = self.by_domain.setdefault(domain, {"vectors": [], "numbers": [], "bare": {}, "prints": {}})
-        if vector is None:
-            own["bare"].setdefault(fingerprint, number)
+    def add(self, number: int, domain, fingerprint, unit: np.ndarray | None) -> None:
+        if unit is None:
+            self.bare.setdefault((domain, fingerprint), number)
         else:
-            own["vectors"].append(vector)
+            own = self.vectors.setdefault((domain, len(unit)), {"units": np.empty((16, len(unit))), "numbers": []})
+            if len(own["numbers"]) == len(own["units"]):
+                own["units"] = np.concatenate([own["units"], np.empty_like(own["units"])])
+            own["units"][len(own["numbers"])] = unit
             own["numbers"].append(number)
-        own["prints"].setdefault(fingerprint, number)
-
-    def first(self, domain, fingerprint, vector: np.ndarray | None) -> int:
-        """A row without a vector meets leaders with its fingerprint; one with a vector those within the limit, and leaders without a vector by fingerprint."""
-        own = self.by_domain.get(domain)
-        if own is None:
-            return -1
-        if vector is None:
-            return own["prints"].get(fingerprint, -1)
-        found = [own["bare"][fingerprint]] if fingerprint in own["bare"] else []
-        if own["vectors"]:
-            close = np.flatnonzero(np.array([v @ vector if len(v) == len(vector) else -1.0 for v in own["vectors"]]) >= self.limit)
-            if len(close):
-                found.append(own["numbers"][close[0]])
-        return min(found, default=-1)
+        self.prints.setdefault((domain, fingerprint), number)
+
+    def first(self, rows: list[tuple]) -> np.ndarray:
+        """Rows (domain, fingerprint, unit): one without a vector meets leaders with its fingerprint; one with a vector those within the limit, and leaders without a vector by fingerprint."""
+        out, alike = np.full(len(rows), -1), defaultdict(list)
+        for i, (domain, fingerprint, unit) in enumerate(rows):
+            out[i] = (self.prints if unit is None else self.bare).get((domain, fingerprint), -1)
+            if unit is not None:
+                alike[domain, len(unit)].append(i)
+        for key, at in alike.items():
+            if key in self.vectors:
+                numbers = np.array(self.vectors[key]["numbers"])
+                units = self.vectors[key]["units"][: len(numbers)]
+                for k in range(0, len(at), BLOCK):
+                    own = np.array(at[k : k + BLOCK])
+                    close = self._close(np.stack([rows[i][2] for i in own]), units)
+                    found = np.where(close.any(axis=1), numbers[close.argmax(axis=1)], -1)
+                    out[own] = np.where((out[own] < 0) | ((found >= 0) & (found < out[own])), found, out[own])
+        return out
+
+    def _close(self, rows: np.ndarray, units: np.ndarray) -> np.ndarray:
+        s = rows @ units.T
+        close = s >= self.limit
+        for i, j in np.argwhere(np.abs(s - self.limit) <= OFF):  # one by one, so that no block's order of sums decides
+            close[i, j] = units[j] @ rows[i] >= self.limit
+        return close
 
 
 def _unit(v) -> np.ndarray | None:
@@ -59,35 +79,59 @@ def _unit(v) -> np.ndarray | None:
     return x / n
 
 
+def _rows(batch: pa.RecordBatch | pa.Table) -> list[tuple]:
+    """(domain, fingerprint, unit) of a batch."""
+    units = batch.column("unit")
+    units = units.combine_chunks() if isinstance(units, pa.ChunkedArray) else units
+    flat, ends = units.values.to_numpy(zero_copy_only=False), units.offsets.to_numpy()
+    of = [flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], units.is_valid().to_pylist(), strict=True)]
+    return list(zip(batch.column("domain").to_pylist(), batch.column("fingerprint").to_pylist(), of, strict=True))
+
+
+def _leaders(ids: list[int], rows: list[tuple], near: float) -> tuple[Leaders, list[int]]:
+    """The leaders among rows in order, and their ids: a block meets those before it at once, and its own one after the other."""
+    leaders, of = Leaders(near), []
+    for k in range(0, len(rows), BLOCK):
+        own, fresh = rows[k : k + BLOCK], Leaders(near)
+        met, begin = leaders.first(own), len(of)
+        for i, row in enumerate(own):
+            if met[i] < 0 and fresh.first([row])[0] < 0:
+                fresh.add(len(of), *row)
+                of.append((ids[k + i], row))
+        for number in range(begin, len(of)):
+            leaders.add(number, *of[number][1])
+    return leaders, [i for i, _ in of]
+
+
 def leader_clusters(failures: DataFrame, near: float = NEAR) -> DataFrame:
     """``id``, ``domain``, ``at``, ``leader``: the id of the row's leader, its own if it leads.
 
     ``failures``: ``id`` (long, different for all), ``domain`` (string), ``at`` (time), ``fingerprint`` (string), ``vector`` (null or of length zero if there is none). Times
     are ordered with ids; null domains are one domain. An empty table gives no rows.
     """
-    spark = failures.sparkSession
-    fine = failures.select("id", F.col("domain").cast("string").alias("domain"), "at", "fingerprint", F.col("vector").cast("array<double>").alias("vector"))
-    left, done = written(fine, "open"), None
+    fine = failures.select("id", F.col("domain").cast("string").alias("domain"), "at", "fingerprint", F.col("vector").cast("array<double>").alias("unit"))
+
+    def units(batches):
+        for b in batches:
+            x = pa.array([None if (u := _unit(v)) is None else u.tolist() for v in b.column("unit").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], x], names=b.schema.names)
+
+    fine = dealt(fine, failures.count(), "id", task_rows=TASK_ROWS)
+    left, done = written(fine.mapInArrow(units, StructType([*fine.schema.fields[:-1], StructField("unit", ArrayType(DoubleType()))])), "open"), None
     while True:
-        head = left.orderBy("at", "id").limit(ROUND).collect()  # ROUND rows
-        if not head:
+        head = left.orderBy("at", "id").limit(ROUND).select("id", "domain", "fingerprint", "unit").toArrow()  # ROUND rows
+        if not head.num_rows:
             return left.select("id", "domain", "at", F.col("id").alias("leader")) if done is None else done
-        leaders, ids = Leaders(near), []
-        for r in head:
-            v = _unit(r.vector)
-            if leaders.first(r.domain, r.fingerprint, v) < 0:
-                leaders.add(len(ids), r.domain, r.fingerprint, v)
-                ids.append(r.id)
+        leaders, ids = _leaders(head.column("id").to_pylist(), _rows(head), near)
 
         def join(batches, leaders=leaders, ids=ids):
             for b in batches:
-                at = [leaders.first(d, f, _unit(v)) for d, f, v in zip(b.column("domain").to_pylist(), b.column("fingerprint").to_pylist(), b.column("vector").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[i] if i >= 0 else None for i in at], pa.int64())], names=[*b.schema.names, "leader"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[i] if i >= 0 else None for i in leaders.first(_rows(b))], pa.int64())], names=[*b.schema.names, "leader"])
 
         met = written(left.mapInArrow(join, StructType([*left.schema.fields, StructField("leader", LongType())])), "met")
         now = met.where("leader IS NOT NULL").select("id", "domain", "at", "leader")
         done = now if done is None else done.unionByName(now)
-        left = written(met.where("leader IS NULL").drop("leader"), "open")
+        left = met.where("leader IS NULL").drop("leader")
 
 
 def candidates(clusters: DataFrame, least: int = LEAST, evidence: int = EVIDENCE) -> DataFrame:
