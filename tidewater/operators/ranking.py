@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, jaccard, words, zero
+from ..functions.scalars import jaccard, words, zero
 from ..registry import query
 from ..shared import shared_folder
 from ..sources.tables import table
 from .graph import bounded_bfs, supplier_edges
-from .retrieval import _BM25_SQL, search_documents, top_k
+from .retrieval import _BM25_SQL, blended, pair_cosines, search_documents, top_k
 from .windows import greedy_pack
 
 
@@ -30,12 +30,10 @@ def passage_hybrid(spark, sf_dir):
     scored = search_documents(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
     many = vectors.count()
-    of = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
-    pairs = scored.withColumns({"p": F.col("doc_id") % many, "q": F.col("item_id") % many}).join(of("p", "pe"), "p").join(of("q", "qe"), "q")
-    similarity = cosine(F.col("pe"), F.col("qe"))
-    best = F.max("score").over(Window.partitionBy("item_id"))
-    blended = pairs.select("item_id", "doc_id", (0.6 * F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)) + 0.4 * F.col("score") / best).alias("score"))
-    return top_k(blended, "item_id", "score", "doc_id", 5).withColumn("score", F.round("score", 6))
+    of = lambda name, key: table(spark, sf_dir, name).select(key).join(vectors, F.col(key) % many == F.col("vec_id")).select(key, F.col("embedding").alias("vector"))
+    pairs = pair_cosines(scored, of("documents", "doc_id"), of("benchmark", "item_id"), "doc_id", "item_id").where("known")
+    found = blended(pairs, "item_id").select("item_id", "doc_id", F.col("total").alias("score"))
+    return top_k(found, "item_id", "score", "doc_id", 5).withColumn("score", F.round("score", 6))
 
 
 @query(
