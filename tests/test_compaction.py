@@ -1,7 +1,9 @@
+import re
 import json
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import compaction
 from tidewater.operators.compaction import bounded_line, community, fold_recurring, pruned_lines, recall_sections
 from tidewater.sources.hosts import commits_since, ignore_regex, not_ignored, read_transcripts
 
@@ -67,3 +69,21 @@ def test_commits(spark):
     df = spark.createDataFrame(rows, "sha string, at long, parents long, files long, message string, email string")
     assert [r.sha for r in commits_since(df, 5).collect()] == ["g", "e", "b"]
     assert [r.sha for r in commits_since(df, 5, "b").collect()] == ["g", "e"] and [r.sha for r in commits_since(df, 1, "none").collect()] == ["g"]
+
+
+def test_signals_shuffle_lines_only(spark):
+    """Tokens of a line are counted where the line lies: one exchange, of lines, and the same figures as by counting."""
+    import math
+    from collections import Counter
+
+    lines = ["a b a 1 1 1 (x)", "", None, "  ", "one", "é é _a", "b " * 3000 + "c"]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    got = compaction.line_signals_of(df, ["k"], "line")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    expected = {}
+    for k, text in enumerate(lines):
+        if found := re.findall(compaction.LINE_TOKENS, text or ""):
+            c, n = Counter(found), len(found)
+            entropy, mean = math.log2(n) - sum(v * math.log2(v) for v in c.values()) / n, sum(map(math.log2, c.values())) / len(c)
+            expected[k] = (n, round((entropy + math.log2(n) - mean + math.log2(n + 1)) * math.log2(n + 2), 9))
+    assert {r.k: (r.n, round(r.signal, 9)) for r in got.collect()} == expected

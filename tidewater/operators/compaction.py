@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import LOG_MARKS, log_signature, marked_sql, token_estimate
 from ..registry import query
+from ..shared import dealt
 from ..sources.tables import table
 
 # Tokens of a line, and phrases whose lines are never pruned.
@@ -25,8 +26,22 @@ DIAGNOSTICS = (
 
 
 # ---------------------------------------------------------------- pruning
-def line_signals_of(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """``keys``, ``n`` (tokens) and ``signal``: entropy and mean rarity of a line's tokens with a term for its length."""
+#: Bytes of lines of a task that counts their tokens, about.
+TASK_BYTES = 16_000_000
+
+
+def _by_line(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Lines dealt by their keys to tasks of about ``TASK_BYTES``: what is counted of a line afterwards is counted where it lies."""
+    size = lines.agg(F.sum(F.octet_length(line))).first()[0] or 0
+    return dealt(lines.select(*keys, line), size, *keys, task_rows=TASK_BYTES)
+
+
+def line_signals_of(lines: DataFrame, keys: list[str], line: str, is_dealt: bool = False) -> DataFrame:
+    """``keys``, ``n`` (tokens) and ``signal``: entropy and mean rarity of a line's tokens with a term for its length.
+
+    Lines are shuffled and not their tokens, whose rows are many times larger; ``is_dealt`` says that they are dealt by their keys.
+    """
+    lines = lines if is_dealt else _by_line(lines, keys, line)
     words = lines.select(*keys, F.explode(F.regexp_extract_all(F.col(line), F.lit(f"({LINE_TOKENS})"))).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
     log = F.log2(F.col("c"))
     sums = words.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * log).alias("weighed"), F.avg(log).alias("mean"))
@@ -55,7 +70,8 @@ def pruned_lines(lines: DataFrame, key: str, position: str, line: str, share: fl
 
     A text within its target stays whole. What is folded in order of signal is one array of sizes for each text, not its lines.
     """
-    rows = lines.select(key, position, line).join(line_signals_of(lines, [key, position], line), [key, position], "left")
+    own = _by_line(lines, [key, position], line)
+    rows = own.join(line_signals_of(own, [key, position], line, is_dealt=True), [key, position], "left")
     rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "signal": F.coalesce("signal", F.lit(0.0)), "_stone": F.coalesce(F.rlike(line, F.lit(f"(?i){KEYSTONES}")), F.lit(False))})
     item = F.struct((-F.round("signal", 9)).alias("s"), F.col(position).alias("at"), "n")
     held = rows.groupBy(key).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("_stone"), F.col("n")).otherwise(0)).alias("fixed"), F.array_sort(F.collect_list(F.when(~F.col("_stone"), item))).alias("x"))
