@@ -71,13 +71,14 @@ def test_commits(spark):
     assert [r.sha for r in commits_since(df, 5, "b").collect()] == ["g", "e"] and [r.sha for r in commits_since(df, 1, "none").collect()] == ["g"]
 
 
-def test_signals_shuffle_lines_only(spark):
+def test_signals_shuffle_lines_only(spark, monkeypatch):
     """Tokens of a line are counted where the line lies: one exchange, of lines, and the same figures as by counting."""
     import math
     from collections import Counter
 
     lines = ["a b a 1 1 1 (x)", "", None, "  ", "one", "é é _a", "b " * 3000 + "c"]
     df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    monkeypatch.setattr(compaction, "TASK_BYTES", 1_000)
     got = compaction.line_signals_of(df, ["k"], "line")
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     expected = {}
