@@ -112,3 +112,17 @@ def test_short_lists_are_written_before_they_meet_texts(spark, monkeypatch, sf="
     fusion.search_candidates(spark, sf)
     items = retrieval.table(spark, sf, "benchmark").count()
     assert 0 < made["page"].count() <= 30 * items and 0 < made["best"].count() <= fusion.CANDIDATES * items and 0 < made["gold"].count()
+
+
+def test_hits_are_dealt_by_rows(spark, monkeypatch):
+    """Hits of a conjunctive search go to as many tasks as their number needs; before, to as many as their compressed size did."""
+    from tidewater.operators import recall
+
+    monkeypatch.setattr(recall, "TASK_HITS", 10)
+    asked = []
+    monkeypatch.setattr(recall, "dealt", lambda df, rows, *keys, task_rows: (asked.append((rows, task_rows)), df.repartition(7, *keys))[1])
+    docs = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "alpha delta") for i in range(20)], "k int, t string")
+    queries = spark.createDataFrame([(1, "alphas beta"), (2, "alpha"), (3, "the"), (4, "delta gamma")], "q int, s string")
+    got = sorted(tuple(r) for r in recall.stemmed_search(docs, queries, "k", "t", "q", "s").collect())
+    assert got == sorted([(1, i) for i in range(1, 20, 2)] + [(2, i) for i in range(20)])
+    assert asked == [(20 + 20 + 10 + 10 + 10, 10)]  # alpha twice, beta, delta, gamma

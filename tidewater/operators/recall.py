@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_json
 from ..registry import query
+from ..shared import dealt, written
 from ..sources.tables import table
-from .retrieval import _tokens_sql, term_table, tokens
+from .retrieval import TASK_HITS, _tokens_sql, kept_terms, term_table, tokens
 
 # Words that a widened query leaves out.
 WIDENING_STOPS = ("and", "or", "the", "a", "an", "to", "of", "in", "for", "with", "on")
@@ -67,11 +68,18 @@ def recall_with_widening(spark, sf_dir):
 
 
 def stemmed_search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, index: DataFrame | None = None) -> DataFrame:
-    """``query_key``, ``key`` of texts that have every stemmed term of a query; a query without terms finds nothing."""
+    """``query_key``, ``key`` of texts that have every stemmed term of a query; a query without terms finds nothing.
+
+    The index is cut to terms that are asked for and dealt by texts to tasks of about ``TASK_HITS`` hits, where they are counted.
+    """
     terms = F.array_distinct(tokens(F.col(query_text)))
     q = queries.select(query_key, F.size(terms).alias("wanted"), F.explode(terms).alias("term"))
     index = term_table(docs, key, text) if index is None else index
-    return index.join(q, "term").groupBy(query_key, key, "wanted").agg(F.count("*").alias("n")).where("n = wanted").select(query_key, key)
+    wanted = index.select(key, "term").join(q.select("term").distinct(), "term", "left_semi")
+    asked = q.groupBy("term").agg(F.count("*").alias("n"))
+    q, hits = written(q, "asked"), wanted.join(asked, "term").agg(F.sum("n")).first()[0] or 0
+    met = dealt(wanted, hits, key, task_rows=TASK_HITS).join(q, "term")
+    return met.groupBy(query_key, key, "wanted").agg(F.count("*").alias("n")).where("n = wanted").select(query_key, key)
 
 
 @query(
@@ -84,7 +92,8 @@ def stemmed_search(docs: DataFrame, queries: DataFrame, key: str, text: str, que
 )
 def stemmed_conjunctive_search(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
-    return stemmed_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", "item_id", "q")
+    d = table(spark, sf_dir, "documents")
+    return stemmed_search(d, q, "doc_id", "text", "item_id", "q", index=kept_terms(d, "doc_id", "text"))
 
 
 # ---------------------------------------------------------------- outlines
