@@ -126,3 +126,17 @@ def test_hits_are_dealt_by_rows(spark, monkeypatch):
     got = sorted(tuple(r) for r in recall.stemmed_search(docs, queries, "k", "t", "q", "s").collect())
     assert got == sorted([(1, i) for i in range(1, 20, 2)] + [(2, i) for i in range(20)])
     assert asked == [(20 + 20 + 10 + 10 + 10, 10)]  # alpha twice, beta, delta, gamma
+
+
+def test_ratio_is_that_of_difflib():
+    import difflib
+    import random
+
+    from tidewater.operators.recall import _ratio
+
+    rng = random.Random(5)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("ab c"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(40))) for _ in range(2))
+        cut = rng.randrange(len(a) + 1)
+        for x, y in ((a, b), (a, a[:cut] + "#" + a[cut + 1 :]), (a + b, b + a)):
+            assert _ratio(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -129,20 +129,59 @@ def _plain(text: str) -> str:
     return "\n".join(re.sub(r"\s+", " ", line).strip() for line in text.splitlines())
 
 
+def _longest(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest run in both stretches, the earliest in ``a`` and then in ``b``: what ``SequenceMatcher.find_longest_match`` gives without junk, by substring search."""
+    at, other, size = alo, blo, 0
+    i = alo
+    while i + size < ahi:
+        found = b.find(a[i : i + size + 1], blo, bhi)
+        if found >= 0:
+            low, high = size + 1, min(ahi - i, bhi - blo)  # a run of low characters is there: the longest one that is, by halving
+            while low < high:
+                mid = (low + high + 1) // 2
+                if (j := b.find(a[i : i + mid], blo, bhi)) >= 0:
+                    low, found = mid, j
+                else:
+                    high = mid - 1
+            at, other, size = i, found, low
+        i += 1
+    return at, other, size
+
+
+def _ratio(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b, autojunk=False).ratio()``."""
+    matched, left = 0, [(0, len(a), 0, len(b))]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        i, j, size = _longest(a, b, alo, ahi, blo, bhi)
+        if size:
+            matched += size
+            if alo < i and blo < j:
+                left.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                left.append((i + size, ahi, j + size, bhi))
+    return 2.0 * matched / (len(a) + len(b)) if a or b else 1.0
+
+
 def best_window(content: str, wanted: str, floor: float = 0.9, margin: float = 0.02) -> tuple[int, int, float] | None:
     """First line, last line and similarity of the run of lines most like ``wanted``, white space aside.
 
     Windows have as many lines as ``wanted``. None below ``floor``, or if another window that does not overlap comes
-    within ``margin`` of the best. Cheap upper bounds of the similarity spare most windows the full comparison.
+    within ``margin`` of the best. Cheap upper bounds of the similarity, by lengths and by counts of characters, spare most
+    windows the full comparison, and equal windows are compared once.
     """
     lines, target = _plain(content).split("\n"), _plain(wanted)
     n = max(1, len(target.split("\n")))
-    matcher = difflib.SequenceMatcher(None, autojunk=False)
-    matcher.set_seq2(target)
-    found = []
+    counts, known, found = Counter(target), {}, []
     for start in range(max(1, len(lines) - n + 1)):
-        matcher.set_seq1("\n".join(lines[start : start + n]))
-        if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor and (ratio := matcher.ratio()) >= floor:
+        window = "\n".join(lines[start : start + n])
+        both = len(window) + len(target)
+        if both and 2.0 * min(len(window), len(target)) / both < floor:
+            continue
+        if window not in known:
+            bound = 2.0 * (counts & Counter(window)).total() / both if both else 1.0
+            known[window] = _ratio(window, target) if bound >= floor else 0.0
+        if (ratio := known[window]) >= floor:
             found.append((ratio, start))
     if not found:
         return None
