@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, words, zero
 from ..registry import query
-from ..shared import shared_folder
+from ..shared import dealt, shared_folder, written
 from ..sources.tables import table
 from .graph import bounded_bfs, supplier_edges
 from .retrieval import _BM25_SQL, blended, pair_cosines, search_documents, top_k
@@ -324,18 +324,28 @@ def duplicate_clusters(spark, sf_dir):
     return taken if taken is not None else spark.createDataFrame([], "seed long, member long")
 
 
+def degrees_within(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``node``, ``depth``, ``degree`` of the nodes within ``depth`` steps of ``seeds`` either way; ``edges``: ``src``, ``dst``, each once.
+
+    Edges are written once for all steps and dealt by rows where they are joined; the walk makes nodes distinct, edges it need not.
+    """
+    e = written(edges, "edges")
+    rows = e.count()
+    both = dealt(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 2 * rows, "src")
+    near = bounded_bfs(both, seeds, depth)
+    kept = written(near.select("node"), "near")
+    inner = dealt(e, rows, "src").join(kept.withColumnRenamed("node", "src"), "src", "left_semi")
+    inner = dealt(inner, rows, "dst").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    degree = inner.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return near.join(degree, "node", "left").select("node", "depth", zero("degree").alias("degree"))
+
+
 @query(
     "neighbourhood_degrees",
 )
 def neighbourhood_degrees(spark, sf_dir):
     """Nodes within two steps of a seed either way, with their degree among these nodes."""
-    e = supplier_edges(spark, sf_dir)
-    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near = bounded_bfs(both, spark.createDataFrame([(1,)], "node long"), 2)
-    kept = near.select("node")
-    inner = e.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    degree = inner.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    return near.join(degree, "node", "left").select("node", "depth", zero("degree").alias("degree"))
+    return degrees_within(supplier_edges(spark, sf_dir).select("src", "dst"), spark.createDataFrame([(1,)], "node long"), 2)
 
 
 def columnar_encode(rows: list[dict]) -> dict:
