@@ -249,6 +249,20 @@ def test_html_to_markdown():
     assert text.chunk_markdown("a\n\n\nb") == ["a", "b"]
 
 
+@pytest.mark.parametrize("name", ["pages_to_markdown", "markdown_chunks"])
+def test_pages_are_converted_row_by_row(spark, tmp_path, name):
+    rows = [(i, "http://h.org/", None if i == 3 else f"<h1>T{i}</h1><p>a <a href='x'>b</a></p>") for i in range(250)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan  # one worker of a task, 100 pages to a batch
+    wanted = {i: text.html_to_markdown(h, u) for i, u, h in rows}
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.page_id, []).append(r[-1] if name == "pages_to_markdown" else (r.chunk, r.text))
+    assert got == {i: [w] if name == "pages_to_markdown" else list(enumerate(text.chunk_markdown(w))) for i, w in wanted.items() if w or name == "pages_to_markdown"}
+
+
 def test_lexrank_keeps_short_texts_and_order():
     assert text.lexrank("A b. C d.") == "A b. C d."
     many = " ".join(f"Sentence number {i} talks about topic {i % 3}." for i in range(30))

@@ -275,13 +275,10 @@ def html_to_markdown(page: str, base: str = "") -> str:
     return "\n\n".join(out)
 
 
-def _markdown(pages: pd.Series, urls: pd.Series) -> pd.Series:
-    return pd.Series([html_to_markdown(p, u) for p, u in zip(pages, urls, strict=True)])
-
-
 @query("pages_to_markdown")
 def pages_to_markdown(spark, sf_dir):
-    convert = F.pandas_udf(_markdown, "string")
+    # row by row, 100 pages to a batch: an Arrow batch has 10,000, whatever their size
+    convert = F.udf(html_to_markdown, "string", useArrow=False)
     return table(spark, sf_dir, "pages").select("page_id", convert("html", "url").alias("markdown"))
 
 
@@ -301,14 +298,15 @@ def chunk_markdown(text: str, limit: int = 2000) -> list[str]:
     return out
 
 
-def _chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(chunk_markdown)
+def page_chunks(page: str, base: str = "") -> list[str]:
+    return chunk_markdown(html_to_markdown(page, base))
 
 
 @query("markdown_chunks")
 def markdown_chunks(spark, sf_dir):
-    cut = F.pandas_udf(_chunks, "array<string>")
-    return pages_to_markdown(spark, sf_dir).select("page_id", F.posexplode(cut("markdown")).alias("chunk", "text"))
+    """Pages are converted and cut in one worker, row by row as in ``pages_to_markdown``."""
+    cut = F.udf(page_chunks, "array<string>", useArrow=False)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(cut("html", "url")).alias("chunk", "text"))
 
 
 # ---------------------------------------------------------------- difficulty along a trajectory
