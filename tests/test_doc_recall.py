@@ -65,3 +65,31 @@ def test_cosines_by_blocks(spark, monkeypatch):
         s[i] = -2
         assert got[i] == np.argsort(-s)[:5].tolist()
     assert 7 not in got
+
+
+def test_words_in_blocks_and_waves(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = [f"w{i}" for i in range(30)] + ["É", "K_9", "naïve", "Kelvin"]
+    texts = [" ".join(rng.choice(word, rng.integers(0, 25))) + rng.choice(["", ".X-y", " z"]) for _ in range(300)]
+    asks = [" ".join(rng.choice(word, rng.integers(0, 9))) for _ in range(40)] + ["??", "W1 w1 w2"]
+    chunks = spark.createDataFrame([(i * 7 % 301 - 90, "P", t) for i, t in enumerate(texts)] + [(999, None, None)], "chunk long, path string, text string")
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asks)], "q string, t string")
+    cut = lambda t: {w.lower() for w in re.findall("[a-zA-Z0-9_]+", t)}
+    wanted = {}
+    for i, t in enumerate(asks):
+        shares = sorted((-len(cut(t) & cut(f"P {x}")) / max(1, len(cut(t))), j * 7 % 301 - 90) for j, x in enumerate(texts))
+        wanted |= {f"q{i}": [(c, -s) for s, c in shares[:3] if s < 0]} if shares[0][0] < 0 else {}
+    for sizes in ({}, {"CHUNK_BLOCK": 900, "WAVE_WORDS": 50, "MOST_CELLS": 60}, {"WAVE_QUERIES": 5, "MOST_CELLS": 3}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(doc_recall, name, size)
+        df = doc_recall.chunk_recall(chunks, queries, "q", "t", k=3)
+        assert "generate explode(w" not in df._jdf.queryExecution().toString().lower()  # words and pairs are no rows
+        got = {}
+        for r in df.orderBy("q", "place").collect():
+            got.setdefault(r.q, []).append((r.chunk, r.score))
+        assert got == wanted
+
+
+def test_documents_are_cut_once(spark, sf="/root/testdata/sf0.001"):
+    plan = doc_recall.heading_recall(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "embeddings.parquet" in plan

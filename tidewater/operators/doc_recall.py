@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..shared import written
 from ..sources.tables import table
 from .retrieval import cosine_top
 
@@ -53,10 +58,65 @@ def heading_chunks(texts: DataFrame, key: str, text: str) -> DataFrame:
     return cut.select(F.col("_key").alias(key), "line", "piece", "path", "text")
 
 
+#: Characters of the chunks of a block, and words and queries of a wave, about; a task has one of each.
+CHUNK_BLOCK, WAVE_WORDS, WAVE_QUERIES = 1 << 24, 1 << 14, 1024
+#: Cells of a matrix of chunks by words.
+MOST_CELLS = 1 << 22
+#: ASCII letters, digits and underscores, letters lowered; all other bytes part words.
+_WORD_BYTES = bytes(b if chr(b).isalnum() or b == 95 else 32 for b in bytes(range(128)).lower()) + b" " * 128
+
+
+def lexical_top(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``chunk``, ``score``: for each query the ``k`` chunks with the largest share of its words and a few more, shares above zero only.
+
+    ``chunks``: ``chunk`` (long), ``text``; ``asked``: ``query_id``, ``w`` (its distinct words, lowered). Nearly every chunk has a word of nearly every query,
+    so pairs are no rows: both sides are dealt to blocks and waves by hashes, as in ``cosine_top``, counts of words in common
+    are products of matrices, and only the best of each block leave it. Equal shares go by ``chunk``.
+    """
+    asked = asked.where(F.size("w") > 0)
+    n, m = asked.agg(F.sum(F.size("w")), F.count("*")).first()
+    size = chunks.agg(F.sum(F.length("text"))).first()[0]
+    blocks, waves = max(1, math.ceil((size or 0) / CHUNK_BLOCK)), max(1, math.ceil((n or 0) / WAVE_WORDS), math.ceil(m / WAVE_QUERIES))
+    numbers = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = chunks.where("text IS NOT NULL").select(F.col("chunk").cast("long").alias("chunk"), F.col("text").cast("binary").alias("text"), part(blocks, "chunk").alias("block"), numbers(waves, "wave"))
+    right = asked.select("query_id", "w", part(waves, "query_id").alias("wave"), numbers(blocks, "block"))
+
+    def scan(a: pa.Table, b: pa.Table) -> pa.Table:
+        own, size = a.column("chunk").to_numpy(), a.num_rows
+        asks, found = [[w.encode() for w in ws] for ws in b.column("w").to_pylist()], []
+        order = np.empty(size, np.int64)  # smaller chunks have larger numbers
+        order[np.argsort(-own, kind="stable")] = np.arange(size)
+        numbered = np.argsort(order)
+        together = max(1, 4 * MOST_CELLS // max(1, len({w for ws in asks for w in ws})))  # all of the wave, if its words are not very many
+        for first in range(0, len(asks) if size else 0, together):
+            some = asks[first : first + together]
+            place = {w: i for i, w in enumerate({w for ws in some for w in ws})}
+            known, step = frozenset(place), max(1, MOST_CELLS // max(len(place), len(some)))
+            has, best = np.zeros((len(some), len(place)), np.float32), np.zeros((len(some), k), np.int64)
+            for i, ws in enumerate(some):
+                has[i, [place[w] for w in ws]] = 1
+            for start in range(0, size, step):
+                held = [known.intersection(t.translate(_WORD_BYTES).split()) for t in a.column("text").slice(start, step).to_pylist()]
+                rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                holds = np.zeros((len(held), len(place)), np.float32)
+                holds[rows, np.fromiter((place[w] for x in held for w in x), np.int64, len(rows))] = 1
+                ranked = (has @ holds.T).astype(np.int64) * size + order[start : start + step]  # by count, then by chunk
+                best = np.partition(np.concatenate([best, ranked], 1), -k, 1)[:, -k:]
+            who, at = np.nonzero(best >= size)
+            count, number = np.divmod(best[who, at], size)
+            found.append((first + who, own[numbered[number]], count / np.array([len(ws) for ws in some])[who]))
+        who, chunk, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": b.column("query_id").take(pa.array(who)), "chunk": chunk, "score": score})
+
+    met = left.groupBy("block", "wave").cogroup(right.groupBy("block", "wave"))
+    return met.applyInArrow(scan, f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk long, score double")
+
+
 def chunk_recall(chunks: DataFrame, queries: DataFrame, query_key: str, query_text: str, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 5) -> DataFrame:
     """``query_key``, ``chunk``, ``score``, ``mode`` and ``place`` of the best ``k`` chunks for each query.
 
-    ``chunks``: ``chunk`` (long, also their order), ``path``, ``text``. Where a query has a vector and some chunk has one of the same
+    ``chunks``: ``chunk`` (long, also their order), ``path``, ``text``; they are read more than once. Where a query has a vector and some chunk has one of the same
     ``embedder`` and ``dim``, cosines decide; else the share of the query's words that a chunk or its path has, above zero.
     ``vectors``: ``chunk``, ``embedder``, ``dim``, ``vector``; ``query_vectors``: ``query_key`` instead.
     """
@@ -71,9 +131,7 @@ def chunk_recall(chunks: DataFrame, queries: DataFrame, query_key: str, query_te
         scored = cosine_top(usable.select(*stamp, (-F.col("chunk") - 1).alias("vec_id"), "vector"), q, k, *stamp, positive=False)
         found = scored.select("query_id", (-F.col("vec_id") - 1).alias("chunk"), "score", F.lit("vector").alias("mode"))
         asked = asked.join(q.join(usable.select(*stamp).distinct(), [*stamp], "left_semi").select("query_id").distinct(), "query_id", "left_anti")
-    by_word = asked.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    held = chunks.select("chunk", words(F.concat_ws(" ", "path", "text")).alias("w")).select("chunk", F.explode("w").alias("word"))
-    lexical = held.join(by_word, "word").groupBy("query_id", "chunk", "n").agg(F.count("*").alias("c")).select("query_id", "chunk", (F.col("c") / F.col("n")).alias("score"), F.lit("lexical").alias("mode"))
+    lexical = lexical_top(chunks.select("chunk", F.concat_ws(" ", "path", "text").alias("text")), asked, k).withColumn("mode", F.lit("lexical"))
     found = lexical if found is None else found.unionByName(lexical)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk"))
     return found.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("query_id").alias(query_key), "chunk", "score", "mode", "place")
@@ -119,7 +177,8 @@ def heading_recall(spark, sf_dir):
     """Sections of documents for each item; even items have a vector, first sections have one of two in three labels, which stand for embedders."""
     cut = heading_chunks(_headed_documents(spark, sf_dir), "doc_id", "text")
     sections = cut.groupBy("doc_id", "line", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x.text), "\n\n").alias("text"))
-    chunks = sections.select((F.col("doc_id") * 1_000_000 + F.col("line") * 1000).alias("chunk"), "doc_id", "path", "text")
+    # cut once: their number, the first ones and all words are asked for one after the other
+    chunks = written(sections.select((F.col("doc_id") * 1_000_000 + F.col("line") * 1000).alias("chunk"), "doc_id", "path", "text"), "chunks")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("embedder"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"))
     firsts = chunks.groupBy("doc_id").agg(F.min("chunk").alias("chunk"))
     vectors = firsts.join(e, F.col("doc_id") == F.col("vec_id")).where("CAST(embedder AS INT) % 3 > 0").select("chunk", "embedder", "dim", "vector")
