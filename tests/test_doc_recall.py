@@ -93,3 +93,4 @@ def test_words_in_blocks_and_waves(spark, monkeypatch):
 def test_documents_are_cut_once(spark, sf="/root/testdata/sf0.001"):
     plan = doc_recall.heading_recall(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "embeddings.parquet" in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2  # blocks and waves are dealt to tasks by their number

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..shared import written
+from ..shared import dealt, written
 from ..sources.tables import table
 from .retrieval import cosine_top
 
@@ -109,6 +109,8 @@ def lexical_top(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         who, chunk, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": b.column("query_id").take(pa.array(who)), "chunk": chunk, "score": score})
 
+    # a task has a few blocks, however large the table
+    left, right = (dealt(df, blocks * waves, "block", "wave", task_rows=1) for df in (left, right))
     met = left.groupBy("block", "wave").cogroup(right.groupBy("block", "wave"))
     return met.applyInArrow(scan, f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk long, score double")
 
